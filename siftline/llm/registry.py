@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import mixing, packing
+from siftline.llm import chat, mixing, packing, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": quality.op1_quality,
+        "op2_chat": chat.op2_chat,
         "op7_packing": packing.op7_packing,
         "op9_mixing": mixing.op9_mixing,
     }
