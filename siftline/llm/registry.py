@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import chat, mixing, packing, quality
+from siftline.llm import chat, language, mixing, packing, quality, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": quality.op1_quality,
         "op2_chat": chat.op2_chat,
+        "op3_urls": urls.op3_urls,
+        "op6_language": language.op6_language,
         "op7_packing": packing.op7_packing,
         "op9_mixing": mixing.op9_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_urls": urls.oracle()}
