@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import chat, language, mixing, packing, quality, urls
+from siftline.llm import chat, html, language, mixing, packing, quality, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_language": language.op6_language,
         "op7_packing": packing.op7_packing,
         "op9_mixing": mixing.op9_mixing,
+        "op10_html": html.op10_html,
     }
 
 
