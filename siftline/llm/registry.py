@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import chat, html, language, mixing, packing, quality, urls
+from siftline.llm import chat, html, language, mixing, neardup_vectors, packing, quality, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_urls": urls.op3_urls,
         "op6_language": language.op6_language,
         "op7_packing": packing.op7_packing,
+        "op8_vectors": neardup_vectors.op8_vectors,
         "op9_mixing": mixing.op9_mixing,
         "op10_html": html.op10_html,
     }
