@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import chat, html, language, mixing, neardup_vectors, packing, quality, urls
+from siftline.llm import chat, html, jaccard, language, mixing, neardup_vectors, packing, quality, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality": quality.op1_quality,
         "op2_chat": chat.op2_chat,
         "op3_urls": urls.op3_urls,
+        "op5_jaccard": jaccard.op5_jaccard,
         "op6_language": language.op6_language,
         "op7_packing": packing.op7_packing,
         "op8_vectors": neardup_vectors.op8_vectors,
