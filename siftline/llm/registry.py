@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from siftline.llm import chat, html, jaccard, language, mixing, neardup_vectors, packing, quality, urls
 
 
@@ -20,8 +21,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_vectors": neardup_vectors.op8_vectors,
         "op9_mixing": mixing.op9_mixing,
         "op10_html": html.op10_html,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_urls": urls.oracle()}
+    sql = {"op3_urls": urls.oracle()}
+    if corpus_pipeline.ORACLE_SQL:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return sql
