@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from siftline.llm import chat, html, jaccard, language, mixing, neardup_vectors, packing, quality, urls
+from siftline.llm import chat, html, jaccard, language, mixing, neardup_vectors, packing, ppm, quality, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality": quality.op1_quality,
         "op2_chat": chat.op2_chat,
         "op3_urls": urls.op3_urls,
+        "op4_ppm": ppm.op4_ppm,
         "op5_jaccard": jaccard.op5_jaccard,
         "op6_language": language.op6_language,
         "op7_packing": packing.op7_packing,
