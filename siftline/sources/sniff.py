@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 from siftline.functions.names import strip_namespace
+from siftline.sources import objects
 from siftline.sources.markup import EMPTY, END, HTML_TAGS, START, events
 
 HEAD, WIDE_HEAD, DEFAULT_TAG = 512 << 10, 5 << 20, "job"
@@ -103,8 +104,8 @@ def record_array(head: str, record_tag: str | None = None) -> int | None:
         return lead + 1
     if not body.startswith("{"):
         return None
-    first_line = body.split("\n", 1)[0]
-    if "\n" in body.rstrip() and first_line.rstrip().endswith("}") and body.split("\n", 1)[1].lstrip().startswith("{"):
+    first_line, _, more = body.partition("\n")
+    if more.strip() and isinstance(objects.load(first_line), dict):
         return None
     for key in ([record_tag] if record_tag else []) + list(ARRAY_KEYS):
         if (at := _array_behind(head, key)) is not None:
