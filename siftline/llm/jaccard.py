@@ -9,9 +9,10 @@ How often a shingle occurs is counted exactly over all documents: blocks of docu
 packed and cut by ranges of hashes; each range returns to each block what occurs in more than one document.
 
 Candidates pass the length and the positional filter on the prefix, then, once per pair, the suffix filter and the
-exact intersection. A shingle that many near copies share is no square of pairs: first each document meets only the
-hub of its shingles' groups with which it shares most; documents that this links are one component, and then only
-pairs between different components are joined. This loses no link that could join components.
+exact intersection. A shingle that many near copies share is no square of rows: first each document meets only the
+hub of its shingles' groups with which it shares most; documents that this links are one component. Then documents that
+share a prefix shingle across components are a family, and blocks of a family meet, each two once: candidates within
+are found by prefix, and verified by their intersections. This loses no link that could join components.
 
 Defined results: null, empty and wordless texts have the empty set and link with nothing; with fewer than five words
 the whole sequence is the one shingle; repeated rows and ids share a component; a null id gets the least id
@@ -32,9 +33,12 @@ from pyspark.sql import functions as F
 
 from siftline.llm.common import lower_ascii, partitions, read, written
 from siftline.llm.components import connected_components
+from siftline.llm.neardup_vectors import forest
 
 #: Words of a shingle, least similarity in percent, bytes of text in a block and of shingles in a range.
 WORDS, PERCENT, BLOCK_BYTES, RANGE_BYTES = 5, 75, 8 << 20, 16 << 20
+#: Rounds of hubs; documents of a family's block.
+HUB_ROUNDS, FAMILY_BLOCK = 2, 512
 
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
@@ -244,23 +248,31 @@ def similarity_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     found = written(keyed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(prefixes, _PREFIX), "prefixes")
     sets = found.filter("shingles is not null").select("rid", "shingles")
-    tokens = written(found.filter("shingles is not null").select("rid", "n", F.explode("prefix").alias("x")).select("rid", "n", "x.h", "x.p").repartition(n, "h"), "tokens")
-
-    # First round: each document and the hub with which it shares most of its prefix. The hub of a shingle is its shortest document.
-    hubs = tokens.groupBy("h").agg(F.min(F.struct("n", "rid", "p")).alias("hub"), F.count("*").alias("df")).filter("df > 1").select("h", "hub")
-    near = tokens.join(hubs, "h").filter("rid <> hub.rid").select("rid", F.col("hub.rid").alias("hub"), *_bounds(F.col("n"), F.col("hub.n"), F.col("p"), F.col("hub.p"), percent)).filter("possible")
-    best = near.groupBy("rid", "hub").agg(F.count("*").alias("shared")).groupBy("rid").agg(F.max(F.struct("shared", (-F.col("hub")).alias("m"))).alias("best"))
-    first = written(_verify(best.select(F.least("rid", -F.col("best.m")).alias("a"), F.greatest("rid", -F.col("best.m")).alias("b")).distinct(), sets, percent), "first")
-
-    # Second round: all other candidates, but only between different components.
-    parts = written(connected_components(first.select(F.col("a").alias("u"), F.col("b").alias("v"))), "parts")
-    placed = tokens.join(parts.withColumnRenamed("id", "rid"), "rid", "left").select("h", "rid", "n", "p", F.coalesce("component", "rid").alias("c"))
-    mixed = placed.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("h")
-    left = written(placed.join(mixed, "h"), "left")
-    x, y = (left.select("h", *(F.col(c).alias(f"{c}{k}") for c in ("rid", "n", "p", "c"))) for k in (1, 2))
-    pairs = x.join(y, "h").filter((F.col("c1") < F.col("c2")) & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))).select(F.least("rid1", "rid2").alias("a"), F.greatest("rid1", "rid2").alias("b"), *_bounds(F.col("n1"), F.col("n2"), F.col("p1"), F.col("p2"), percent)).filter("possible").select("a", "b").distinct()
-    second = written(_verify(pairs, sets, percent), "second")
-    joined = connected_components(first.unionByName(second).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    tokens = written(found.filter("shingles is not null").select("rid", "n", F.col("prefix")[0]["p"].alias("first"), F.explode("prefix").alias("x")).select("rid", "n", "x.h", "x.p", (1000 * F.col("first") / F.col("n")).cast("int").alias("alone")).repartition(n, "h"), "tokens")
+
+    # Hub rounds: each document against the one hub, of another component, with which it shares most of its prefix.
+    # The hub of a shingle is its document with the fewest shingles of its own: what near copies were copied from.
+    linked = None
+    for _ in range(HUB_ROUNDS):
+        placed = _placed(tokens, linked)
+        best = placed.groupBy("h", "c").agg(F.min(F.struct("alone", "n", "rid", "p")).alias("best"))
+        hubs = best.groupBy("h").agg(F.min(F.struct("best", "c")).alias("one"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("h", "one")
+        other = best.join(hubs, "h").filter("c <> one.c").groupBy("h").agg(F.min(F.struct("best", "c")).alias("two"))
+        both = hubs.join(other, "h")
+        hub = F.when(F.col("c") == F.col("one.c"), F.col("two")).otherwise(F.col("one"))["best"]
+        near = placed.join(both, "h").select("rid", hub.alias("hub"), "n", "p").select("rid", F.col("hub.rid").alias("hub"), *_bounds(F.col("n"), F.col("hub.n"), F.col("p"), F.col("hub.p"), percent)).filter("possible")
+        chosen = near.groupBy("rid", "hub").agg(F.count("*").alias("shared")).groupBy("rid").agg(F.max(F.struct("shared", (-F.col("hub")).alias("m"))).alias("best"))
+        pairs = chosen.select(F.least("rid", -F.col("best.m")).alias("a"), F.greatest("rid", -F.col("best.m")).alias("b")).distinct()
+        new = written(_verify(pairs, sets, percent).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+        linked = new if linked is None else linked.unionByName(new)
+
+    # What is left: documents that share a prefix shingle with one of another component, in families, block against block.
+    placed = _placed(tokens, linked)
+    several = placed.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("rid").alias("least")).filter("lo < hi").select("h", "least")
+    left = written(placed.join(several, "h").select("rid", "c", "least").distinct(), "left")
+    family = written(connected_components(left.select(F.col("rid").alias("u"), F.col("least").alias("v"))), "families").withColumnsRenamed({"id": "rid", "component": "family"})
+    members = left.select("rid", "c").distinct().join(family, "rid")
+    joined = connected_components(linked.unionByName(_families(members, found, percent)))
 
     rep = alike.select("rid", "key").join(found.select("rid", "n"), "rid").join(joined.withColumnRenamed("id", "rid"), "rid", "left").select(F.col("key").alias("k"), "n", F.coalesce("component", "rid").alias("c"))
     rows = written(ids.join(rep, F.col("key") == F.col("k")).select("doc_id", "n", "c"), "rows")
@@ -268,6 +280,78 @@ def similarity_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return rows.join(least, "c").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def _placed(tokens: DataFrame, links: DataFrame | None) -> DataFrame:
+    """The prefix tokens with the component of their document so far."""
+    if links is None:
+        return tokens.withColumn("c", F.col("rid"))
+    parts = written(connected_components(links), "parts")
+    return tokens.join(parts.withColumnRenamed("id", "rid"), "rid", "left").withColumn("c", F.coalesce("component", "rid")).drop("component")
+
+
+def _families(members: DataFrame, found: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """members (rid, c, family) -> (u, v) edges that connect all similar documents of a family that are in different components.
+
+    A family is cut into blocks; a component that fills blocks has its own, and these do not meet each other. Every two
+    blocks are one group of rows, whatever the number of pairs between them: pairs never leave it.
+    """
+    size = members.groupBy("family", "c").agg(F.count("*").alias("k"))
+    kept = size.withColumn("g", F.when(F.col("k") >= FAMILY_BLOCK, F.col("c"))).select("family", "c", "g")
+    cut = size.withColumn("g", F.when(F.col("k") >= FAMILY_BLOCK, F.col("c"))).groupBy("family", "g").agg(F.ceil(F.sum("k") / FAMILY_BLOCK).alias("blocks"))
+    spot = F.pmod(F.xxhash64("rid", F.lit(55)), F.col("blocks"))
+    own = members.join(kept, ["family", "c"]).join(cut.withColumnRenamed("g", "g2").withColumnRenamed("family", "f2"), (F.col("family") == F.col("f2")) & F.col("g").eqNullSafe(F.col("g2"))).select("family", "rid", "c", "g", spot.alias("spot"))
+    own = written(own.withColumn("block", F.struct(F.coalesce("g", F.lit(-1)).alias("g"), "spot")), "members")
+    blocks = own.groupBy("family", "block").agg(F.max("g").alias("g"))
+    a, b = (blocks.select("family", F.col("block").alias(f"block{k}"), F.col("g").alias(f"g{k}")) for k in (1, 2))
+    meet = written(a.join(b, "family").filter((F.col("block1") <= F.col("block2")) & ~F.coalesce(F.col("g1") == F.col("g2"), F.lit(False))).select("family", "block1", "block2"), "meetings")
+    rows = own.join(found.select("rid", "prefix", "shingles"), "rid").select("family", "block", "rid", "c", F.col("prefix.h").alias("prefix"), "shingles")
+    left = rows.join(meet.withColumnRenamed("block1", "block"), ["family", "block"]).select("family", F.col("block").alias("block1"), "block2", F.lit(0).alias("side"), "rid", "c", "prefix", "shingles")
+    right = rows.join(meet.filter("block1 < block2").withColumnRenamed("block2", "block"), ["family", "block"]).select("family", "block1", F.col("block").alias("block2"), F.lit(1).alias("side"), "rid", "c", "prefix", "shingles")
+    return left.unionByName(right).groupBy("family", "block1", "block2").applyInArrow(lambda t: _compare(t, percent), "u long, v long")
+
+
+def _shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each of x with each of y, some columns of the incidence matrices at a time."""
+    owner = [np.repeat(np.arange(len(t)), [len(v) for v in t]) for t in (x, y)]
+    values = [np.concatenate(t) if t else np.zeros(0, np.int64) for t in (x, y)]
+    common = np.intersect1d(*values)
+    out = np.zeros((len(x), len(y)))
+    places = []
+    for v, o in zip(values, owner, strict=True):
+        at = np.searchsorted(common, v)
+        hit = (at < len(common)) & (common[np.minimum(at, max(len(common) - 1, 0))] == v) if len(common) else np.zeros(len(v), bool)
+        order = np.argsort(at[hit], kind="stable")
+        places.append((at[hit][order], o[hit][order]))
+    for k in range(0, len(common), 8192):
+        m = []
+        for (at, o), n in zip(places, (len(x), len(y)), strict=True):
+            i, j = np.searchsorted(at, [k, k + 8192])
+            part = np.zeros((n, 8192), np.float32)
+            part[o[i:j], at[i:j] - k] = 1
+            m.append(part)
+        out += m[0] @ m[1].T
+    return out
+
+
+def _compare(t: pa.Table, percent: int = PERCENT) -> pa.Table:
+    """Edges between the documents of two blocks, or within one. Candidates share a prefix token, lie in different
+    components and are near enough in size; then the intersection decides."""
+    side = np.array(t.column("side").to_pylist())
+    one = not side.any()
+    parts = [t.filter(pa.array(side == k)) for k in ((0, 0) if one else (0, 1))]
+    rid, c = ([np.array(p.column(x).to_pylist(), np.int64) for p in parts] for x in ("rid", "c"))
+    prefix = [[np.unique(np.array(v, np.int64)) for v in p.column("prefix").to_pylist()] for p in parts]
+    sets = [[np.frombuffer(v, "<i8") for v in p.column("shingles").to_pylist()] for p in parts]
+    n, m = (np.array([len(v) for v in s]) for s in sets)
+    candidate = (c[0][:, None] != c[1][None]) & (100 * np.minimum(n[:, None], m[None]) >= percent * np.maximum(n[:, None], m[None]))
+    edges: list[tuple[int, int]] = []
+    if candidate.any() and (candidate := candidate & (_shared(*prefix) > 0)).any():
+        x, y = np.flatnonzero(candidate.any(1)), np.flatnonzero(candidate.any(0))
+        both = _shared([sets[0][i] for i in x], [sets[1][j] for j in y])
+        similar_ = candidate[np.ix_(x, y)] & (100 * both >= percent * (n[x][:, None] + m[y][None] - both))
+        edges = forest(similar_, rid[0][x], rid[1][y])
+    return pa.table([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+
 def _bounds(n: object, m: object, p: object, q: object, percent: int) -> list:
     """The positional filter: whether sets that share a token at places p and q may still share enough."""
     needed = F.ceil(percent * (n + m) / (100 + percent))
