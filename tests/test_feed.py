@@ -93,3 +93,14 @@ def test_stream(spark, tmp_path):
         q.awaitTermination(60)
         assert spark.read.parquet(str(tmp_path / "out")).count() == total
     spark.streams.removeListener(listener)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from siftline.__main__ import main
+
+    p = tmp_path / "a.ndjson"
+    p.write_text('{"id":1,"city":"Rome"}\n{"id":2,"city":"Rome"}\n')
+    main([str(p)])
+    main([str(p), "--duplicates", "city", "--cross", "city", "id", "--page", "1", "--csv", str(tmp_path / "csv"), "--filter", "id:2"])
+    out = capsys.readouterr().out
+    assert "Rome" in out and "1 rows written" in out
