@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 from siftline.functions.names import strip_namespace
 
@@ -43,6 +44,8 @@ def events(text: str) -> Iterator[tuple[str, str, str]]:
 
 def attributes(rest: str) -> list[tuple[str, str]]:
     """Names without namespace, and values as written."""
+    if not rest or "=" not in rest:
+        return []
     return [(strip_namespace(m[1]), m[2] if m[2] is not None else m[3]) for m in _ATTRIBUTE.finditer(rest)]
 
 
@@ -69,6 +72,14 @@ def decode(text: str) -> str:
     return "" if bad else out
 
 
+@lru_cache(1 << 12)
+def spelled(name: str) -> tuple[str, str]:
+    """A tag's name without namespace, as written and in lower case."""
+    name = strip_namespace(name)
+    return name, name.lower()
+
+
+@lru_cache(1 << 12)
 def is_description(tag: str) -> bool:
     low = tag.lower()
     return low in DESCRIPTIONS or any(p in low for p in DESCRIPTION_PARTS)
@@ -94,13 +105,17 @@ class Record:
             if self.skipping is None:
                 self.add(value if kind == CDATA else decode(value))
             return False
-        name = strip_namespace(value)
-        low = name.lower()
+        name, low = spelled(value)
         if self.skipping is not None:
             return self.pass_over(kind, low)
         if kind == END and low == self.tag:
             return True
-        {START: self.start, EMPTY: self.empty, END: self.end}[kind](name, low, rest)
+        if kind == START:
+            self.start(name, low, rest)
+        elif kind == END:
+            self.end(name, low, rest)
+        else:
+            self.empty(name, low, rest)
         return False
 
     def pass_over(self, kind: str, low: str) -> bool:
@@ -156,10 +171,11 @@ class Record:
             if low in ("p", "li", "tr") or low.startswith("h"):
                 self.new_line()
             return
-        spots = [k for k, t in enumerate(self.path) if t.lower() == low]
-        if not spots:
+        at = len(self.path) - 1
+        while at >= 0 and spelled(self.path[at])[1] != low:
+            at -= 1
+        if at < 0:
             return
-        at = spots[-1]
         key = ".".join(self.path[: at + 1])
         if text := self.text.strip():
             if key not in self.fields:
@@ -196,7 +212,7 @@ def records(text: str, tag: str, skip_descriptions: bool = False, whole: bool =
             if record.feed(kind, value, rest):
                 yield record.fields
                 record = None
-        elif kind in (START, EMPTY) and strip_namespace(value).lower() == low:
+        elif kind in (START, EMPTY) and spelled(value)[1] == low:
             if kind == EMPTY:
                 yield dict(attributes(rest))
             else:

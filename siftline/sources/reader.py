@@ -15,6 +15,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -159,11 +160,14 @@ def closing_tag(head: str, tag: str) -> str:
     return m[0] if m else f"</{tag}>"
 
 
-def wide(fields: DataFrame, collision: str = "first") -> FeedFrame:
+def wide(fields: DataFrame, collision: str = "first", keep: bool = True) -> FeedFrame:
     """Records as a table: a column for each key of any record, in the order of the keys, null where a record lacks it.
 
-    Keys are collected over the whole feed: their number is that of the columns.
+    Keys are collected over the whole feed: their number is that of the columns. keep: parsed records stay in memory and
+    on disk for the pass that makes the columns; else they are parsed again.
     """
+    if keep:
+        fields = fields.persist(StorageLevel.MEMORY_AND_DISK)
     keys = sorted(r[0] for r in fields.select(F.explode(F.map_keys("fields")).alias("k")).distinct().collect())
     names = ColumnMap.of(keys, collision) if keys else ColumnMap({"id": ("id",)})
     cols = [F.coalesce(*(F.try_element_at("fields", F.lit(o)) for o in originals)).alias(c, metadata={"original": originals[0]}) for c, originals in names.originals.items()]
@@ -200,6 +204,6 @@ def read_fields(spark: SparkSession, path: str, mode: str = "full", record_tag:
     return ndjson_fields(lines, record_tag, skip) if before is None else array_fields(lines, before, record_tag, skip)
 
 
-def read_feed(spark: SparkSession, path: str, mode: str = "full", record_tag: str | None = None, collision: str = "first", split: bool = True) -> FeedFrame:
+def read_feed(spark: SparkSession, path: str, mode: str = "full", record_tag: str | None = None, collision: str = "first", split: bool = True, keep: bool = True) -> FeedFrame:
     """A feed, XML or JSON, perhaps compressed, local, remote or on any file system of Spark's, as a table of text columns."""
-    return wide(read_fields(spark, path, mode, record_tag or None, split), collision)
+    return wide(read_fields(spark, path, mode, record_tag or None, split), collision, keep)
