@@ -177,7 +177,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Decis
     if n > max_rows:
         y = y.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * 0.95 * max_rows / n))
     sample = docs.select("doc_id", "text").join(F.broadcast(y.limit(max_rows)), "doc_id").select("doc_id", "y", statistics(F.col("text")).alias("s"))
-    sample = written(sample.filter(~base_failed(F.col("s"))).select("y", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) == 0).alias("prune"), *(c.alias(f) for f, c in features(F.col("s")).items())), "labelled")
+    # The filter stands behind the written table: before it, Spark would push it, with the statistics, below the join.
+    sample = written(sample.select("y", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) == 0).alias("prune"), base_failed(F.col("s")).alias("failed"), *(c.alias(f) for f, c in features(F.col("s")).items())), "labelled").filter("not failed")
     at = [k / BINS for k in range(1, BINS)]
     cuts = sample.agg(*(F.percentile(f, F.array(*map(F.lit, at))).alias(f) for f in FEATURES), *(F.percentile(F.when(F.col("y") == 0, F.col(f)), F.array(*map(F.lit, at))).alias(f"{f}_bad") for f in FEATURES)).first()
     seen = {f: sorted({*(cuts[f] or []), *(cuts[f"{f}_bad"] or [])}) for f in FEATURES}
