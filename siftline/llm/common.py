@@ -66,11 +66,21 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Spark's own removal of the files of a write's shuffles when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str = "t") -> DataFrame:
-    """The rows as a table in the shared folder: cuts the lineage, and survives lost executors."""
+    """The rows as a table in the shared folder: cuts the lineage, and survives lost executors. The shuffles that made
+    them leave no files behind."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._siftline_path = path
     return out

@@ -31,8 +31,11 @@ from siftline.llm.common import fold, partitions, read, written
 from siftline.llm.jaccard import _LOW, word_hashes
 
 #: Bytes of context; symbols that no text has (not in UTF-8): what stands before a text, and its end; bytes of a block and of a step.
-ORDER, BEFORE, END, SYMBOLS, BLOCK_BYTES, STEP = 5, 0xFE, 0xFF, 256, 32 << 20, 2 << 20
-GRAM, WORD = 0, 1
+ORDER, BEFORE, END, SYMBOLS, BLOCK_BYTES, STEP = 5, 0xFE, 0xFF, 256, 20 << 20, 1 << 19
+#: Keys that wait to be merged with a block's others.
+MERGE = 1 << 18
+#: Words' hashes are marked as keys below zero; grams are not.
+MARK = np.int64(-1 << 63)
 
 
 class Adaptive:
@@ -81,11 +84,12 @@ def grams_of(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _texts(t: pa.Table) -> list[bytes]:
-    return [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in t.column("text")]
+def _texts(t: pa.Table) -> list[memoryview]:
+    """The texts where they lie, none copied."""
+    return [memoryview(x.as_buffer()) if x.is_valid else memoryview(b"") for x in t.column("text")]
 
 
-def _steps(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+def _steps(texts: list[memoryview]) -> Iterator[tuple[int, int]]:
     at = size = 0
     for k, t in enumerate(texts):
         size += len(t) + ORDER + 1
@@ -96,9 +100,10 @@ def _steps(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
-def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _joined(texts: list[memoryview]) -> tuple[np.ndarray, np.ndarray]:
     """Texts, each with its beginning and end symbols, as one; and where each begins."""
-    data = b"".join(bytes([BEFORE]) * ORDER + t + bytes([END]) for t in texts)
+    before, end = bytes([BEFORE]) * ORDER, bytes([END])
+    data = b"".join(x for t in texts for x in (before, t, end))
     starts = np.concatenate([[0], np.cumsum([len(t) + ORDER + 1 for t in texts])])
     return _LOW[np.frombuffer(data, np.uint8)], starts
 
@@ -111,7 +116,7 @@ def _real(starts: np.ndarray, n: int) -> np.ndarray:
     return real
 
 
-def _keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _keys(texts: list[memoryview]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Grams of some texts and the text of each; words and the text of each."""
     data, starts = _joined(texts)
     g = grams_of(data)
@@ -120,34 +125,36 @@ def _keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     plain = np.where((data == BEFORE) | (data == END), np.uint8(32), data)
     w, at = word_hashes(plain)
     owner = np.repeat(np.arange(len(texts)), np.diff(starts) - ORDER)
-    return g[real], owner, w.view(np.int64), np.searchsorted(starts, at, side="right") - 1
+    return g[real], owner, w.view(np.int64) | MARK, np.searchsorted(starts, at, side="right") - 1
 
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    k, c = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    u, where = np.unique(k, return_inverse=True)
-    return u, np.bincount(where, c, len(u)).astype(np.int64)
+    """Distinct keys and the sums of their counts; the parts are used up."""
+    k, c = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+    parts.clear()
+    order = np.argsort(k)
+    k, c = k[order], c[order]
+    del order
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    return k[first], np.add.reduceat(c, first, dtype=np.int64) if len(k) else c.astype(np.int64)
 
 
 def _ask(t: pa.Table) -> pa.Table:
     """A block's distinct grams and words, with how often its training documents have them."""
     texts, train = _texts(t), np.array(t.column("train").to_pylist(), bool)
-    sums: dict[int, list] = {GRAM: [], WORD: []}
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
     for i, j in _steps(texts):
         g, go, w, wo = _keys(texts[i:j])
-        for kind, key, owner in ((GRAM, g, go), (WORD, w, wo)):
+        for key, owner in ((g, go), (w, wo)):
             taught = train[i:j][owner]
             for part, weight in ((key[taught], 1), (key[~taught], 0)):
                 u, n = np.unique(part, return_counts=True)
-                sums[kind].append((u, n * weight))
-            if len(sums[kind]) >= 16:
-                sums[kind] = [_summed(sums[kind])]
-    block = t.column("block")[0].as_py()
-    out = []
-    for kind, parts in sums.items():
-        u, n = _summed(parts)
-        out.append(pa.table([pa.array(np.full(len(u), block)), pa.array(np.full(len(u), kind, np.int8)), pa.array(u), pa.array(n)], names=["block", "kind", "key", "n"]))
-    return pa.concat_tables(out)
+                parts.append((u, n * weight))
+        if sum(len(p[0]) for p in parts[1:]) >= max(MERGE, len(parts[0][0]) // 2):
+            parts = [_summed(parts)]
+    u, n = _summed(parts)
+    pa.default_memory_pool().release_unused()
+    return pa.table([pa.array(np.full(len(u), t.column("block")[0].as_py())), pa.array(u), pa.array(n)], names=["block", "key", "n"])
 
 
 def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,24 +216,32 @@ def evaluate(grams: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> np.nda
         return np.where(done, out, out - np.log10(SYMBOLS - excluded_kinds))
 
 
+def _look_up(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """The values of keys that are all there. Asked for in order, neighbours find the table in the cache."""
+    order = np.argsort(asked)
+    out = np.empty(len(asked))
+    out[order] = values[np.searchsorted(keys, asked[order])]
+    return out
+
+
 def _score(docs: pa.Table, known: pa.Table, total: int, distinct: int, ends: int) -> pa.Table:
     """A block's documents with their scores, by look-up of its grams' and words' values."""
-    kind, keys, values = (known.column(c).to_numpy() for c in ("kind", "key", "value"))
-    tables = {}
-    for k in (GRAM, WORD):
-        order = np.argsort(keys[kind == k])
-        tables[k] = keys[kind == k][order], values[kind == k][order]
+    keys, values = (known.column(c).to_numpy() for c in ("key", "value"))
+    order = np.argsort(keys)
+    keys, values = keys[order], values[order]
+    del order
     base = lambda c: np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
     texts, n = _texts(docs), docs.num_rows
     score, unigram, tokens, hits = np.zeros(n), np.zeros(n), np.ones(n, np.int64), np.full(n, int(ends > 0), np.int64)
     for i, j in _steps(texts):
         g, go, w, wo = _keys(texts[i:j])
-        score[i:j] = np.bincount(go, tables[GRAM][1][np.searchsorted(tables[GRAM][0], g)], j - i)
-        c = tables[WORD][1][np.searchsorted(tables[WORD][0], w)] if len(w) else np.zeros(0)
+        score[i:j] = np.bincount(go, _look_up(keys, values, g), j - i)
+        c = _look_up(keys, values, w) if len(w) else np.zeros(0)
         unigram[i:j] = np.bincount(wo, base(c), j - i)
         tokens[i:j] += np.bincount(wo, minlength=j - i)
         hits[i:j] += np.bincount(wo, c > 0, j - i).astype(np.int64)
     unigram += base(float(ends))
+    pa.default_memory_pool().release_unused()
     return pa.table([docs.column("doc_id"), pa.array(~np.array(docs.column("train").to_pylist(), bool)), pa.array(tokens), pa.array(hits), pa.array(np.full(n, total, np.int64)), pa.array(unigram), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
@@ -237,26 +252,28 @@ def score(docs: DataFrame) -> DataFrame:
     total, ends = sums[0] or 0, sums[1]
     blocks = max(1, -(-total // BLOCK_BYTES))
     placed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "train", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
-    asked = written(placed.groupBy("block").applyInArrow(_ask, "block long, kind byte, key long, n long"), "asked")
+    asked = written(placed.groupBy("block").applyInArrow(_ask, "block long, key long, n long"), "asked")
     n = partitions(spark)
-    counts = written(asked.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
-    words = counts.filter(f"kind = {WORD}").select("kind", "key", F.col("n").cast("double").alias("value"))
+    counts = written(asked.groupBy("key").agg(F.sum("n").alias("n")), "counts")
+    words = counts.filter("key < 0").select("key", F.col("n").cast("double").alias("value"))
     seen = words.agg(F.sum("value"), F.count_if(F.col("value") > 0)).first()
     all_tokens, kinds = int(seen[0] or 0) + ends, int(seen[1]) + int(ends > 0)
     # The two shortest orders: 65,536 counts at most.
-    last = counts.filter(f"kind = {GRAM}").groupBy(F.col("key").bitwiseAND(0xFFFF).alias("pair")).agg(F.sum("n").alias("n")).collect()
+    last = counts.filter("key >= 0").groupBy(F.col("key").bitwiseAND(0xFFFF).alias("pair")).agg(F.sum("n").alias("n")).collect()
     pairs = np.zeros((256, 256))
     for r in last:
         pairs[r["pair"] >> 8, r["pair"] & 255] = r["n"]
 
     def trie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches([*batches], pa.schema([("key", pa.int64()), ("n", pa.int64())]))
-        keys = t.column("key").to_numpy()
-        value = evaluate(keys, t.column("n").to_numpy(), pairs) if len(keys) else np.zeros(0)
-        yield from pa.table([pa.array(np.full(len(keys), GRAM, np.int8)), pa.array(keys), pa.array(value)], names=["kind", "key", "value"]).to_batches(65_536)
-
-    grams = counts.filter(f"kind = {GRAM}").select("key", "n").repartition(n, F.expr("(key >> 8) & 65535")).mapInArrow(trie, "kind byte, key long, value double")
-    told = asked.select("block", "kind", "key").join(grams.unionByName(words), ["kind", "key"]).select("block", "kind", "key", "value")
+        held = [*batches]
+        if held:
+            t = pa.Table.from_batches(held)
+            keys = t.column("key").to_numpy()
+            value = evaluate(keys, t.column("n").to_numpy(), pairs)
+            yield from pa.table([pa.array(keys), pa.array(value)], names=["key", "value"]).to_batches(65_536)
+
+    grams = counts.filter("key >= 0").select("key", "n").repartition(n, F.expr("(key >> 8) & 65535")).mapInArrow(trie, "key long, value double")
+    told = asked.select("block", "key").join(grams.unionByName(words), "key").select("block", "key", "value")
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return placed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda d, k: _score(d, k, all_tokens, kinds, ends) if d.num_rows else _none(), out)
 
