@@ -1,15 +1,16 @@
 """HTML extraction by site template removal (operator 10).
 
 Pages are parsed into element trees by a tolerant one-pass reader. Each container element outside of an article gets a
-hash of its subtree (names, text, children in order). Spark counts the pages of a host on which a hash occurs; subtrees
-that recur on many pages of their host are the site's template and are deleted, as are elements that are boilerplate
-by their kind: menus, headers, footers, sidebars, forms, scripts, styles, and those whose class or id names a notice,
+hash of its subtree (names, text, children in order). Spark counts the different pages of a host on which a hash
+occurs; subtrees that recur on MIN_PAGES of them are the site's template and are deleted, as are elements that are
+boilerplate by their kind: menus, headers, footers, sidebars, forms, scripts, styles, and those whose class or id names a notice,
 an advert, comments and the like. What remains of the articles, or else of the main element, or else of the body, is
 the text. Inside an article a subtree goes as template only if links make up most of it: a passage that many articles
 share stays.
 
-A hash is shuffled once per page with counts combined before the shuffle, so a host that holds a third of the pages is
-no hot group; a host's template list is bounded by the elements of a page over MIN_SHARE.
+Hashes are counted and joined by (host, hash), so a host that holds a third of the pages is no hot group and its template
+has no bound; the rows of a hash that very many pages hold are dealt to several places. A page gets the template hashes
+that its own text meets, and no others.
 
 Defined results: null and empty html give an empty text; markup without text too; a page without a host counts under
 the empty host; repeated rows are pages of their own; an empty table gives no rows; other columns are not read.
@@ -29,8 +30,10 @@ from pyspark.sql import functions as F
 from siftline.llm.common import read, written
 from siftline.llm.urls import host_of
 
-#: A subtree is template from so many pages of its host on, if they are such a share of the host's pages.
-MIN_PAGES, MIN_SHARE = 3, 0.05
+#: A subtree is template from so many different pages of its host on, however many pages the host has.
+MIN_PAGES = 3
+#: Places to which the rows of one key are dealt in joins.
+SALTS = 256
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
@@ -171,8 +174,9 @@ def _tops(e: Element, name: str) -> list[Element]:
     return out
 
 
-def main_text(root: Element, template: set[int], hashes: dict[int, int]) -> str:
-    """The text of the articles, else of the main elements, else of all, without boilerplate and template."""
+def main_text(root: Element, template: set[int], hashes: dict[int, int], met: set[int] | None = None) -> str:
+    """The text of the articles, else of the main elements, else of all, without boilerplate and template. The hashes on
+    its way, of template or not, are added to met."""
     tops, inside = _tops(root, "article"), True
     if not tops:
         tops = _tops(root, "main")
@@ -204,12 +208,16 @@ def main_text(root: Element, template: set[int], hashes: dict[int, int]) -> str:
                 run.append(" " if c.name == "br" else "")
             elif c.name == "hr":
                 flush()
-            elif boilerplate(c, inside) or hashes.get(id(c)) in template:
-                if c.name in BLOCK:
-                    flush()
             else:
                 if c.name in BLOCK:
                     flush()
+                if boilerplate(c, inside):
+                    continue
+                if (h := hashes.get(id(c))) is not None:
+                    if met is not None:
+                        met.add(h)
+                    if h in template:
+                        continue
                 stack.append(iter(c.children))
                 names.append(c.name)
         flush()
@@ -248,35 +256,53 @@ def subtree_hashes(source: str) -> tuple[Element, dict[int, int]]:
         return root, _deep(_hashes, root)
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, html) -> (host, template): the hashes of the subtrees that recur on each host, for hosts that have some."""
+def holding(rows: DataFrame, keys: DataFrame, on: list[str], by: str) -> DataFrame:
+    """The rows whose key is among the keys, which are distinct. The rows of a key are dealt to SALTS places by a column."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    places = salted.select(*on, "_salt").distinct().join(keys, on)
+    return salted.join(places, [*on, "_salt"]).drop("_salt")
+
+
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, page, html) -> (page, template): the hashes of the template subtrees in each page's text, for pages that have some."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(h, x) for h, source in zip(b.column(0).to_pylist(), b.column(1), strict=True) for x in ({0} | set(subtree_hashes(source.as_py() or "")[1].values()))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["host", "hash"])
+            counted, met = [], []
+            for source in b.column("html"):
+                root, hashes = subtree_hashes(source.as_py() or "")
+                main_text(root, set(), hashes, own := set())
+                counted.append([*set(hashes.values())])
+                met.append([*own])
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("page"), b.column("content"), pa.array(counted, longs), pa.array(met, longs)], names=["host", "page", "content", "counted", "met"])
 
-    counts = pages.select("host", "html").mapInArrow(run, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("n"))
-    counts = written(counts.filter((F.col("n") >= min_pages) | (F.col("hash") == 0)), "subtrees")  # hash 0: the host's pages
-    total = counts.filter("hash = 0").select("host", F.col("n").alias("pages"))
-    often = counts.filter("hash <> 0").join(total, "host").filter(F.col("n") >= min_share * F.col("pages"))
-    return often.groupBy("host").agg(F.collect_set("hash").alias("template"))
+    found = pages.select("host", "page", F.xxhash64("html").alias("content"), "html").mapInArrow(run, "host string, page long, content long, counted array<long>, met array<long>")
+    found = written(found, "subtrees")
+    met = found.select("host", "page", F.explode("met").alias("hash"))
+    held = found.select("host", "content", F.explode("counted").alias("hash")).distinct()
+    often = held.groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages).select("host", "hash")
+    template = written(often.join(met.select("host", "hash").distinct(), ["host", "hash"]), "recurring")
+    return holding(met, template, ["host", "hash"], "page").groupBy("page").agg(F.collect_set("hash").alias("template"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, html) -> the same ids and urls with their main text."""
+    place = F.pmod(F.xxhash64("page_id"), F.lit(SALTS))  # so that copies of a page do not meet in one place
     with_host = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
+    with_host = with_host.withColumn("page", F.xxhash64("host", "html", place))
     known = written(templates(with_host), "templates")  # its size is known to the planner: it is broadcast only if small
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
             for source, template in zip(b.column("html"), b.column("template"), strict=True):
-                root, hashes = subtree_hashes(source.as_py() or "")
-                texts.append(main_text(root, set(template.as_py() or ()), hashes))
+                source, template = source.as_py() or "", template.as_py()
+                root, hashes = subtree_hashes(source) if template else (parse(source), {})
+                texts.append(main_text(root, set(template or ()), hashes))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return with_host.join(known, "host", "left").select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html", "template").mapInArrow(run, "page_id long, url string, text string")
+    return with_host.join(known, "page", "left").select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html", "template").mapInArrow(run, "page_id long, url string, text string")
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -263,6 +263,13 @@ def test_html(spark):
     assert html_lib.unescape("&copy;") not in by[0] and html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_template_of_a_large_host(spark):
+    menu = '<div class="box"><p>Markets <a href="/m">Shares</a></p></div>'
+    rows = [(i, f"http://a.com/{i}", page((menu if i < 4 else "") + f"<div><p>Words of number {i} alone</p></div>")) for i in range(200)]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {i: f"Words of number {i} alone" for i in range(200)}
+
+
 def test_crc_is_of_little_endian_ids(spark):
     ids = np.array([1, 2, 50_000], "<u4").tobytes()
     assert spark.createDataFrame([(bytearray(ids),)], "b binary").select(F.crc32("b")).first()[0] == zlib.crc32(ids)
