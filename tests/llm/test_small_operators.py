@@ -270,6 +270,23 @@ def test_html_template_of_a_large_host(spark):
     assert {r["page_id"]: r["text"] for r in got} == {i: f"Words of number {i} alone" for i in range(200)}
 
 
+def test_html_copies_make_no_template(spark):
+    shared = [f"Paragraph {k} of the story goes on for some words." for k in range(9)]
+    story = "".join(f"<p>{s}</p>" for s in shared)
+    rows = [(i, f"http://a.com/{i}", page(story)) for i in range(3)]
+    rows += [(10 + i, f"http://b.com/{i}", page(f"{story}<p>Seen {i} times.</p>")) for i in range(40)]
+    links = "<article><p>One own article</p><div><a href='/'>See the source of it</a></div></article>"
+    rows += [(60 + i, f"http://c.com/{i}", page(f"<div>{i}</div>{links}")) for i in range(4)]
+    # Copies do not keep what other pages show to be template.
+    box = '<section class="box">About our site and those who make it</section>'
+    rows += [(70 + i, f"http://d.com/{i}", page(f"{box}{story if i < 5 else ''}<p>Page {i} has words of its own.</p>")) for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows) and all(got[i] == "\n".join(shared) for i in range(3))
+    assert all(got[10 + i] == "\n".join([*shared, f"Seen {i} times."]) for i in range(40))
+    assert all(got[60 + i] == "One own article\nSee the source of it" for i in range(4))
+    assert all(got[70 + i] == "\n".join([*(shared if i < 5 else []), f"Page {i} has words of its own."]) for i in range(8))
+
+
 def test_crc_is_of_little_endian_ids(spark):
     ids = np.array([1, 2, 50_000], "<u4").tobytes()
     assert spark.createDataFrame([(bytearray(ids),)], "b binary").select(F.crc32("b")).first()[0] == zlib.crc32(ids)
