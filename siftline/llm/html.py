@@ -5,8 +5,8 @@ hash of its subtree (names, text, children in order). Spark counts the different
 occurs; subtrees that recur on MIN_PAGES of them are the site's template and are deleted, as are elements that are
 boilerplate by their kind: menus, headers, footers, sidebars, forms, scripts, styles, and those whose class or id names a notice,
 an advert, comments and the like. What remains of the articles, or else of the main element, or else of the body, is
-the text. Inside an article a subtree goes as template only if links make up most of it: a passage that many articles
-share stays.
+the text. Inside an article a subtree goes as template only if links make up most of it, or if it is a box (BOXES, not a paragraph)
+that recurs at the beginning or the end of articles: a passage that many articles share stays.
 
 A page is told by its text without the template step: pages of equal text on a host count once, and so do near copies,
 which share most of their sentences, in and out of links. They are found by least hashes, as connected components, among
@@ -56,6 +56,9 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 #: Containers whose subtrees are hashed.
 COUNTED = frozenset("address aside center dir div dl details fieldset figure footer form header menu nav ol p section span table tr td ul".split())
 BOILERPLATE = frozenset("ad ads adv advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus disclaimer footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup promo promos promotion related replies reply respond share sharing sidebar skip social sponsor sponsored subscribe toolbar widget".split())
+#: Containers that go from the beginning or the end of an article if they recur there.
+BOXES = frozenset("address center details div dl figure ol section table ul".split())
+FIRST, LAST = 0x5BD1E9955BD1E995, 0x2545F4914F6CDD1D
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 #: Elements that a beginning element closes if it is open, up to the scope behind it.
 CLOSES = {"li": ("li", {"ul", "ol", "menu", "dir"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"}), "tbody": ("tr td th thead tbody", {"table"}), "tfoot": ("tr td th tbody", {"table"})}
@@ -127,8 +130,8 @@ def parse(source: str) -> Element:
     return root
 
 
-def digest(e: Element, inside: bool, found: dict[int, int]) -> bytes:
-    """The hash of a subtree; found gets id(element) -> hash of those that are counted."""
+def digest(e: Element, inside: bool, found: dict[int, int], boxes: dict[int, int]) -> bytes:
+    """The hash of a subtree; found gets id(element) -> hash of those that are counted, boxes of the boxes inside articles."""
     inside = inside or e.name in ("article", "main")
     parts = [e.name.encode()]
     held = False
@@ -138,10 +141,13 @@ def digest(e: Element, inside: bool, found: dict[int, int]) -> bytes:
                 parts.append(b"t" + w.encode("utf-8", "replace"))
         else:
             held = held or c.name in ("article", "main", "body")
-            parts.append(b"e" + digest(c, inside, found))
+            parts.append(b"e" + digest(c, inside, found, boxes))
     h = blake2b(b"\x00".join(parts), digest_size=8).digest()
-    if e.name in COUNTED and len(parts) > 1 and not held and (not inside or links(e)):
-        found[id(e)] = int.from_bytes(h, "little", signed=True)
+    if e.name in COUNTED and len(parts) > 1 and not held:
+        if not inside or links(e):
+            found[id(e)] = int.from_bytes(h, "little", signed=True)
+        if inside and e.name in BOXES:
+            boxes[id(e)] = int.from_bytes(h, "little", signed=True)
     return h
 
 
@@ -189,7 +195,34 @@ def _tops(e: Element, name: str) -> list[Element]:
     return out
 
 
-def main_text(root: Element, template: set[int], hashes: dict[int, int], met: set[int] | None = None, skipped: str = "") -> str:
+def edges(top: Element, boxes: dict[int, int], template: set[int], met: set[int] | None) -> set[int]:
+    """The ids of the template boxes that an article begins or ends with, also within a box around its text. With met,
+    that gets the keys of all boxes that could be such."""
+    gone: set[int] = set()
+    for place, order in ((FIRST, iter), (LAST, reversed)):
+        todo = [top]
+        while todo:
+            for c in order(todo.pop().children):
+                if isinstance(c, str):
+                    if c.strip():
+                        break
+                    continue
+                if not c.children or id(c) in gone or boilerplate(c, True):
+                    continue
+                if (h := boxes.get(id(c))) is None:
+                    break
+                if met is not None:
+                    met.add(h ^ place)
+                    todo.append(c)
+                elif h ^ place in template:
+                    gone.add(id(c))
+                else:
+                    todo.append(c)
+                    break
+    return gone
+
+
+def main_text(root: Element, template: set[int], hashes: dict[int, int], boxes: dict[int, int], met: set[int] | None = None, skipped: str = "") -> str:
     """The text of the articles, else of the main elements, else of all, without boilerplate and template. The hashes on
     its way, of template or not, are added to met; elements of the skipped name are left out too."""
     tops, inside = _tops(root, "article"), True
@@ -210,6 +243,7 @@ def main_text(root: Element, template: set[int], hashes: dict[int, int], met: se
         # Explicit stack: pages may nest deeper than Python recurses.
         stack: list = [iter(top.children)]
         names: list[str] = [top.name]
+        gone = edges(top, boxes, template, met) if boxes else ()
         flush()
         while stack:
             c = next(stack[-1], None)
@@ -226,7 +260,7 @@ def main_text(root: Element, template: set[int], hashes: dict[int, int], met: se
             else:
                 if c.name in BLOCK:
                     flush()
-                if c.name == skipped or boilerplate(c, inside):
+                if c.name == skipped or id(c) in gone or boilerplate(c, inside):
                     continue
                 if (h := hashes.get(id(c))) is not None:
                     if met is not None:
@@ -239,10 +273,11 @@ def main_text(root: Element, template: set[int], hashes: dict[int, int], met: se
     return "\n".join(blocks)
 
 
-def _hashes(root: Element) -> dict[int, int]:
+def _hashes(root: Element) -> tuple[dict[int, int], dict[int, int]]:
     found: dict[int, int] = {}
-    digest(root, False, found)
-    return found
+    boxes: dict[int, int] = {}
+    digest(root, False, found, boxes)
+    return found, boxes
 
 
 def _deep(f, *args):
@@ -263,12 +298,12 @@ def _deep(f, *args):
     return out[0]
 
 
-def subtree_hashes(source: str) -> tuple[Element, dict[int, int]]:
+def subtree_hashes(source: str) -> tuple[Element, dict[int, int], dict[int, int]]:
     root = parse(source)
     try:
-        return root, _hashes(root)
+        return root, *_hashes(root)
     except RecursionError:
-        return root, _deep(_hashes, root)
+        return root, *_deep(_hashes, root)
 
 
 def _minima(text: str) -> np.ndarray | None:
@@ -318,12 +353,12 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
         for b in batches:
             content, counted, met, bands = [], [], [], []
             for source in b.column("html"):
-                root, hashes = subtree_hashes(source.as_py() or "")
-                text = main_text(root, set(), hashes, own := set())
+                root, hashes, boxes = subtree_hashes(source.as_py() or "")
+                text = main_text(root, set(), hashes, boxes, own := set())
                 content.append(int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True))
-                counted.append([*set(hashes.values())])
+                counted.append([*own.union(hashes.values())])
                 met.append([*own])
-                bands.append(similarity_bands(text, main_text(root, set(), {}, skipped="a")))
+                bands.append(similarity_bands(text, main_text(root, set(), {}, {}, skipped="a")))
             longs = pa.list_(pa.int64())
             columns = [b.column("host"), b.column("page"), pa.array(content, pa.int64()), *(pa.array(x, longs) for x in (counted, met, bands))]
             yield pa.RecordBatch.from_arrays(columns, names=["host", "page", "content", "counted", "met", "bands"])
@@ -359,8 +394,8 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = []
             for source, template in zip(b.column("html"), b.column("template"), strict=True):
                 source, template = source.as_py() or "", template.as_py()
-                root, hashes = subtree_hashes(source) if template else (parse(source), {})
-                texts.append(main_text(root, set(template or ()), hashes))
+                root, *hashes = subtree_hashes(source) if template else (parse(source), {}, {})
+                texts.append(main_text(root, set(template or ()), *hashes))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     return with_host.join(known, "page", "left").select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html", "template").mapInArrow(run, "page_id long, url string, text string")

@@ -287,6 +287,22 @@ def test_html_copies_make_no_template(spark):
     assert all(got[70 + i] == "\n".join([*(shared if i < 5 else []), f"Page {i} has words of its own."]) for i in range(8))
 
 
+def test_html_boxes_at_the_ends_of_articles(spark):
+    first, last = "<div>From our <b>desk</b></div>", "<div><p>Get the weekly letter</p></div><section>It is free</section>"
+    shared = "<div>A passage that all quote</div>"
+    inner = lambda i: f"<h1>Article {i}</h1>{shared}<p>Words of number {i} alone.</p>"
+    texts = lambda i: f"Article {i}\nA passage that all quote\nWords of number {i} alone."
+    rows = [(i, f"http://a.com/{i}", page(f"<article>{first}{inner(i)}{last}</article>")) for i in range(4)]
+    rows += [(10 + i, f"http://b.com/{i}", page(f"<main><div><div>{inner(i)}</div>{last}</div></main>")) for i in range(4)]
+    # A paragraph stays, and so do the boxes of copies.
+    rows += [(20 + i, f"http://c.com/{i}", page(f"<article>{inner(i)}<p>The end</p></article>")) for i in range(4)]
+    rows += [(30 + i, f"http://d.com/{i}", page(f"<p>{i}</p><article>{inner(7)}{last}</article>")) for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(4):
+        assert got[i] == got[10 + i] == texts(i) and got[20 + i] == texts(i) + "\nThe end"
+        assert got[30 + i] == texts(7) + "\nGet the weekly letter\nIt is free"
+
+
 def test_crc_is_of_little_endian_ids(spark):
     ids = np.array([1, 2, 50_000], "<u4").tobytes()
     assert spark.createDataFrame([(bytearray(ids),)], "b binary").select(F.crc32("b")).first()[0] == zlib.crc32(ids)
