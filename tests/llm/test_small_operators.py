@@ -303,6 +303,14 @@ def test_html_boxes_at_the_ends_of_articles(spark):
         assert got[30 + i] == texts(7) + "\nGet the weekly letter\nIt is free"
 
 
+def test_html_attributes_are_whole_names():
+    text = lambda body: html.main_text(html.parse(body), set(), {}, {})
+    for rest in ('href="/hidden/valley"', 'title="a hidden gem"', 'aria-hidden="false"', 'data-id="share"', "title='class=ad id=menu'", "data-x=hidden/", 'data-class = "ad"'):
+        assert text(f"<article><div {rest}>Stays</div></article>") == "Stays", rest
+    for rest in ("hidden", 'title="x"hidden', 'HIDDEN=""', "id=share", 'title="a > b" class = \'x ad\'', 'style="display: none"', "role=dialog"):
+        assert text(f"<article><div {rest}>Goes</div></article>") == "", rest
+
+
 def test_crc_is_of_little_endian_ids(spark):
     ids = np.array([1, 2, 50_000], "<u4").tobytes()
     assert spark.createDataFrame([(bytearray(ids),)], "b binary").select(F.crc32("b")).first()[0] == zlib.crc32(ids)
