@@ -6,7 +6,8 @@ A document's bits are counted by language; the false positives that a language's
 language that explains most of the grams wins, and the explained share is the score.
 
 A language's set holds the grams that make up at least MIN_SHARE of its training text, so 1/MIN_SHARE of them at most,
-unless they are RATIO times as common in another language. Learning takes at most MAX_DOCS documents, drawn by a hash.
+unless they are RATIO times as common in another language. Learning takes about MAX_DOCS documents at most, drawn by a
+hash at a rate for each language: the languages get equal parts, and those with fewer documents teach with all of them.
 
 Defined results: null text and text without a letter is `und` with score 0; of languages that explain equally much the
 first by code point wins; without anything to learn from all is `und`; equal rows get equal rows; an empty table gives
@@ -38,17 +39,17 @@ def text_grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
     """For each size of gram the key at every byte of all texts one after the other, 0 where there is none; and the texts' beginnings."""
     parts = [b" " + (t or "").lower().encode("utf-8", "replace") + b"    " for t in texts]
     starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-    b = _FOLD[np.frombuffer(b"".join(parts), np.uint8)].astype(np.uint64)
+    b = _FOLD[np.frombuffer(b"".join(parts), np.uint8)]
     # A gram begins a word or lies in one; of two blanks in a row none begins or ends a gram.
     out, key, real = [], np.zeros(len(b), np.uint64), np.ones(len(b), bool)
     for n in range(1, max(GRAMS) + 1):
-        shifted = np.zeros(len(b), np.uint64)
-        shifted[: len(b) - n + 1] = b[n - 1 :]
-        key = (key << np.uint64(8)) | shifted
+        key <<= np.uint64(8)
+        key[: len(b) - n + 1] |= b[n - 1 :]
         if n > 1:
             real[: len(b) - n + 1] &= ~((b[n - 2 : len(b) - 1] == 32) & (b[n - 1 :] == 32))
         if n in GRAMS:
-            k = np.where(real, key | np.uint64(n << 40), np.uint64(0))
+            k = key | np.uint64(n << 40)
+            k[~real] = 0
             k[len(b) - n + 1 :] = 0
             out.append(k)
     return out, starts[:-1]
@@ -94,7 +95,7 @@ class LanguageFilter:
         a, b = h >> np.uint64(32), h | np.uint64(1)
         for _ in range(HASHES):
             yield (a & np.uint64(n - 1)).astype(np.int64)
-            a = a + b
+            a += b
 
     def hits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(texts x languages) corrected shares of grams that each language explains, and each text's number of grams."""
@@ -105,13 +106,13 @@ class LanguageFilter:
             ends = np.searchsorted(real, starts)
             owner_counts = np.diff(np.append(ends, len(real)))
             count += owner_counts
-            places = [*self.places(keys[real], self.masks.shape[1])]
-            for w, table in enumerate(self.masks):
-                got = table[places[0]]
-                for p in places[1:]:
-                    got &= table[p]
+            every: list[np.ndarray] = []
+            for p in self.places(keys[real], self.masks.shape[1]):  # one at a time: each is as long as all texts
+                every = [got & table[p] for got, table in zip(every, self.masks, strict=True)] if every else [table[p] for table in self.masks]
+            for w, got in enumerate(every):
                 for k in range(64 * w, min(64 * w + 64, len(self.languages))):
-                    total = np.concatenate([[0], np.cumsum((got >> np.uint64(k % 64)) & np.uint64(1), dtype=np.int64)])
+                    total = np.zeros(len(got) + 1, np.int64)
+                    np.cumsum(got & np.uint64(1 << k % 64) != 0, out=total[1:])
                     found[:, k] += total[ends + owner_counts] - total[ends]
         share = found / np.maximum(count, 1)[:, None]
         return np.clip((share - self.rate) / np.maximum(1 - self.rate, 1e-9), 0, 1), count
@@ -124,12 +125,24 @@ class LanguageFilter:
         return [self.languages[k] for k in best], [float(share[i, k]) for i, k in enumerate(best)]
 
 
+def equal_part(sizes: list[int], total: int) -> float:
+    """What a size may be at most so that all, cut to it, add up to the total at most."""
+    left = total
+    for k, n in enumerate(sorted(sizes)):
+        if n * (len(sizes) - k) > left:
+            return left / (len(sizes) - k)
+        left -= n
+    return float("inf")
+
+
 def learn(docs: DataFrame, max_docs: int = MAX_DOCS) -> LanguageFilter:
-    """From (text, lang) of at most about max_docs documents. The driver gets 1/MIN_SHARE grams of a language at most."""
+    """From (text, lang) of at most about max_docs documents. The driver gets a count and 1/MIN_SHARE grams of a language at most."""
     docs = docs.filter("text is not null and lang is not null").select("doc_id", "text", "lang")
-    n = docs.count()
-    if n > max_docs:
-        docs = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 30)) < int((1 << 30) * max_docs / n))
+    sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    most = equal_part([*sizes.values()], max_docs)
+    if over := {lang: int((1 << 30) * most / n) for lang, n in sizes.items() if n > most}:
+        below = F.map_from_arrays(F.lit([*over]), F.lit([*over.values()]).cast("array<long>"))[F.col("lang")]
+        docs = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 30)) < F.coalesce(below, F.lit(1 << 30)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}

@@ -147,6 +147,17 @@ def test_language(spark, texts):
     assert {r["lang_pred"] for r in language.predict(docs, nothing).collect()} == {"und"}
 
 
+def test_rare_language_teaches_with_all_documents(spark):
+    rng = random.Random(8)
+    text = lambda letters: " ".join("".join(rng.choices(letters, k=6)) for _ in range(20))
+    rows = [(i, text("abcdefghij") if i % 50 else text("klmnopqrstuvw"), "aa" if i % 50 else "bb") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.predict(docs, language.learn(docs, max_docs=60)).filter("lang = 'bb'").collect()
+    assert len(got) == 10 and all(r["lang_pred"] == "bb" and r["score"] > 0.98 for r in got)
+    assert language.equal_part([10, 490], 60) == 50 and language.equal_part([490, 3, 400], 60) == 28.5
+    assert language.equal_part([10, 50], 60) == language.equal_part([], 60) == float("inf")
+
+
 def test_bloom_has_no_false_negatives():
     rng = np.random.default_rng(0)
     sets = {f"l{k}": rng.integers(1, 1 << 40, 500).astype(np.uint64) for k in range(70)}
