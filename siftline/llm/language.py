@@ -10,63 +10,79 @@ unless they are RATIO times as common in another language. Learning takes about
 hash at a rate for each language: the languages get equal parts, and those with fewer documents teach with all of them.
 
 Defined results: null text and text without a letter is `und` with score 0; of languages that explain equally much the
-first by code point wins; without anything to learn from all is `und`; equal rows get equal rows; an empty table gives
-no rows; columns besides the id, the text and, for learning, the language are not read.
+first by code point wins; very long texts are taken piece by piece; a language without grams (its texts are empty, or
+all digits) is never predicted; without anything to learn from all is `und`; equal rows get equal rows; an empty table
+gives no rows; columns besides the id, the text and, for learning, the language are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm.common import fold, read
 
 GRAMS, HASHES, MIN_SHARE, RATIO, MAX_DOCS, UNKNOWN = (3, 4), 3, 1 / 30_000, 8.0, 20_000, "und"
-#: Bytes taken at once, and the least score of a document that the pipeline keeps.
-CHUNK, MIN_SCORE = 1 << 21, 0.2
+#: Bytes and texts taken at once, and the least score of a document that the pipeline keeps.
+CHUNK, ROWS, MIN_SCORE = 1 << 17, 1024, 0.2
 
 _FOLD = np.arange(256, dtype=np.uint8)
 for _b in range(128):
     _FOLD[_b] = _b if chr(_b).isalpha() else 32
 
 
-def text_grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each size of gram the key at every byte of all texts one after the other, 0 where there is none; and the texts' beginnings."""
-    parts = [b" " + (t or "").lower().encode("utf-8", "replace") + b"    " for t in texts]
-    starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+def pieces(texts: Iterable[str | None], size: int | None = None) -> Iterator[tuple[list[int], list[bytes], list[int]]]:
+    """Texts as bytes, cut and gathered to about `size` bytes at a time: owners, bytes, and how many places of each are its own.
+
+    A cut text's piece goes on for as many bytes behind its own places as a gram needs, so every gram is in one piece.
+    """
+    size, over = size or CHUNK, max(GRAMS) - 1
+    owners: list[int] = []
+    parts: list[bytes] = []
+    own: list[int] = []
+    held = 0
+    for k, t in enumerate(texts):
+        whole = b" " + (t or "").lower().encode("utf-8", "replace") + b"    "
+        for at in range(0, len(whole), size):
+            owners.append(k)
+            parts.append(whole[at : at + size + over])
+            own.append(min(size, len(whole) - at))
+            held += own[-1]
+            if held >= size:
+                yield owners, parts, own
+                owners, parts, own, held = [], [], [], 0
+    if owners:
+        yield owners, parts, own
+
+
+def piece_grams(parts: list[bytes], own: list[int]) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each size of gram the key at every byte of all pieces one after the other, 0 where there is none; and the pieces' beginnings."""
+    starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
     b = _FOLD[np.frombuffer(b"".join(parts), np.uint8)]
+    mine = np.zeros(len(b) + 1, np.int8)
+    np.add.at(mine, starts[:-1], 1)
+    np.add.at(mine, starts[:-1] + np.array(own, np.int64), -1)
     # A gram begins a word or lies in one; of two blanks in a row none begins or ends a gram.
-    out, key, real = [], np.zeros(len(b), np.uint64), np.ones(len(b), bool)
+    out, key, real = [], np.zeros(len(b), np.uint64), np.cumsum(mine[:-1], dtype=np.int8) > 0
     for n in range(1, max(GRAMS) + 1):
+        room = max(len(b) - n + 1, 0)
         key <<= np.uint64(8)
-        key[: len(b) - n + 1] |= b[n - 1 :]
+        key[:room] |= b[n - 1 :]
         if n > 1:
-            real[: len(b) - n + 1] &= ~((b[n - 2 : len(b) - 1] == 32) & (b[n - 1 :] == 32))
+            real[:room] &= ~((b[n - 2 : len(b) - 1] == 32) & (b[n - 1 :] == 32))
         if n in GRAMS:
             k = key | np.uint64(n << 40)
             k[~real] = 0
-            k[len(b) - n + 1 :] = 0
+            k[room:] = 0
             out.append(k)
     return out, starts[:-1]
 
 
-def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about CHUNK bytes; a longer text is alone."""
-    at = size = 0
-    for k, t in enumerate(texts):
-        size += len(t or "")
-        if size >= CHUNK:
-            yield at, k + 1
-            at, size = k + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
-
-
 @dataclass(frozen=True)
 class LanguageFilter:
     """masks[w, place]: bits of languages 64 w and on; rate: the false positives of a language."""
@@ -99,30 +115,33 @@ class LanguageFilter:
 
     def hits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(texts x languages) corrected shares of grams that each language explains, and each text's number of grams."""
-        by_size, starts = text_grams(texts)
         count, found = np.zeros(len(texts)), np.zeros((len(texts), len(self.languages)))
-        for keys in by_size:
-            real = np.flatnonzero(keys)
-            ends = np.searchsorted(real, starts)
-            owner_counts = np.diff(np.append(ends, len(real)))
-            count += owner_counts
-            every: list[np.ndarray] = []
-            for p in self.places(keys[real], self.masks.shape[1]):  # one at a time: each is as long as all texts
-                every = [got & table[p] for got, table in zip(every, self.masks, strict=True)] if every else [table[p] for table in self.masks]
-            for w, got in enumerate(every):
-                for k in range(64 * w, min(64 * w + 64, len(self.languages))):
-                    total = np.zeros(len(got) + 1, np.int64)
-                    np.cumsum(got & np.uint64(1 << k % 64) != 0, out=total[1:])
-                    found[:, k] += total[ends + owner_counts] - total[ends]
+        for owners, parts, own in pieces(texts):
+            by_size, starts = piece_grams(parts, own)
+            for keys in by_size:
+                real = np.flatnonzero(keys)
+                begin = np.searchsorted(real, starts)
+                end = np.append(begin[1:], len(real))
+                np.add.at(count, owners, end - begin)
+                every: list[np.ndarray] = []
+                for p in self.places(keys[real], self.masks.shape[1]):
+                    every = [got & table[p] for got, table in zip(every, self.masks, strict=True)] if every else [table[p] for table in self.masks]
+                total = np.zeros(len(real) + 1, np.int64)
+                for w, got in enumerate(every):
+                    for k in range(64 * w, min(64 * w + 64, len(self.languages))):
+                        np.cumsum(got & np.uint64(1 << k % 64) != 0, out=total[1:])
+                        np.add.at(found[:, k], owners, total[end] - total[begin])
         share = found / np.maximum(count, 1)[:, None]
         return np.clip((share - self.rate) / np.maximum(1 - self.rate, 1e-9), 0, 1), count
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        if not self.languages:
+        """Languages and scores; `und` for null."""
+        if not self.languages or not texts:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
         share, _ = self.hits(texts)
-        best = share.argmax(axis=1) if len(texts) else []
-        return [self.languages[k] for k in best], [float(share[i, k]) for i, k in enumerate(best)]
+        best = share.argmax(axis=1)
+        known = [t is not None for t in texts]
+        return [self.languages[k] if ok else UNKNOWN for k, ok in zip(best, known, strict=True)], [float(share[i, k]) if known[i] else 0.0 for i, k in enumerate(best)]
 
 
 def equal_part(sizes: list[int], total: int) -> float:
@@ -135,9 +154,31 @@ def equal_part(sizes: list[int], total: int) -> float:
     return float("inf")
 
 
+class GramCounts:
+    """Grams of one language and size, with how often they are; what is new waits until it is worth merging."""
+
+    def __init__(self) -> None:
+        self.keys, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, keys: np.ndarray) -> None:
+        u, n = np.unique(keys, return_counts=True)
+        self.waiting.append((u, n))
+        self.held += len(u)
+        if self.held > max(len(self.keys), 1 << 16):
+            self.merge()
+
+    def merge(self) -> None:
+        keys, n = (np.concatenate(x) for x in zip((self.keys, self.n), *self.waiting, strict=True))
+        self.keys, at = np.unique(keys, return_inverse=True)
+        self.n = np.bincount(at, n, len(self.keys)).astype(np.int64)
+        self.waiting, self.held = [], 0
+
+
 def learn(docs: DataFrame, max_docs: int = MAX_DOCS) -> LanguageFilter:
     """From (text, lang) of at most about max_docs documents. The driver gets a count and 1/MIN_SHARE grams of a language at most."""
-    docs = docs.filter("text is not null and lang is not null").select("doc_id", "text", "lang")
+    docs = docs.filter("lang is not null").select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     most = equal_part([*sizes.values()], max_docs)
     if over := {lang: int((1 << 30) * most / n) for lang, n in sizes.items() if n > most}:
@@ -145,19 +186,18 @@ def learn(docs: DataFrame, max_docs: int = MAX_DOCS) -> LanguageFilter:
         docs = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 30)) < F.coalesce(below, F.lit(1 << 30)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
+        sums: dict[tuple[str, int], GramCounts] = {}
         for b in batches:
-            texts, langs = b.column(0).to_pylist(), b.column(1).to_pylist()
+            langs = np.array(b.column(1).to_pylist(), object)
             for lang in sorted(set(langs)):
-                own = [t for t, x in zip(texts, langs, strict=True) if x == lang]
-                for i, j in chunks(own):
-                    for size, keys in zip(GRAMS, text_grams(own[i:j])[0], strict=True):
-                        new, c = np.unique(keys[keys != 0], return_counts=True)
-                        old = sums.get((lang, size), (new[:0], c[:0]))
-                        both, where = np.unique(np.concatenate([old[0], new]), return_inverse=True)
-                        sums[lang, size] = both, np.bincount(where, np.concatenate([old[1], c]), len(both)).astype(np.int64)
-        for (lang, size), (keys, c) in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array([size] * len(keys), pa.int32()), pa.array(keys.astype(np.int64)), pa.array(c)], names=["lang", "size", "gram", "n"])
+                own = b.column(0).take(pa.array(np.flatnonzero(langs == lang)))
+                for _, parts, places in pieces(x.as_py() for x in own):
+                    for size, keys in zip(GRAMS, piece_grams(parts, places)[0], strict=True):
+                        sums.setdefault((lang, size), GramCounts()).add(keys[keys != 0])
+        for (lang, size), c in sums.items():
+            c.merge()
+            columns = [pa.array([lang] * len(c.keys), pa.string()), pa.array([size] * len(c.keys), pa.int32()), pa.array(c.keys.astype(np.int64)), pa.array(c.n)]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "size", "gram", "n"])
 
     counts = docs.select("text", "lang").mapInArrow(count, "lang string, size int, gram long, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("lang", "size").agg(F.sum("n").alias("total"))
@@ -170,42 +210,40 @@ def learn(docs: DataFrame, max_docs: int = MAX_DOCS) -> LanguageFilter:
     return LanguageFilter.build({k: np.array(sorted(v), np.uint64) for k, v in sets.items()})
 
 
-def predict(docs: DataFrame, model: LanguageFilter, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score behind their own columns."""
-    names = docs.columns
-    schema = docs.drop(*(c for c in ("lang_pred", "score") if c in names)).schema.add("lang_pred", "string").add("score", "double")
-    own = schema.names[:-2]
+def predicted(text: Column, model: LanguageFilter) -> Column:
+    """A struct: lang_pred and score of a text. Nothing but the text goes to Python."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(returnType="lang_pred string, score double")
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            texts, letters = b.column(own.index(text)).to_pylist(), b.column(len(own)).to_pylist()
-            lang, score = [], []
-            for i, j in chunks(texts):
-                got = model.predict(texts[i:j])
+            lang: list[str] = []
+            score: list[float] = []
+            for k in range(0, len(b), ROWS):
+                got = model.predict(b.slice(k, ROWS).to_pylist())
                 lang += got[0]
                 score += got[1]
-            lang = [x if ok else UNKNOWN for x, ok in zip(lang, letters, strict=True)]
-            score = [x if k != UNKNOWN else 0.0 for x, k in zip(score, lang, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(own)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[f"c{k}" for k in range(len(own))] + ["lang_pred", "score"])
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["lang_pred", "score"])
 
-    letters = F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False))
-    plain = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(own)), letters.alias("_l"))
-    inner = ", ".join(f"c{k} {schema[k].dataType.simpleString()}" for k in range(len(own)))
-    out = plain.mapInArrow(run, f"{inner}, lang_pred string, score double")
-    return out.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(own)), "lang_pred", "score")
+    # Texts without a letter go in as null: nothing of them is sent.
+    return found(F.when(text.rlike(r"\p{L}"), text))
+
+
+def predict(docs: DataFrame, model: LanguageFilter, text: str = "text") -> DataFrame:
+    """docs with lang_pred and score behind their own columns; columns of these names are replaced."""
+    own = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    found = predicted(F.col(f"`{text}`"), model)
+    return docs.select(*(F.col(f"`{c}`") for c in own), found["lang_pred"].alias("lang_pred"), found["score"].alias("score"))
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held = fold(F.col("doc_id"), 4) == 2
     model = learn(docs.filter(~held))
-    out = predict(docs.select("doc_id", "text", held.alias("held_out")), model)
-    return out.select("doc_id", "held_out", "lang_pred", "score")
+    return predict(docs.select("doc_id", "text", held.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents whose language is found and explains enough of them, with all their columns."""
+    """The documents whose language is found and explains enough of them, with all their columns, whatever their names."""
     model = learn(docs.filter(fold(F.col("doc_id"), 4) != 2))
-    names = docs.columns
-    out = predict(docs.withColumnsRenamed({c: f"d_{c}" for c in names}), model, "d_text")
-    return out.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*(F.col(f"`d_{c}`").alias(c) for c in names))
+    # `und` has score 0, so one condition is enough.
+    return docs.filter(predicted(F.col("text"), model)["score"] >= MIN_SCORE)

@@ -158,6 +158,43 @@ def test_rare_language_teaches_with_all_documents(spark):
     assert language.equal_part([10, 50], 60) == language.equal_part([], 60) == float("inf")
 
 
+def grams_by_hand(text):
+    """The 3- and 4-grams of a text's lower-cased words: of blanks one on either side of a word counts, and none between two."""
+    b = [x if x > 127 or chr(x).isalpha() else 32 for x in (" " + text.lower() + "    ").encode()]
+    return [bytes(b[i : i + n]) for n in (3, 4) for i in range(len(b) - n + 1) if not any(b[j] == b[j + 1] == 32 for j in range(i, i + n - 1))]
+
+
+@pytest.mark.parametrize("chunk", [1 << 17, 11])
+def test_language_hits_are_those_of_exact_sets(monkeypatch, chunk):
+    monkeypatch.setattr(language, "CHUNK", chunk)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdeéßЖ1 .") for _ in range(rng.randint(1, 9)))
+    texts = [" ".join(word() for _ in range(rng.randint(0, 30))) for _ in range(80)] + [None, "", "a", "12 34", "x" * 500]
+    exact = {f"l{k}": {g for t in rng.sample(texts[:80], 8) for g in grams_by_hand(t)} for k in range(70)}
+    number = lambda g: int.from_bytes(g, "big") | len(g) << 40
+    model = language.LanguageFilter.build({x: np.array([number(g) for g in s], np.uint64) for x, s in exact.items()})
+    share, count = model.hits(texts)
+    for i, t in enumerate(texts):
+        own = grams_by_hand(t or "")
+        assert count[i] == len(own)
+        for k, x in enumerate(model.languages):
+            want = sum(g in exact[x] for g in own) / max(len(own), 1)
+            assert want - model.rate[k] - 1e-9 <= share[i, k] <= want + 0.02 + 1 / max(len(own), 1) * 2
+    assert model.predict([None]) == (["und"], [0.0])
+
+
+def test_language_without_grams_and_ties(spark):
+    rows = [(i, "12 345" if i % 2 else "", "digits") for i in range(10)] + [(20 + i, "kapo timu", x) for i, x in enumerate(["zz", "bb"] * 4)] + [(40, "words", None), (None, None, "zz"), (41, "kapo timu " * 30_000, None)]
+    docs = spark.createDataFrame([(*r, "c0", 1, True) for r in rows], "doc_id long, text string, lang string, c0 string, score int, d_text boolean")
+    model = language.learn(docs)
+    assert model.languages == ("bb", "zz")
+    got = {r["doc_id"]: (r["lang_pred"], r["c0"]) for r in language.predict(docs, model).collect()}
+    assert got[20] == got[21] == got[41] == ("bb", "c0") and got[0] == got[1] == got[None] == ("und", "c0")
+    assert language.learn(docs.filter("lang = 'digits'")).languages == ()
+    kept = language.kept_documents(docs)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} >= {20, 21, 41} and kept.filter("doc_id < 10").count() == 0
+
+
 def test_bloom_has_no_false_negatives():
     rng = np.random.default_rng(0)
     sets = {f"l{k}": rng.integers(1, 1 << 40, 500).astype(np.uint64) for k in range(70)}
