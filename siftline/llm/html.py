@@ -1,27 +1,38 @@
 """HTML extraction by site template removal (operator 10).
 
-Pages are parsed into element trees by a tolerant one-pass reader. Each container element outside of an article gets a
-hash of its subtree (names, text, children in order). Spark counts the different pages of a host on which a hash
-occurs; subtrees that recur on MIN_PAGES of them are the site's template and are deleted, as are elements that are
-boilerplate by their kind: menus, headers, footers, sidebars, forms, scripts, styles, and those whose class or id names a notice,
-an advert, comments and the like. What remains of the articles, or else of the main element, or else of the body, is
-the text. Inside an article a subtree goes as template only if links make up most of it, or if it is a box (BOXES, not a paragraph)
-that recurs at the beginning or the end of articles: a passage that many articles share stays.
-
-A page is told by its text without the template step: pages of equal text on a host count once, and so do near copies,
-which share most of their sentences, in and out of links. They are found by least hashes, as connected components, among
-the pages that hold a recurring subtree. So what copies of one page share is not template.
+Pages are parsed into element trees by a tolerant one-pass reader; each step is linear in the page. Two hashes tell a
+subtree: the exact one (names, text, children in order), and its slot: its place in the page and its shape (names,
+classes, ids and roles, equal neighbours once), with the text apart, so a menu whose entries differ from page to page
+has one slot. Spark counts the different pages of a host on which a hash occurs. On MIN_PAGES of them it recurs.
+
+What recurs is the site's template and is deleted:
+
+* a subtree outside of articles whose exact hash recurs, or whose slot recurs and which lies beside the articles (else
+  the main element) of its page, or of which links make up most, or which is furniture by its kind (menu, sidebar, form,
+  notice, advert, comments and the like, by name, role, class or id);
+* within an article furniture whose slot recurs, a subtree mostly of links whose exact hash recurs, and a box (BOXES, not
+  a paragraph) that recurs exactly at the beginning or the end of articles: a passage that many articles share stays.
+
+Lists of names are a tie-break only: where a slot is known to be on too few pages of its host to tell, furniture goes
+by its kind, and so does what lies beside an article. A slot that is in neither set stays.
+
+A page is told by the text of its articles without the template step: pages of equal text on a host count once, and for
+exact hashes so do near copies, which share most of their sentences, in and out of links. They are found by least
+hashes, as connected components, among the pages that hold a recurring subtree. So what copies of one page share is not
+template.
 
 Hashes are counted and joined by (host, hash), so a host that holds a third of the pages is no hot group and its template
-has no bound; the rows of a hash that very many pages hold are dealt to several places. A page gets the template hashes
-that its own text meets, and no others.
+has no bound; the rows of a hash that very many pages hold are dealt to several places. A page gets the verdicts on the
+hashes that its own text meets, and no others.
 
 Defined results: null and empty html give an empty text; markup without text too; a page without a host counts under
-the empty host; repeated rows are pages of their own; an empty table gives no rows; other columns are not read.
+the empty host; repeated rows are pages of their own; very long and very deep pages are read in full; an empty table
+gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 import zlib
@@ -49,25 +60,32 @@ _random = np.random.default_rng(10)
 _FACTORS = _random.integers(0, 1 << 31, BANDS * BAND_ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
 _TERMS = _random.integers(0, 1 << 32, BANDS * BAND_ROWS, np.uint32)
 
+#: Names of HTML elements by what they are.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
-DROPPED = frozenset("head script style noscript template iframe object embed svg canvas audio video map nav footer aside form button select option input textarea label fieldset dialog menu xmp noembed noframes title".split())
+#: Elements that never hold text of the page, and those that are furniture by their name.
+NEVER = frozenset("head script style noscript template iframe object embed svg canvas audio video map textarea xmp noembed noframes title input".split())
+FURNITURE = frozenset("nav footer aside form button select option label fieldset dialog menu".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
-#: Containers whose subtrees are hashed.
+#: Containers whose subtrees are hashed exactly.
 COUNTED = frozenset("address aside center dir div dl details fieldset figure footer form header menu nav ol p section span table tr td ul".split())
+#: Words of classes and ids that name furniture, and words that say nothing beside them. A class or id names furniture if
+#: it has one of the former and no other words: `share` and `share-box` do, `share-price` does not.
 BOILERPLATE = frozenset("ad ads adv advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus disclaimer footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup promo promos promotion related replies reply respond share sharing sidebar skip social sponsor sponsored subscribe toolbar widget".split())
+NEUTRAL = frozenset("area articles bar block body bottom box button buttons column container content feed form global icons id inner item items left link links list main outer page panel posts primary right row secondary section sign signup site slot stories sub text thread title top unit up wrap wrapper zone".split())
 #: Containers that go from the beginning or the end of an article if they recur there.
 BOXES = frozenset("address center details div dl figure ol section table ul".split())
 FIRST, LAST = 0x5BD1E9955BD1E995, 0x2545F4914F6CDD1D
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
-#: Elements that a beginning element closes if it is open, up to the scope behind it.
-CLOSES = {"li": ("li", {"ul", "ol", "menu", "dir"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"}), "tbody": ("tr td th thead tbody", {"table"}), "tfoot": ("tr td th tbody", {"table"})}
-CLOSES = {k: (frozenset(a.split()), frozenset(b)) for k, (a, b) in CLOSES.items()}
+#: Elements that a beginning element closes if they are open, up to the scope behind them.
+CLOSES = {"li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"), "tbody": ("tr td th thead tbody", "table"), "tfoot": ("tr td th tbody", "table")}
+CLOSES = {k: tuple(tuple(x.split()) for x in v) for k, v in CLOSES.items()}
 CLOSES_P = BLOCK - {"caption", "tbody", "td", "tfoot", "th", "thead", "tr", "body", "html", "legend", "optgroup", "option"}
-P_SCOPE = frozenset("button table td th caption html body object".split())
+P_SCOPE = tuple("button table td th caption html body object".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|</?[a-zA-Z][^>]*>""", re.DOTALL)
 _ATTR = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+_TAIL = re.compile(r"<[!?/a-zA-Z]")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.IGNORECASE) for t in RAW}
 _WORD = re.compile(r"[a-z]+")
 _SENTENCE = re.compile(r"\n|(?<=[.!?])\s|(?<=[。！？])")
@@ -75,31 +93,41 @@ _INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORE
 
 
 class Element:
-    __slots__ = ("children", "name", "rest")
+    """held: an article, main element or body is within. total, linked: lengths of the text, and of that in links."""
+
+    __slots__ = ("children", "exact", "held", "inside", "linked", "name", "parent", "place", "rest", "shape", "total")
 
-    def __init__(self, name: str, rest: str):
-        self.name, self.rest, self.children = name, rest, []
+    def __init__(self, name: str, rest: str, parent: Element | None):
+        self.name, self.rest, self.children, self.parent = name, rest, [], parent
 
 
-def parse(source: str) -> Element:
-    """The tree of a page. Children are elements and strings; strings have their references decoded."""
-    root = Element("#root", "")
-    stack, at = [root], 0
-    find = _TOKEN.search
+def parse(source: str) -> list[Element]:
+    """The elements of a page in their order, the root first. Children are elements and strings; strings have their references decoded."""
+    root = Element("#root", "", None)
+    elements, stack = [root], [root]
+    open_: dict[str, list[int]] = {}  # the places on the stack of the open elements of a name
+    find, at = _TOKEN.search, 0
+    # What is begun behind the last > is no markup.
+    end = source.rfind(">") + 1
+    tail = _TAIL.split(source[end:], maxsplit=1)[0]
 
     def text(s: str) -> None:
         if s:
             stack[-1].children.append(html.unescape(s) if "&" in s else s)
 
-    def close(names: frozenset[str] | set[str], scope: frozenset[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].name in names:
-                del stack[k:]
-                return
-            if stack[k].name in scope:
-                return
+    def cut(k: int) -> None:
+        for e in stack[k:]:
+            open_[e.name].pop()
+        del stack[k:]
 
-    while m := find(source, at):
+    def close(names: tuple[str, ...], scope: tuple[str, ...]) -> None:
+        """Closes the outermost open element of the names within the innermost of the scope."""
+        least = max((open_[n][-1] for n in scope if open_.get(n)), default=0)
+        over = [x[bisect.bisect(x, least)] for n in names if (x := open_.get(n)) and x[-1] > least]
+        if over:
+            cut(min(over))
+
+    while m := find(source, at, end):
         text(source[at : m.start()])
         at = m.end()
         if (name := m["name"]) is None:
@@ -108,151 +136,218 @@ def parse(source: str) -> Element:
             continue
         name = name.lower()
         if m["end"]:
-            if name == "p" and not any(e.name == "p" for e in stack):
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    del stack[k:]
-                    break
+            if open_.get(name):
+                cut(open_[name][-1])
             continue
-        if name in CLOSES_P:
-            close({"p"}, P_SCOPE)
+        if name in CLOSES_P and open_.get("p"):
+            close(("p",), P_SCOPE)
         if name in CLOSES:
             close(*CLOSES[name])
-        e = Element(name, m["rest"])
+        e = Element(name, m["rest"], stack[-1])
+        elements.append(e)
         stack[-1].children.append(e)
         if name in RAW:
-            end = _RAW_END[name].search(source, at)
-            at = end.end() if end else len(source)
+            over = _RAW_END[name].search(source, at)
+            at = over.end() if over else len(source)
         elif name not in VOID and not m["rest"].endswith("/") or name in BLOCK and name != "hr":
+            open_.setdefault(name, []).append(len(stack))
             stack.append(e)
-    text(source[at:])
-    return root
-
-
-def digest(e: Element, inside: bool, found: dict[int, int], boxes: dict[int, int]) -> bytes:
-    """The hash of a subtree; found gets id(element) -> hash of those that are counted, boxes of the boxes inside articles."""
-    inside = inside or e.name in ("article", "main")
-    parts = [e.name.encode()]
-    held = False
-    for c in e.children:
-        if isinstance(c, str):
-            if w := " ".join(c.split()):
-                parts.append(b"t" + w.encode("utf-8", "replace"))
-        else:
-            held = held or c.name in ("article", "main", "body")
-            parts.append(b"e" + digest(c, inside, found, boxes))
-    h = blake2b(b"\x00".join(parts), digest_size=8).digest()
-    if e.name in COUNTED and len(parts) > 1 and not held:
-        if not inside or links(e):
-            found[id(e)] = int.from_bytes(h, "little", signed=True)
-        if inside and e.name in BOXES:
-            boxes[id(e)] = int.from_bytes(h, "little", signed=True)
-    return h
-
-
-def links(e: Element) -> bool:
-    """Links make up most of the element's text."""
-    total = linked = 0
-    stack = [(e, False)]
-    while stack:
-        x, within = stack.pop()
-        for c in x.children:
-            if isinstance(c, str):
-                n = len(c.strip())
-                total, linked = total + n, linked + n * within
-            else:
-                stack.append((c, within or c.name == "a"))
-    return 2 * linked > total
+    if at < end:
+        text(source[at:end])
+    if at <= end:
+        text(tail)
+    return elements
+
+
+def _hash(*parts: bytes) -> bytes:
+    return blake2b(b"\x00".join(parts), digest_size=8).digest()
 
 
-def boilerplate(e: Element, inside: bool) -> bool:
-    """By its kind, role, class or id. Inside an article a header stays: it has the headline."""
-    if e.name in DROPPED or e.name == "header" and not inside:
+def _number(h: bytes) -> int:
+    return int.from_bytes(h, "little", signed=True)
+
+
+def attributes(rest: str) -> Iterator[tuple[str, str]]:
+    for m in _ATTR.finditer(rest):
+        yield m[1].lower(), m[2] or m[3] or m[4] or ""
+
+
+def kind_words(rest: str) -> bytes:
+    """Classes, id and role of a tag, as the slot has them. Numbers are left out: they tell pages, not places."""
+    found = [(k, " ".join(sorted(_WORD.findall(v.lower())))) for k, v in attributes(rest) if k in ("class", "id", "role")] if rest else ()
+    return repr(sorted(found)).encode() if found else b""
+
+
+def furniture(e: Element, inside: bool) -> bool:
+    """By its name, role, class or id. Inside an article a header stays: it has the headline."""
+    if e.name in FURNITURE or e.name == "header" and not inside:
         return True
-    if e.name in ("article", "main", "body", "html") and not inside or not e.rest or e.name in ("html", "body"):
+    if e.name in ("article", "main") and not inside or not e.rest or e.name in ("html", "body"):
         return False
-    for m in _ATTR.finditer(e.rest):
-        kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if kind in ("class", "id"):
-            if not BOILERPLATE.isdisjoint(_WORD.findall(value.lower())) and not (inside and e.name == "header"):
-                return True
-        elif kind == "role" and value.lower() in ROLES or kind == "hidden" or kind == "style" and _INVISIBLE.search(value):
+    for name, value in attributes(e.rest):
+        if name in ("class", "id"):
+            if not (inside and e.name == "header"):
+                for token in value.lower().split() if name == "class" else (value.lower(),):
+                    w = _WORD.findall(token)
+                    if not BOILERPLATE.isdisjoint(w) and all(x in BOILERPLATE or x in NEUTRAL for x in w):
+                        return True
+        elif name == "role" and value.lower() in ROLES or name == "hidden" or name == "style" and _INVISIBLE.search(value):
             return True
     return False
 
 
-def _tops(e: Element, name: str) -> list[Element]:
-    """The outermost elements of a name that are not within boilerplate, and are none themselves."""
-    out, stack = [], [e]
+def _tops(root: Element, name: str) -> list[Element]:
+    """The outermost elements of a name that are not within furniture, and are none themselves."""
+    out, stack = [], [root]
     while stack:
         x = stack.pop()
         if x.name == name:
-            if not boilerplate(x, True):
+            if not furniture(x, True):
                 out.append(x)
-        elif x is e or not boilerplate(x, False):
+        elif x.name not in NEVER and (x is root or not furniture(x, False)):
             stack += [c for c in reversed(x.children) if not isinstance(c, str)]
     return out
 
 
-def edges(top: Element, boxes: dict[int, int], template: set[int], met: set[int] | None) -> set[int]:
-    """The ids of the template boxes that an article begins or ends with, also within a box around its text. With met,
-    that gets the keys of all boxes that could be such."""
-    gone: set[int] = set()
-    for place, order in ((FIRST, iter), (LAST, reversed)):
-        todo = [top]
-        while todo:
-            for c in order(todo.pop().children):
+#: Where the walk is: around the articles, in one, elsewhere.
+AROUND, INSIDE, FREE = range(3)
+
+
+class Page:
+    """A parsed page. measure() gives the elements their hashes; text() walks."""
+
+    def __init__(self, source: str):
+        self.elements = parse(source)
+        self.root = self.elements[0]
+        self.tops = _tops(self.root, "article") or _tops(self.root, "main")
+        self.around: set[int] = set()
+        for top in self.tops:
+            e = top.parent
+            while e is not None and id(e) not in self.around:
+                self.around.add(id(e))
+                e = e.parent
+        self.articles = {id(t) for t in self.tops}
+        self.measured = False
+
+    def measure(self, exact: bool = True) -> Page:
+        """Children stand behind their parents in the list: one pass down for places, one up for hashes."""
+        for e in self.elements:
+            up = e.parent
+            words = kind_words(e.rest)
+            e.inside = e.name in ("article", "main") or up is not None and up.inside
+            e.place = _hash(up.place, e.name.encode(), words) if up is not None else b""
+            e.shape, e.exact, e.total, e.linked, e.held = words, None, 0, 0, False
+        for e in reversed(self.elements):
+            shapes, parts, full = [e.name.encode(), e.shape], [e.name.encode()], False
+            for c in e.children:
                 if isinstance(c, str):
-                    if c.strip():
+                    if w := " ".join(c.split()):
+                        full = True
+                        e.total += len(w)
+                        if exact:
+                            parts.append(b"t" + w.encode("utf-8", "replace"))
+                else:
+                    full = True
+                    e.total += c.total
+                    e.linked += c.linked
+                    e.held = e.held or c.held or c.name in ("article", "main", "body")
+                    if c.shape != shapes[-1]:
+                        shapes.append(c.shape)
+                    if exact:
+                        parts.append(b"e" + c.exact)
+            if e.name == "a":
+                e.linked = e.total
+            e.shape = _hash(*shapes)
+            if exact:
+                e.exact = _hash(*parts) if full else b""
+        self.measured = True
+        return self
+
+    @staticmethod
+    def slot(e: Element) -> int:
+        return _number(_hash(b"slot", e.place, e.shape))
+
+    @staticmethod
+    def exact_key(e: Element) -> int | None:
+        """The exact hash of a subtree that is counted: within articles of one that is mostly links."""
+        if e.name in COUNTED and e.exact and not e.held and (not e.inside or 2 * e.linked > e.total):
+            return _number(e.exact)
+        return None
+
+    @staticmethod
+    def box_key(e: Element) -> int | None:
+        return _number(e.exact) if e.inside and e.name in BOXES and e.exact and not e.held else None
+
+    def counted(self) -> set[int]:
+        return {h for e in self.elements if (h := self.exact_key(e)) is not None}
+
+    def edges(self, top: Element, template: set[int], met: set[int] | None) -> set[int]:
+        """The ids of the template boxes that an article begins or ends with, also within a box around its text. With
+        met, that gets the keys of all boxes that could be such."""
+        gone: set[int] = set()
+        for place, order in ((FIRST, iter), (LAST, reversed)):
+            todo = [top]
+            while todo:
+                for c in order(todo.pop().children):
+                    if isinstance(c, str):
+                        if c.strip():
+                            break
+                        continue
+                    if not c.children or id(c) in gone or c.name in NEVER or furniture(c, True):
+                        continue
+                    if (h := self.box_key(c)) is None:
                         break
-                    continue
-                if not c.children or id(c) in gone or boilerplate(c, True):
-                    continue
-                if (h := boxes.get(id(c))) is None:
-                    break
+                    if met is not None:
+                        met.add(h ^ place)
+                        todo.append(c)
+                    elif h ^ place in template:
+                        gone.add(id(c))
+                    else:
+                        todo.append(c)
+                        break
+        return gone
+
+    def text(self, template: set[int] = frozenset(), rare: set[int] = frozenset(), *, core: bool = False, met: set[int] | None = None, slots: set[int] | None = None, skipped: str = "") -> str:
+        """The page's text without what template and rare delete. core: without all that could be deleted for its slot
+        by either set. The exact hashes and the slots on the way are added to met and slots; elements of the skipped
+        name are left out too."""
+        blocks: list[str] = []
+        run: list[str] = []
+
+        def flush() -> None:
+            if run:
+                if s := " ".join("".join(run).split()):
+                    blocks.append(s)
+                run.clear()
+
+        def goes(c: Element, mode: int) -> bool:
+            beside, own = mode == AROUND, furniture(c, mode == INSIDE)
+            linked = mode == FREE and not self.tops and c.name in COUNTED and self.measured and c.total and 2 * c.linked > c.total and not c.held
+            if (beside or own or linked) and (core or self.measured):
+                h = self.slot(c) if self.measured else None
+                if slots is not None:
+                    slots.add(h)
+                if (beside or own) and (core or h in rare) or h in template:
+                    return True
+            if self.measured and (h := self.exact_key(c)) is not None:
                 if met is not None:
-                    met.add(h ^ place)
-                    todo.append(c)
-                elif h ^ place in template:
-                    gone.add(id(c))
-                else:
-                    todo.append(c)
-                    break
-    return gone
-
-
-def main_text(root: Element, template: set[int], hashes: dict[int, int], boxes: dict[int, int], met: set[int] | None = None, skipped: str = "") -> str:
-    """The text of the articles, else of the main elements, else of all, without boilerplate and template. The hashes on
-    its way, of template or not, are added to met; elements of the skipped name are left out too."""
-    tops, inside = _tops(root, "article"), True
-    if not tops:
-        tops = _tops(root, "main")
-    if not tops:
-        tops, inside = [root], False
-    blocks: list[str] = []
-    run: list[str] = []
-
-    def flush() -> None:
-        if run:
-            if s := " ".join("".join(run).split()):
-                blocks.append(s)
-            run.clear()
-
-    for top in tops:
+                    met.add(h)
+                return h in template
+            return False
+
         # Explicit stack: pages may nest deeper than Python recurses.
-        stack: list = [iter(top.children)]
-        names: list[str] = [top.name]
-        gone = edges(top, boxes, template, met) if boxes else ()
-        flush()
+        stack = [(iter(self.root.children), self.root.name, AROUND if self.tops else FREE)]
+        gone: set[int] = set()
         while stack:
-            c = next(stack[-1], None)
+            children, name, mode = stack[-1]
+            c = next(children, None)
             if c is None:
                 stack.pop()
-                if names.pop() in BLOCK:
+                if name in BLOCK:
                     flush()
             elif isinstance(c, str):
-                run.append(c)
+                if mode != AROUND:
+                    run.append(c)
             elif c.name in ("br", "wbr"):
                 run.append(" " if c.name == "br" else "")
             elif c.name == "hr":
@@ -260,50 +355,21 @@ def main_text(root: Element, template: set[int], hashes: dict[int, int], boxes:
             else:
                 if c.name in BLOCK:
                     flush()
-                if c.name == skipped or id(c) in gone or boilerplate(c, inside):
+                if c.name in NEVER or c.name == skipped:
                     continue
-                if (h := hashes.get(id(c))) is not None:
-                    if met is not None:
-                        met.add(h)
-                    if h in template:
-                        continue
-                stack.append(iter(c.children))
-                names.append(c.name)
+                if id(c) in self.around:
+                    mode = AROUND
+                elif id(c) in self.articles:
+                    mode = INSIDE
+                    if self.measured and c.exact is not None:
+                        gone |= self.edges(c, template, met)
+                elif id(c) in gone or goes(c, mode):
+                    continue
+                elif mode == AROUND:
+                    mode = FREE
+                stack.append((iter(c.children), c.name, mode))
         flush()
-    return "\n".join(blocks)
-
-
-def _hashes(root: Element) -> tuple[dict[int, int], dict[int, int]]:
-    found: dict[int, int] = {}
-    boxes: dict[int, int] = {}
-    digest(root, False, found, boxes)
-    return found, boxes
-
-
-def _deep(f, *args):
-    """f in a thread with room for deeply nested pages."""
-    import sys
-    import threading
-
-    out: list = []
-    size, limit = threading.stack_size(256 << 20), sys.getrecursionlimit()
-    sys.setrecursionlimit(400_000)
-    try:
-        t = threading.Thread(target=lambda: out.append(f(*args)))
-        t.start()
-        t.join()
-    finally:
-        threading.stack_size(size)
-        sys.setrecursionlimit(limit)
-    return out[0]
-
-
-def subtree_hashes(source: str) -> tuple[Element, dict[int, int], dict[int, int]]:
-    root = parse(source)
-    try:
-        return root, *_hashes(root)
-    except RecursionError:
-        return root, *_deep(_hashes, root)
+        return "\n".join(blocks)
 
 
 def _minima(text: str) -> np.ndarray | None:
@@ -347,39 +413,47 @@ def holding(rows: DataFrame, keys: DataFrame, on: list[str], by: str) -> DataFra
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, page, html) -> (page, template): the hashes of the template subtrees in each page's text, for pages that have some."""
+    """(host, page, html) -> (page, template, rare): of the hashes in each page's text those of template, and the slots that
+    are on too few pages of the host to tell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            content, counted, met, bands = [], [], [], []
+            content, counted, met, slots, bands = [], [], [], [], []
             for source in b.column("html"):
-                root, hashes, boxes = subtree_hashes(source.as_py() or "")
-                text = main_text(root, set(), hashes, boxes, own := set())
-                content.append(int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True))
-                counted.append([*own.union(hashes.values())])
+                page = Page(source.as_py() or "").measure()
+                text = page.text(core=True, met=(own := set()), slots=(places := set()))
+                content.append(_number(_hash(text.encode("utf-8", "replace"))))
+                counted.append([*own.union(page.counted())])
                 met.append([*own])
-                bands.append(similarity_bands(text, main_text(root, set(), {}, {}, skipped="a")))
+                slots.append([*places])
+                bands.append(similarity_bands(text, page.text(core=True, skipped="a")))
             longs = pa.list_(pa.int64())
-            columns = [b.column("host"), b.column("page"), pa.array(content, pa.int64()), *(pa.array(x, longs) for x in (counted, met, bands))]
-            yield pa.RecordBatch.from_arrays(columns, names=["host", "page", "content", "counted", "met", "bands"])
+            columns = [b.column("host"), b.column("page"), pa.array(content, pa.int64()), *(pa.array(x, longs) for x in (counted, met, slots, bands))]
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "page", "content", "counted", "met", "slots", "bands"])
 
-    found = pages.select("host", "page", "html").mapInArrow(run, "host string, page long, content long, counted array<long>, met array<long>, bands array<long>")
+    found = pages.select("host", "page", "html").mapInArrow(run, "host string, page long, content long, counted array<long>, met array<long>, slots array<long>, bands array<long>")
     found = written(found.withColumn("content", F.xxhash64("host", "content")), "subtrees")
+    on = ["host", "hash"]
     met = found.select("host", "page", F.explode("met").alias("hash"))
     held = found.select("host", "content", F.explode("counted").alias("hash")).distinct()
-    often = held.groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages).select("host", "hash")
-    often = written(often.join(met.select("host", "hash").distinct(), ["host", "hash"]), "recurring")
-    holders = written(holding(held, often, ["host", "hash"], "content"), "holders")
+    often = held.groupBy(on).agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages).select(on)
+    often = written(often.join(met.select(on).distinct(), on), "recurring")
+    holders = written(holding(held, often, on, "content"), "holders")
     # Near copies count as one page: the similar ones among the pages that hold what recurs.
     bands = found.join(holders.select("content").distinct(), "content", "left_semi").groupBy("host", "content").agg(F.min("bands").alias("bands"))
     bands = bands.select("host", "content", F.posexplode("bands").alias("band", "value"))
-    on = ["host", "band", "value"]
-    least = bands.groupBy(*on).agg(F.min("content").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    copies = connected_components(holding(bands, least, on, "content").select(F.col("content").alias("u"), F.col("least").alias("v")))
+    at = ["host", "band", "value"]
+    least = bands.groupBy(at).agg(F.min("content").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    copies = connected_components(holding(bands, least, at, "content").select(F.col("content").alias("u"), F.col("least").alias("v")))
     original = F.coalesce("component", "content").alias("original")
     apart = holders.join(copies.withColumnRenamed("id", "content"), "content", "left").select("host", "hash", original).distinct()
-    template = written(apart.groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages).select("host", "hash"), "template")
-    return holding(met, template, ["host", "hash"], "page").groupBy("page").agg(F.collect_set("hash").alias("template"))
+    exact = apart.groupBy(on).agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages).select(*on, F.lit(True).alias("often"))
+    # Slots are told by place and shape; of pages of equal text one counts.
+    slots = found.select("host", "page", "content", F.explode("slots").alias("hash"))
+    places = slots.select("host", "content", "hash").distinct().groupBy(on).agg((F.count("*") >= min_pages).alias("often"))
+    verdicts = written(exact.unionByName(places), "verdicts")
+    asked = met.unionByName(slots.drop("content"))
+    return holding(asked, verdicts, on, "page").groupBy("page").agg(*(F.collect_set(F.when(F.col("often") == x, F.col("hash"))).alias(name) for name, x in (("template", True), ("rare", False))))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -392,13 +466,13 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for source, template in zip(b.column("html"), b.column("template"), strict=True):
-                source, template = source.as_py() or "", template.as_py()
-                root, *hashes = subtree_hashes(source) if template else (parse(source), {}, {})
-                texts.append(main_text(root, set(template or ()), *hashes))
+            for source, template, rare in zip(b.column("html"), b.column("template"), b.column("rare"), strict=True):
+                page, template, rare = Page(source.as_py() or ""), {*(template.as_py() or ())}, {*(rare.as_py() or ())}
+                texts.append((page.measure() if template or rare else page).text(template, rare))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return with_host.join(known, "page", "left").select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html", "template").mapInArrow(run, "page_id long, url string, text string")
+    joined = with_host.join(known, "page", "left").select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html", "template", "rare")
+    return joined.mapInArrow(run, "page_id long, url string, text string")
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
