@@ -3,29 +3,32 @@
 Every document of a source starts with the same copy number, its source's target over its source's size. The whole
 part is certain. The fractions are rounded dependently: two units move mass, counted in words, from one to the other
 at random until one of them is integral, so that the words of the source stay what they were and each document's
-expectation too. A leaf takes some documents of one source by falling size, each against the pool of the smaller ones,
-and leaves one fractional unit, nearly always a tiny one; these residuals meet in a reduction tree.
+expectation too.
+
+A unit can also be a pool of documents that have one fraction: what moves changes that one fraction. The large documents
+of a source, at most HEAD, go first, by falling size, each against the pool of all that are smaller. The fraction that
+this leaves to the others is where the leaves begin: a leaf takes some documents by falling size, each against the pool
+of the leaf's smaller ones, and leaves one fractional unit, nearly always a tiny one. These residuals meet in a reduction
+tree, and the last one of a source is drawn with its fraction. So every document's mean number of copies is its ratio,
+and a source misses its target by less than one document, hardly ever by one that is large.
 
 Defined results: null text is size 0; a null source is a source of its own, the last one; rows alike in id, source and
-size share one decision (their mass is the sum); empty documents take no words; an empty table gives no rows; columns
-of the input other than the three are neither read nor returned, so their names cannot clash.
+size share one decision (their mass is the sum); empty documents take no words; a very long text is one document; an
+empty table gives no rows; columns of the input other than the three are neither read nor returned, so their names
+cannot clash.
 """
 
 from __future__ import annotations
 
-
-import math
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftline.llm.common import n_words, read, unit, written
+from siftline.llm.common import n_words, partitions, read, unit, written
 
-#: Documents in a leaf, residuals under a node of the tree, and the seed of the draws.
-LEAF, FAN_IN, SEED = 1024, 64, 9
-#: The part of a target that one document may miss it by, if that can be helped.
-SLACK = 0.002
+#: Documents in a leaf, residuals under a node of the tree, the seed of the draws, and how many times a document of the
+#: size of its source is larger than one that is not large any more: there are at most so many large ones.
+LEAF, FAN_IN, SEED, HEAD = 1024, 64, 9, 1024
 WEIGHTS, SHARE, CAP = (5.0, 2.0, 1.0), 1.5, 2.0
 
 
@@ -41,27 +44,21 @@ def pair(f: float, s: float, g: float, t: float, u: float) -> tuple[float, float
     return (0.0, g2) if down == f * s else (f2, 1.0)
 
 
-def leaf(fraction: float, masses: list[float], draw: list[float], slack: float = math.inf) -> list[float]:
-    """Fractions of units by falling mass that all begin with one fraction: each against the pool of those behind it.
-
-    A unit of more than slack words is not left fractional by a draw if the pool can make up for its whole or its
-    absence: with few documents, meeting the target goes before meeting that document's expectation.
-    """
-    out, pool, g = [0.0] * len(masses), sum(masses), fraction
+def leaf(fraction: float, masses: list[float], draw: list[float], others: float = 0.0) -> tuple[list[float], float]:
+    """Fractions of units by falling mass that all begin with one fraction, each against the pool of those behind it and
+    of others, a mass of units that are not given; and the fraction of these."""
+    out, pool, g = [0.0] * len(masses), sum(masses) + others, fraction
     for k, s in enumerate(masses):
         pool -= s
         if pool <= 0.5 or g in (0.0, 1.0):
             out[k] = g
             continue
-        out[k], after = pair(g, s, g, pool, draw[k])
-        if s > slack and 0.0 < out[k] < 1.0:
-            ways = [(x, y) for x in (1.0, 0.0) if 0 <= (y := g + s * (g - x) / pool) <= 1]
-            out[k], after = ways[0] if ways else (out[k], after)
-        g = min(1.0, max(0.0, after))
+        out[k], g = pair(g, s, g, pool, draw[k])
+        g = min(1.0, max(0.0, g))
         if 0.0 < out[k] < 1.0:  # the pool is integral, this one stays
             out[k + 1 :] = [g] * (len(masses) - k - 1)
-            return out
-    return out
+            break
+    return out, g
 
 
 def chain(fractions: list[float], masses: list[float], draw: list[float]) -> list[float]:
@@ -74,64 +71,95 @@ def chain(fractions: list[float], masses: list[float], draw: list[float]) -> lis
     return out
 
 
-def _ordered(pdf: pd.DataFrame) -> tuple[pd.DataFrame, list[float]]:
-    pdf = pdf.assign(_d=[unit(SEED, *r) for r in zip(pdf["source"], pdf["doc_id"], pdf["size"], strict=True)])
+def _ordered(pdf: pd.DataFrame, seed: int) -> tuple[pd.DataFrame, list[float]]:
+    pdf = pdf.assign(_d=[unit(seed, *r) for r in zip(pdf["source"], pdf["doc_id"], pdf["size"], strict=True)])
     pdf = pdf.sort_values(["mass", "_d", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
     return pdf.drop(columns="_d"), pdf["_d"].tolist()
 
 
-def _leaves(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf, draw = _ordered(pdf)
-    pdf["fraction"] = leaf(float(pdf["fraction"].iloc[0]), pdf["mass"].tolist(), draw, SLACK * float(pdf["target"].iloc[0]))
+def _pooled(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
+    """A group of units of one fraction; `others` is the mass of those it stands before, which get the fraction `rest`."""
+    pdf, draw = _ordered(pdf, seed)
+    pdf["fraction"], pdf["rest"] = leaf(float(pdf["fraction"].iloc[0]), pdf["mass"].tolist(), draw, float(pdf["others"].iloc[0]))
     return pdf
 
 
-def _nodes(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf, draw = _ordered(pdf)
+def _node(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
+    pdf, draw = _ordered(pdf, seed + 1)
     pdf["fraction"] = chain(pdf["fraction"].tolist(), pdf["mass"].tolist(), draw)
     return pdf
 
 
+def _last(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
+    """What is left of a source: a unit, drawn."""
+    pdf, draw = _ordered(pdf, seed + 2)
+    pdf["fraction"] = [float(u < f) for u, f in zip(draw, pdf["fraction"], strict=True)]
+    return pdf
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """(source, size) rows -> a row per source: source_size, units, target, ratio, capped. The excess above the cap is shared anew by weight."""
+    """(source, size) rows -> a row per source: source_size, units, target, ratio. The excess above the cap is shared anew by weight.
+
+    The sources are ranked by ranges, and the level that the targets have by weight is found by sums: they never meet in one place.
+    """
+    spark = sizes.sparkSession
     by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("units"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())  # a row per source
-    w = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    by = by.withColumn("w", w).withColumn("r", cap * F.col("source_size") / F.col("w"))
-    line = Window.orderBy("r", F.col("source").asc_nulls_last())
-    before = line.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy("r").rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    by = by.withColumn("level", (share * F.sum("source_size").over(everything) - cap * F.coalesce(F.sum("source_size").over(before), F.lit(0))) / (F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0))))
-    # By rising r, the first source whose cap lies above the level sets it for itself and all after it.
-    by = by.withColumn("level", F.max(F.when(F.col("r") > F.col("level"), F.col("level"))).over(everything)).withColumn("capped", F.coalesce(F.col("r") <= F.col("level"), F.lit(True)))
-    target = F.when(F.col("capped"), cap * F.col("source_size")).otherwise(F.col("level") * F.col("w"))
-    return by.withColumn("target", target.cast("double")).select("source", "source_size", "units", "target", F.when(F.col("capped"), F.lit(cap)).otherwise(F.col("target") / F.col("source_size")).alias("ratio"))
-
-
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    by = written(by.repartitionByRange(partitions(spark), F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()), "sources")
+    held = {r["part"]: r["n"] for r in by.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    before = [sum(n for q, n in held.items() if q < p) for p in range(max(held, default=0) + 1)]
+    rank = F.element_at(F.lit(before).cast("array<long>"), F.col("part") + 1) + F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1
+    by = by.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int"))).withColumn("most", cap * F.col("source_size"))
+    # A source whose cap lies below the level is at its cap; what it does not take raises the level of the others.
+    level, known = 0.0, -1
+    while True:
+        full = F.col("most") <= F.lit(level) * F.col("w")
+        s = by.agg(F.count_if(full).alias("n"), F.sum("source_size").alias("all"), F.sum(F.when(full, F.col("source_size"))).alias("full"), F.sum(F.when(~full, F.col("w"))).alias("w")).first()
+        if s["n"] == known or not s["w"]:
+            break
+        known, level = s["n"], (share * s["all"] - cap * (s["full"] or 0)) / s["w"]
+    target = F.least("most", F.lit(level) * F.col("w")) if s["w"] else F.col("most")
+    return by.withColumn("target", target.cast("double")).select("source", "source_size", "units", "target", F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0)).alias("ratio"))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
     """Rows of documents -> doc_id, source, size, source_size, target, copies: one per row, copies whole."""
     rows = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
-    units = rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
     targets = written(source_targets(rows, weights, share, cap), "targets")
     most = targets.agg(F.max("units")).first()[0] or 0
-    t = targets.select(F.col("source").alias("_s"), "source_size", "units", "target", "ratio")
-    u = units.join(t, units["source"].eqNullSafe(t["_s"])).withColumn("whole", F.floor("ratio")).withColumn("fraction", F.col("ratio") - F.col("whole")).withColumn("mass", (F.col("size") * F.col("n")).cast("double"))
-    u = u.withColumn("block", F.pmod(F.xxhash64("doc_id", "size", F.lit(SEED)), F.ceil(F.col("units") / LEAF))).select("doc_id", "source", "size", "mass", "block", "fraction", "whole", "source_size", "target")
-    idle = (F.col("mass") == 0) | (F.col("fraction") == 0)
-    schema = u.schema.simpleString()[len("struct<") : -1].replace(":", " ")
-    done = written(u.filter(~idle).groupBy("source", "block").applyInPandas(_leaves, schema).unionByName(u.filter(idle).withColumn("fraction", F.lit(0.0))), "leaves")
+    t = targets.select(F.col("source").alias("s"), "source_size", "units", "target", "ratio")
+    units = rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
+    u = units.join(t, units["source"].eqNullSafe(t["s"])).drop("s").withColumn("whole", F.floor("ratio")).withColumn("fraction", F.col("ratio") - F.col("whole")).withColumn("mass", (F.col("size") * F.col("n")).cast("double"))
+    u = u.withColumn("large", F.col("mass") * HEAD > F.col("source_size")).withColumn("block", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.ceil(F.col("units") / LEAF)))
+    u = written(u.select("doc_id", "source", "size", "mass", "block", "fraction", "whole", "source_size", "target", "large"), "units")
+    schema = u.drop("large").schema.simpleString()[len("struct<") : -1].replace(":", " ") + ", others double, rest double"
+    none = F.lit(0.0)
+
+    # The large documents of a source, a bounded number, against the pool of all others.
+    large = u.filter(F.col("large") & (F.col("fraction") > 0)).drop("large")
+    whole = large.groupBy("source").agg(F.sum("mass").alias("m")).select(F.col("source").alias("s"), "m")
+    large = large.join(whole, large["source"].eqNullSafe(whole["s"])).withColumns({"others": F.col("source_size") - F.col("m"), "rest": none}).drop("s", "m")
+    head = written(large.groupBy("source").applyInPandas(lambda pdf: _pooled(pdf, seed), schema), "head")
+    left = head.groupBy("source").agg(F.first("rest").alias("r")).select(F.col("source").alias("s"), "r")
+    small = u.filter(~F.col("large") | (F.col("fraction") == 0)).drop("large").join(left, u["source"].eqNullSafe(left["s"]), "left")
+    small = small.withColumns({"fraction": F.when(F.col("fraction") > 0, F.coalesce("r", "fraction")).otherwise(none), "others": none, "rest": none}).drop("s", "r")
+    idle = (F.col("mass") == 0) | F.col("fraction").isin(0.0, 1.0)
+    leaves = small.filter(~idle).groupBy("source", "block").applyInPandas(lambda pdf: _pooled(pdf, seed), schema)
+    done = written(leaves.unionByName(small.filter(idle)).unionByName(head), "leaves")
+
     open_ = (F.col("fraction") > 0) & (F.col("fraction") < 1)
     parts, left, blocks = [done.filter(~open_)], done.filter(open_), -(-most // LEAF)
-    while blocks > 1:
+    while True:
         blocks = -(-blocks // FAN_IN)
-        level = left.withColumn("block", F.floor(F.col("block") / FAN_IN)).groupBy("source", "block").applyInPandas(_nodes, schema)
+        level = left.withColumn("block", F.floor(F.col("block") / FAN_IN)).groupBy("source", "block").applyInPandas(lambda pdf: _node(pdf, seed), schema)
         parts, left = [*parts, level.filter(~open_)], level.filter(open_)
-    parts.append(left.withColumn("fraction", F.round("fraction")))  # one unit of a source at most: the nearer way
+        if blocks <= 1:
+            break
+    parts.append(left.groupBy("source").applyInPandas(lambda pdf: _last(pdf, seed), schema))
     chosen = parts[0]
     for p in parts[1:]:
         chosen = chosen.unionByName(p)
-    chosen = chosen.select(*(F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "size")), "source_size", "target", (F.col("whole") + F.col("fraction")).cast("long").alias("copies"))
-    on = [rows[c].eqNullSafe(chosen[f"_{c}"]) for c in ("doc_id", "source", "size")]
+    chosen = chosen.select(*(F.col(c).alias(f"u_{c}") for c in ("doc_id", "source", "size")), "source_size", "target", (F.col("whole") + F.col("fraction")).cast("long").alias("copies"))
+    on = [rows[c].eqNullSafe(chosen[f"u_{c}"]) for c in ("doc_id", "source", "size")]
     return rows.join(chosen, on).select("doc_id", "source", "size", "source_size", "target", "copies")
 
 
@@ -141,12 +169,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents of the mix with all their columns, each as often as it has copies."""
-    names = docs.columns
-    d = docs.withColumn("_size", n_words(F.col("text")))
-    m = mix(docs).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("_copies"))
-    m = m.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "_copies").filter("_copies > 0")
-    joined = d.join(m, d["doc_id"].eqNullSafe(m["_d"]) & d["source"].eqNullSafe(m["_s"]) & (d["_size"] == m["_z"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*(F.col(f"`{c}`") for c in names))
-
-
+    """The documents of the mix with all their columns, whatever their names, each as often as it has copies."""
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    d = docs.select(own, F.col("doc_id").alias("id"), F.col("source").alias("from"), n_words(F.col("text")).alias("words"))
+    m = mix(docs).filter("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"))
+    joined = d.join(m, d["id"].eqNullSafe(m["doc_id"]) & d["from"].eqNullSafe(m["source"]) & (d["words"] == m["size"]))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
