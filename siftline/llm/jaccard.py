@@ -8,15 +8,17 @@ and such ones come first, most prefixes hold nothing that another document has,
 How often a shingle occurs is counted exactly over all documents: blocks of documents send their distinct shingles,
 packed and cut by ranges of hashes; each range returns to each block what occurs in more than one document.
 
-Candidates pass the length and the positional filter on the prefix, then, once per pair, the suffix filter and the
-exact intersection. A shingle that many near copies share is no square of rows: first each document meets only the
-hub of its shingles' groups with which it shares most; documents that this links are one component. Then documents that
-share a prefix shingle across components are a family, and blocks of a family meet, each two once: candidates within
-are found by prefix, and verified by their intersections. This loses no link that could join components.
+Candidates pass the length and the positional filter in the join on prefix shingles; then, once per pair, the suffix filter
+and the exact intersection. A shingle that many near copies share is no square of rows: first each document meets only
+the hub of its shingles' groups with which it shares most; documents that this links are one component. Then, of each
+shingle's group, the documents outside of its largest component are joined with all others, those of like length, and
+pairs of one component are passed over. At its first common shingle a similar pair has enough behind it on both sides,
+so only such places count: documents that share a long passage, but not enough of it, are never candidates. A large
+group is dealt to many tasks. This loses no link that could join components.
 
 Defined results: null, empty and wordless texts have the empty set and link with nothing; with fewer than five words
 the whole sequence is the one shingle; repeated rows and ids share a component; a null id gets the least id
-that it reaches, or null; an empty table gives no rows; other columns are not read.
+that it reaches, or null; a very long text is one set; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,12 +35,11 @@ from pyspark.sql import functions as F
 
 from siftline.llm.common import lower_ascii, partitions, read, written
 from siftline.llm.components import connected_components
-from siftline.llm.neardup_vectors import forest
 
 #: Words of a shingle, least similarity in percent, bytes of text in a block and of shingles in a range.
 WORDS, PERCENT, BLOCK_BYTES, RANGE_BYTES = 5, 75, 8 << 20, 16 << 20
-#: Rounds of hubs; documents of a family's block.
-HUB_ROUNDS, FAMILY_BLOCK = 2, 512
+#: Rounds of hubs; documents of a shingle's group that one task joins with others at most.
+HUB_ROUNDS, GROUP = 2, 4096
 
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
@@ -226,9 +227,9 @@ def similarity_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     blocks = max(1, -(-total // BLOCK_BYTES))
     bits = min(64, max(24, math.ceil(math.log2(max(total / 6, 2))) + 10))
     ranges = max(1, -(-total // RANGE_BYTES))
-    block = F.pmod(F.xxhash64("least", F.lit(5)), F.lit(blocks))
+    block = F.pmod(F.xxhash64("least", "key", F.lit(5)), F.lit(blocks))
     reps = alike.select("rid", "least", block.alias("block"), "key")
-    keyed = own.withColumnRenamed("doc_id", "least").withColumn("block", block).withColumn("key", key)
+    keyed = own.withColumnRenamed("doc_id", "least").withColumn("key", key).withColumn("block", block)
 
     def of_reps(t: pa.Table, r: pa.Table) -> pa.Table:
         """The texts that stand for others, with their numbers; of repeated rows the first."""
@@ -266,13 +267,8 @@ def similarity_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         new = written(_verify(pairs, sets, percent).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
         linked = new if linked is None else linked.unionByName(new)
 
-    # What is left: documents that share a prefix shingle with one of another component, in families, block against block.
-    placed = _placed(tokens, linked)
-    several = placed.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("rid").alias("least")).filter("lo < hi").select("h", "least")
-    left = written(placed.join(several, "h").select("rid", "c", "least").distinct(), "left")
-    family = written(connected_components(left.select(F.col("rid").alias("u"), F.col("least").alias("v"))), "families").withColumnsRenamed({"id": "rid", "component": "family"})
-    members = left.select("rid", "c").distinct().join(family, "rid")
-    joined = connected_components(linked.unionByName(_families(members, found, percent)))
+    pairs = written(candidates(_placed(tokens, linked), percent), "candidates")
+    joined = connected_components(linked.unionByName(_verify(pairs, sets, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
     rep = alike.select("rid", "key").join(found.select("rid", "n"), "rid").join(joined.withColumnRenamed("id", "rid"), "rid", "left").select(F.col("key").alias("k"), "n", F.coalesce("component", "rid").alias("c"))
     rows = written(ids.join(rep, F.col("key") == F.col("k")).select("doc_id", "n", "c"), "rows")
@@ -288,68 +284,29 @@ def _placed(tokens: DataFrame, links: DataFrame | None) -> DataFrame:
     return tokens.join(parts.withColumnRenamed("id", "rid"), "rid", "left").withColumn("c", F.coalesce("component", "rid")).drop("component")
 
 
-def _families(members: DataFrame, found: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """members (rid, c, family) -> (u, v) edges that connect all similar documents of a family that are in different components.
+def candidates(placed: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Tokens (h, rid, n, p, c) -> (a, b): all pairs of different components that may be similar, each once.
 
-    A family is cut into blocks; a component that fills blocks has its own, and these do not meet each other. Every two
-    blocks are one group of rows, whatever the number of pairs between them: pairs never leave it.
+    Documents of like length meet: those of the classes beside each other. Of a group, what its largest component holds
+    does not meet itself; the group is dealt to places of GROUP documents, and those outside of that component go to each.
     """
-    size = members.groupBy("family", "c").agg(F.count("*").alias("k"))
-    kept = size.withColumn("g", F.when(F.col("k") >= FAMILY_BLOCK, F.col("c"))).select("family", "c", "g")
-    cut = size.withColumn("g", F.when(F.col("k") >= FAMILY_BLOCK, F.col("c"))).groupBy("family", "g").agg(F.ceil(F.sum("k") / FAMILY_BLOCK).alias("blocks"))
-    spot = F.pmod(F.xxhash64("rid", F.lit(55)), F.col("blocks"))
-    own = members.join(kept, ["family", "c"]).join(cut.withColumnRenamed("g", "g2").withColumnRenamed("family", "f2"), (F.col("family") == F.col("f2")) & F.col("g").eqNullSafe(F.col("g2"))).select("family", "rid", "c", "g", spot.alias("spot"))
-    own = written(own.withColumn("block", F.struct(F.coalesce("g", F.lit(-1)).alias("g"), "spot")), "members")
-    blocks = own.groupBy("family", "block").agg(F.max("g").alias("g"))
-    a, b = (blocks.select("family", F.col("block").alias(f"block{k}"), F.col("g").alias(f"g{k}")) for k in (1, 2))
-    meet = written(a.join(b, "family").filter((F.col("block1") <= F.col("block2")) & ~F.coalesce(F.col("g1") == F.col("g2"), F.lit(False))).select("family", "block1", "block2"), "meetings")
-    rows = own.join(found.select("rid", "prefix", "shingles"), "rid").select("family", "block", "rid", "c", F.col("prefix.h").alias("prefix"), "shingles")
-    left = rows.join(meet.withColumnRenamed("block1", "block"), ["family", "block"]).select("family", F.col("block").alias("block1"), "block2", F.lit(0).alias("side"), "rid", "c", "prefix", "shingles")
-    right = rows.join(meet.filter("block1 < block2").withColumnRenamed("block2", "block"), ["family", "block"]).select("family", "block1", F.col("block").alias("block2"), F.lit(1).alias("side"), "rid", "c", "prefix", "shingles")
-    return left.unionByName(right).groupBy("family", "block1", "block2").applyInArrow(lambda t: _compare(t, percent), "u long, v long")
-
-
-def _shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of each of x with each of y, some columns of the incidence matrices at a time."""
-    owner = [np.repeat(np.arange(len(t)), [len(v) for v in t]) for t in (x, y)]
-    values = [np.concatenate(t) if t else np.zeros(0, np.int64) for t in (x, y)]
-    common = np.intersect1d(*values)
-    out = np.zeros((len(x), len(y)))
-    places = []
-    for v, o in zip(values, owner, strict=True):
-        at = np.searchsorted(common, v)
-        hit = (at < len(common)) & (common[np.minimum(at, max(len(common) - 1, 0))] == v) if len(common) else np.zeros(len(v), bool)
-        order = np.argsort(at[hit], kind="stable")
-        places.append((at[hit][order], o[hit][order]))
-    for k in range(0, len(common), 8192):
-        m = []
-        for (at, o), n in zip(places, (len(x), len(y)), strict=True):
-            i, j = np.searchsorted(at, [k, k + 8192])
-            part = np.zeros((n, 8192), np.float32)
-            part[o[i:j], at[i:j] - k] = 1
-            m.append(part)
-        out += m[0] @ m[1].T
-    return out
-
-
-def _compare(t: pa.Table, percent: int = PERCENT) -> pa.Table:
-    """Edges between the documents of two blocks, or within one. Candidates share a prefix token, lie in different
-    components and are near enough in size; then the intersection decides."""
-    side = np.array(t.column("side").to_pylist())
-    one = not side.any()
-    parts = [t.filter(pa.array(side == k)) for k in ((0, 0) if one else (0, 1))]
-    rid, c = ([np.array(p.column(x).to_pylist(), np.int64) for p in parts] for x in ("rid", "c"))
-    prefix = [[np.unique(np.array(v, np.int64)) for v in p.column("prefix").to_pylist()] for p in parts]
-    sets = [[np.frombuffer(v, "<i8") for v in p.column("shingles").to_pylist()] for p in parts]
-    n, m = (np.array([len(v) for v in s]) for s in sets)
-    candidate = (c[0][:, None] != c[1][None]) & (100 * np.minimum(n[:, None], m[None]) >= percent * np.maximum(n[:, None], m[None]))
-    edges: list[tuple[int, int]] = []
-    if candidate.any() and (candidate := candidate & (_shared(*prefix) > 0)).any():
-        x, y = np.flatnonzero(candidate.any(1)), np.flatnonzero(candidate.any(0))
-        both = _shared([sets[0][i] for i in x], [sets[1][j] for j in y])
-        similar_ = candidate[np.ix_(x, y)] & (100 * both >= percent * (n[x][:, None] + m[y][None] - both))
-        edges = forest(similar_, rid[0][x], rid[1][y])
-    return pa.table([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["u", "v"])
+    by = placed.groupBy("h", "c").agg(F.count("*").alias("k")).groupBy("h").agg(F.max(F.struct("k", "c"))["c"].alias("major"), F.sum("k").alias("total"), F.count("*").alias("parts"))
+    by = by.filter("parts > 1").select("h", "major", F.ceil(F.col("total") / GROUP).cast("int").alias("places"))
+    # Of sets of which one is similar to the other, the lengths differ by less than a class's width.
+    size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(100.5 / percent)).cast("int")
+    t = placed.join(by, "h").withColumn("class", size_class)
+    beside = F.sequence(F.col("class") - 1, F.col("class") + 1)
+    every = F.sequence(F.lit(0), F.col("places") - 1)
+    few = t.filter("c <> major").select("h", "rid", "n", "p", "c", "major", F.explode(beside).alias("class"), "places").select("h", "rid", "n", "p", "c", "major", "class", F.explode(every).alias("place"))
+    few = few.select("h", "class", "place", "major", *(F.col(x).alias(f"{x}1") for x in ("rid", "n", "p", "c")))
+    place = F.pmod(F.xxhash64("rid", F.lit(55)), F.col("places")).cast("int").alias("place")
+    most = t.select("h", "class", place, *(F.col(x).alias(f"{x}2") for x in ("rid", "n", "p", "c")))
+    room = F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2"))
+    near = (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")) & ((100 + percent) * room >= percent * (F.col("n1") + F.col("n2")))
+    # Two documents outside of the largest component meet twice, in either order.
+    once = (F.col("c2") == F.col("major")) | (F.col("rid1") < F.col("rid2"))
+    met = few.join(most, ["h", "class", "place"]).filter((F.col("c1") != F.col("c2")) & near & once)
+    return met.select(F.least("rid1", "rid2").alias("a"), F.greatest("rid1", "rid2").alias("b")).distinct()
 
 
 def _bounds(n: object, m: object, p: object, q: object, percent: int) -> list:
@@ -367,8 +324,9 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """One document of each component, that of the least id, with all columns; of repeated rows one."""
-    names = docs.columns
-    c = similarity_components(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_d")).distinct()
-    kept = docs.join(c, docs["doc_id"].eqNullSafe(c["_d"])).withColumn("_k", F.sha1(lower_ascii(F.coalesce("text", F.lit(""))).cast("binary")))
-    return kept.dropDuplicates(["doc_id", "_k"]).select(*(F.col(f"`{x}`") for x in names))
+    """One document of each component, that of the least id, with all columns, whatever their names; of repeated rows one."""
+    c = similarity_components(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("chosen")).distinct()
+    own = F.struct(*(F.col(f"`{x}`") for x in docs.columns)).alias("row")
+    text = F.sha1(lower_ascii(F.coalesce(F.col("text"), F.lit(""))).cast("binary")).alias("digest")
+    d = docs.select(own, F.col("doc_id").alias("id"), text)
+    return d.join(c, d["id"].eqNullSafe(c["chosen"])).dropDuplicates(["id", "digest"]).select("row.*")

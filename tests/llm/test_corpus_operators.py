@@ -67,8 +67,8 @@ def corpus():
 
 @pytest.mark.parametrize("small", [False, True])
 def test_jaccard(spark, monkeypatch, small):
-    if small:  # many blocks, ranges, families of several blocks
-        for name, value in (("BLOCK_BYTES", 4000), ("RANGE_BYTES", 9000), ("FAMILY_BLOCK", 16), ("HUB_ROUNDS", 1)):
+    if small:  # many blocks and ranges, groups dealt to several places
+        for name, value in (("BLOCK_BYTES", 4000), ("RANGE_BYTES", 9000), ("GROUP", 3), ("HUB_ROUNDS", 1)):
             monkeypatch.setattr(jaccard, name, value)
     docs = corpus()
     sets = {i: words_set(t) for i, t in docs}
@@ -86,6 +86,30 @@ def test_jaccard_edges(spark):
     assert jaccard.similarity_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_jaccard_compares_few_pairs_of_a_shared_passage(spark, monkeypatch):
+    """A passage in thousands of documents, from a tenth to nearly all of each, makes no square of pairs."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmn") for _ in range(8))
+    passage = [word() for _ in range(80)]
+    docs = [(i, " ".join([word() for _ in range(rng.choice([720, 80, 30, 22]))] + passage)) for i in range(3000)]
+    copies = [(5000 + i, docs[i % 40][1] + " end") for i in range(400)]
+    seen = []
+    verify = jaccard._verify
+    monkeypatch.setattr(jaccard, "_verify", lambda pairs, *a: seen.append(pairs.count()) or verify(pairs, *a))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similarity_components(spark.createDataFrame(docs + copies, "doc_id long, text string")).collect()}
+    assert got == {i: i for i, _ in docs} | {i: (i - 5000) % 40 for i, _ in copies}
+    assert len(seen) == jaccard.HUB_ROUNDS + 1 and sum(seen) < 2 * len(docs), seen
+
+
+def test_jaccard_keeps_clashing_columns(spark):
+    names = "row id chosen digest least key block rid n p c h n_shingles component_id _d _k d_text".split()
+    rows = [(i, f"words that are in all of them {i // 2}", *([i] * len(names))) for i in range(8)] + [(None, None, *([None] * len(names)))] * 2
+    df = spark.createDataFrame(rows, f"doc_id long, text string, {', '.join(f'`{x}` int' for x in names)}")
+    kept = jaccard.kept_documents(df)
+    assert kept.columns == df.columns
+    assert Counter((r["doc_id"], r["_d"], r["row"]) for r in kept.collect()) == Counter([(i, i, i) for i in (0, 2, 4, 6)] + [(None, None, None)])
+
+
 def test_filters_never_lose_a_pair():
     rng = np.random.default_rng(3)
     for _ in range(300):
