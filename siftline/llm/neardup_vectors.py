@@ -1,18 +1,20 @@
 """Embedding near-dedup with an inverted multi-index (operator 8).
 
-Unit vectors are cut in halves; a codebook for each half, fitted on a bounded sample, makes a grid of cells. Every
-vector is indexed in its cell. A vector looks for its neighbours by the multi-sequence algorithm: it walks the grid
-from the cells that may lie nearest, by the sum of two lower bounds on squared distances, one sequence for each half,
-until no further cell can hold a neighbour (target recall 1), or until the bound that a stated share of the sample's
-links needs. What the visited cells hold is verified by exact cosine in double precision.
+Unit vectors are cut in halves; a codebook for each half, fitted on a bounded sample, makes a grid of cells. A label's
+grid is sized by the label's vectors. Every vector is indexed in its cell. A vector looks for its neighbours by the
+multi-sequence algorithm: it walks the grid from the cells that may lie nearest, by the sum of two lower bounds on squared
+distances, one sequence for each half, until the target recall: until no further cell can hold a neighbour (1), or until
+the bound within which the sample's links, and as many made ones, of the least cosine and any direction, have their cell
+so often. What the visited cells hold is verified by exact cosine in double precision.
 
-Equal vectors of a label are one class with a count. A cell is split into blocks, and its visitors into groups, so a
-full cell is many tasks' work; a group returns counts and a spanning forest of its links, never the pairs.
+Equal vectors of a label are one class with a count. Of two cells the one with the lower number visits the other, and
+both sides are counted. A cell is split into blocks, and its visitors into groups, so a full cell is many tasks' work; a
+group returns counts and a spanning forest of its links, never the pairs.
 
 Defined results: vectors with a null label, a null or empty embedding, a component that is null or not finite, or no
-length link with nothing; vectors of different dimension do not compare; repeated rows are vectors of their own, linked
-with each other; a null id is no component id unless no other id is reachable; an empty table gives no rows; other
-columns are not read.
+length link with nothing; labels of any type that has a text are compared by it; vectors of different dimension do not
+compare; repeated rows are vectors of their own, linked with each other; a null id is no component id unless no other id
+is reachable; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +23,6 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +30,9 @@ from pyspark.sql import functions as F
 from siftline.llm.common import partitions, read, written
 from siftline.llm.components import connected_components
 
-#: Least cosine of a link; sampled vectors at most; vectors of a cell on average; of a block and a group of visitors.
-COSINE, MAX_SAMPLE, PER_CELL, BLOCK = 0.98, 20_000, 256, 1024
+#: Least cosine of a link, and the recall that the query asks of the index; sampled vectors at most; vectors of a cell on
+#: average; centres of a codebook at most; of a block and a group of visitors.
+COSINE, TARGET_RECALL, MAX_SAMPLE, PER_CELL, MAX_CENTRES, BLOCK = 0.98, 0.999, 20_000, 256, 1024, 1024
 
 
 def codebook(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -58,14 +60,12 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def lower_bounds(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Squared distance that x has at least from any point whose nearest centre is i: by the planes between the centres."""
+    """Squared distance that x has at least from any point whose nearest centre is i: by the plane between i and its own centre."""
     d = squares(x, c)
-    apart = np.sqrt(squares(c, c))
-    np.fill_diagonal(apart, np.inf)
-    bound = np.zeros_like(d)
-    for j in range(len(c)):
-        bound = np.maximum(bound, (d - d[:, j : j + 1]) / (2 * np.maximum(apart[j], 1e-12))[None])
-    return bound**2
+    own = d.argmin(1)
+    apart = np.sqrt(squares(c, c))[own]
+    beyond = np.maximum(d - d[np.arange(len(x)), own][:, None], 0)
+    return (beyond / (2 * np.maximum(apart, 1e-12))) ** 2
 
 
 def multi_sequence(a: np.ndarray, b: np.ndarray, until: float) -> Iterator[tuple[float, int, int]]:
@@ -92,10 +92,22 @@ class MultiIndex:
             self.until = self._needed(unit[:2000], cosine, target_recall)
 
     def _needed(self, unit: np.ndarray, cosine: float, target: float) -> float:
+        """The bound within which the target's part of links have their cell: of links of the sample, and of pairs that are
+        made at the least cosine in any direction, whichever need more."""
         a, b = self.bounds(unit)
-        c1, c2 = self.cells(unit)
+
+        def part(i: np.ndarray, other: np.ndarray) -> float:
+            c1, c2 = self.cells(other)
+            return float(np.quantile(a[i, c1] + b[i, c2], target))
+
+        away = np.random.default_rng(88).normal(size=unit.shape)
+        away -= (away * unit).sum(1)[:, None] * unit
+        length = np.linalg.norm(away, axis=1)
+        some = np.flatnonzero(length > 0)
+        out = [part(some, cosine * unit[some] + np.sqrt(1 - cosine**2) * away[some] / length[some, None])] if len(some) else []
         i, j = np.nonzero(np.triu(unit @ unit.T >= cosine, 1))
-        return float(np.quantile(a[i, c1[j]] + b[i, c2[j]], target)) + 1e-12 if len(i) else self.until
+        out += [part(i, unit[j])] if len(i) else []
+        return min(max(out, default=self.until) + 1e-12, self.until)
 
     def cells(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return nearest(unit[:, : self.half], self.books[0]), nearest(unit[:, self.half :], self.books[1])
@@ -126,62 +138,85 @@ def forest(linked: np.ndarray, own: np.ndarray, other: np.ndarray) -> list[tuple
         of_row, of_col = r, c
 
 
-_BLOCK = "label long, dim int, cell long, block int, grp int, kind int, uid long, n long, vector binary"
+_ROW = "label string, k int, dim int, cell long, visiting boolean, uid long, n long, vector binary"
+_ARROW = pa.schema([("label", pa.string()), ("k", pa.int32()), ("dim", pa.int32()), ("cell", pa.int64()), ("visiting", pa.bool_()), ("uid", pa.int64()), ("n", pa.int64()), ("vector", pa.binary())])
 _FOUND = "uid long, n_links long, other long"
 
 
+def verified(t: pa.Table, cosine: float) -> pa.Table:
+    """A block of a cell and a group of its visitors, or with itself: (uid, n_links, null) counts of both and (uid, null, other) edges."""
+    visiting = t.column("visiting").to_numpy()
+    uid, n = t.column("uid").to_numpy(), t.column("n").to_numpy()
+    x = np.frombuffer(b"".join(v.as_buffer() for v in t.column("vector")), float).reshape(t.num_rows, -1)
+    x = x / np.linalg.norm(x, axis=1)[:, None]
+    own = np.flatnonzero(~visiting)
+    other = own if t.column("grp")[0].as_py() == -1 else np.flatnonzero(visiting)
+    linked = (x[other] @ x[own].T >= cosine) & (uid[other][:, None] != uid[own][None])
+    counts = [(uid[other], linked @ n[own])] + ([] if other is own else [(uid[own], n[other] @ linked)])
+    ids, sums = (np.concatenate(c) for c in zip(*counts, strict=True))
+    edges = np.array(forest(linked, uid[other], uid[own]), np.int64).reshape(-1, 2)
+    some = sums > 0
+    none = lambda k: pa.nulls(k, pa.int64())
+    columns = [(pa.array(ids[some]), pa.array(edges[:, 0])), (pa.array(sums[some].astype(np.int64)), none(len(edges))), (none(int(some.sum())), pa.array(edges[:, 1]))]
+    return pa.table([pa.concat_arrays(c) for c in columns], names=["uid", "n_links", "other"])
+
+
 def links(classes: DataFrame, cosine: float = COSINE, target_recall: float = 1.0) -> DataFrame:
-    """classes (uid long, label long, vector array<double>, n long) -> (uid, n_links or null, other or null) rows: counts
+    """classes (uid long, label string, vector array<double>, n long) -> (uid, n_links or null, other or null) rows: counts
     to be summed, and edges that connect all that is linked."""
     spark = classes.sparkSession
-    total, dims = classes.agg(F.count("*"), F.collect_set(F.size("vector"))).first()
-    part = min(1.0, MAX_SAMPLE / max(total, 1))
-    drawn = classes.filter(F.pmod(F.xxhash64("uid", F.lit(8)), F.lit(1 << 30)) < int(part * (1 << 30))).limit(2 * MAX_SAMPLE).select("uid", "vector").collect()
-    drawn.sort(key=lambda r: r["uid"])
-    k = int(np.clip(round((total / PER_CELL) ** 0.5), 4, 256))
-    indexes = {d: MultiIndex(np.array([r["vector"] for r in drawn if len(r["vector"]) == d], float).reshape(-1, d), k, cosine, target_recall) for d in dims}
-
-    def placed(batches: Iterator[pa.RecordBatch], visiting: bool) -> Iterator[pa.RecordBatch]:
+    sizes = classes.groupBy("label").agg(F.count("*").alias("size"))
+    # Centres of each codebook: the power of two, from 2 on, that comes nearest to PER_CELL vectors in a cell.
+    k = sum((F.when(F.col("size") >= PER_CELL * 2 ** (2 * e + 1), 1).otherwise(0) for e in range(1, int(np.log2(MAX_CENTRES)))), F.lit(1))
+    sizes = written(sizes.select(F.col("label").alias("own"), "size", F.pow(F.lit(2), k).cast("int").alias("k")), "labels")
+    total, ks = sizes.agg(F.sum("size"), F.collect_set("k")).first()
+    part = min(1.0, MAX_SAMPLE / max(total or 0, 1))
+    drawn = classes.filter(F.pmod(F.xxhash64("uid", F.lit(8)), F.lit(1 << 30)) < int(part * (1 << 30))).limit(2 * MAX_SAMPLE).select("uid", "vector").toArrow().sort_by("uid")
+    lengths = np.array([len(v) for v in drawn.column("vector")], int)
+    dims = classes.agg(F.collect_set(F.size("vector"))).first()[0]
+    samples = {d: np.array(drawn.column("vector").filter(pa.array(lengths == d)).combine_chunks().flatten(), float).reshape(-1, d) for d in dims}
+    indexes = {(d, c): MultiIndex(samples[d], c, cosine, target_recall) for d in dims for c in ks}
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each vector in its own cell, and one for each cell of a higher number that it visits."""
         for b in batches:
-            uid, label, vectors, n = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist(), b.column(3).to_numpy()
-            rows = []
-            for d in sorted({len(v) for v in vectors}):
-                at = [i for i, v in enumerate(vectors) if len(v) == d]
-                x, index = np.array([vectors[i] for i in at]), indexes[d]
-                unit = x / np.linalg.norm(x, axis=1)[:, None]
-                cells = index.visits(unit) if visiting else ([c] for c in zip(*index.cells(unit), strict=True))
-                rows += [(int(label[i]), d, int(p) << 32 | int(q), int(uid[i]), int(n[i]), v.tobytes()) for i, v, own in zip(at, x, cells, strict=True) for p, q in own]
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            for k in range(0, max(len(rows), 1), 8192):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*zip(*rows[k : k + 8192], strict=True)] or [()] * 6, types, strict=True)], names=["label", "dim", "cell", "uid", "n", "vector"])
-
-    schema = "label long, dim int, cell long, uid long, n long, vector binary"
-    own = classes.select("uid", "label", "vector", "n")
-    held = written(own.mapInArrow(lambda b: placed(b, False), schema), "cells")
-    asking = written(own.mapInArrow(lambda b: placed(b, True), schema), "visits")
+            dim, kinds = np.array([len(v) for v in b.column("vector")], int), b.column("k").to_numpy()
+            for d, c in sorted({*zip(dim.tolist(), kinds.tolist(), strict=True)}):
+                rows = b.filter(pa.array((dim == d) & (kinds == c)))
+                x, index = rows.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, d), indexes[d, c]
+                for at in range(0, len(x), 512):
+                    y = x[at : at + 512]
+                    unit = y / np.linalg.norm(y, axis=1)[:, None]
+                    home = [int(p) << 32 | int(q) for p, q in zip(*index.cells(unit), strict=True)]
+                    cells, owner = [], []
+                    for i, visits in enumerate(index.visits(unit)):
+                        beyond = [z for p, q in visits if (z := p << 32 | q) > home[i]]
+                        cells += [home[i], *beyond]
+                        owner += [i] * (1 + len(beyond))
+                    take = pa.array(owner) if owner else pa.array([], pa.int64())
+                    part = rows.slice(at, 512)
+                    first = np.concatenate([[True], np.diff(owner) > 0]) if owner else np.zeros(0, bool)
+                    vector = pa.array([v.tobytes() for v in y], pa.binary())
+                    columns = [part.column("label").take(take), part.column("k").take(take), pa.array(np.full(len(owner), d, np.int32)), pa.array(cells, pa.int64()), pa.array(~first), part.column("uid").take(take), part.column("n").take(take), vector.take(take)]
+                    yield pa.RecordBatch.from_arrays(columns, schema=_ARROW)
+
+    sized = classes.join(sizes, F.col("label") == F.col("own")).select("label", "k", "uid", "vector", "n")
+    rows = written(sized.mapInArrow(placed, _ROW), "cells")
     key = ["label", "dim", "cell"]
-    split = lambda t, name: t.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-    sizes = written(split(held, "blocks").join(split(asking, "groups"), key), "sizes")
+    count = rows.groupBy(key).agg(F.ceil(F.count_if(~F.col("visiting")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if("visiting") / BLOCK).cast("int").alias("groups"))
+    count = written(count.filter("blocks > 0"), "sizes")  # what visits an empty cell finds nothing
     spot = lambda n, seed: F.pmod(F.xxhash64("uid", F.lit(seed)), F.col(n)).cast("int")
-    names = [c.split()[0] for c in _BLOCK.split(", ")]
-    a = held.join(sizes, key).withColumn("block", spot("blocks", 1)).withColumn("grp", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).withColumn("kind", F.lit(0)).select(*names)
-    b = asking.join(sizes, key).withColumn("grp", spot("groups", 2)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("kind", F.lit(1)).select(*names)
-
-    def verified(pdf: pd.DataFrame) -> pd.DataFrame:
-        side = [pdf[pdf["kind"] == k] for k in (0, 1)]
-        x, p = (np.frombuffer(b"".join(t["vector"]), float).reshape(len(t), -1) for t in side)
-        if not len(x) or not len(p):
-            return pd.DataFrame({"uid": [], "n_links": [], "other": []}).astype({"uid": "int64"})
-        xi, pi, n = side[0]["uid"].to_numpy(), side[1]["uid"].to_numpy(), side[0]["n"].to_numpy()
-        cos = (p @ x.T) / (np.linalg.norm(p, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None])
-        linked = (cos >= cosine) & (pi[:, None] != xi[None])
-        counts = linked @ n
-        some = counts > 0
-        edges = forest(linked, pi, xi)
-        return pd.concat([pd.DataFrame({"uid": pi[some], "n_links": counts[some]}), pd.DataFrame(edges, columns=["uid", "other"], dtype="int64")])[["uid", "n_links", "other"]].astype({"uid": "int64", "n_links": "Int64", "other": "Int64"})
-
-    both = a.unionByName(b).repartition(partitions(spark), *key, "block", "grp")
-    return both.groupBy(*key, "block", "grp").applyInPandas(verified, _FOUND)
+    to = lambda a, b: F.filter(F.sequence(F.least(a, b), b), lambda x: x >= a)
+    names = [*key, "block", "grp", "visiting", "uid", "n", "vector"]
+    held = rows.filter("not visiting").join(count, key).withColumn("own", spot("blocks", 1))
+    # A block meets itself (group -1), the blocks behind it (group -2 - block), and the groups of visitors.
+    behind = F.transform(to(F.col("own") + 1, F.col("blocks") - 1), lambda x: -2 - x)
+    meets = F.concat(F.array(F.lit(-1)), behind, to(F.lit(0), F.col("groups") - 1))
+    as_block = held.withColumn("block", F.col("own")).withColumn("grp", F.explode(meets)).select(names)
+    as_visitor = held.withColumn("grp", -2 - F.col("own")).withColumn("block", F.explode(to(F.lit(0), F.col("own") - 1))).withColumn("visiting", F.lit(True)).select(names)
+    visitors = rows.filter("visiting").join(count, key).withColumn("grp", spot("groups", 2)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(names)
+    both = as_block.unionByName(as_visitor).unionByName(visitors).repartition(partitions(spark), *key, "block", "grp")
+    return both.groupBy(*key, "block", "grp").applyInArrow(lambda t: verified(t, cosine), _FOUND)
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, target_recall: float = 1.0) -> DataFrame:
@@ -189,7 +224,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, target_recall: f
     v = F.col("embedding").cast("array<double>")
     sound = F.col("label").isNotNull() & v.isNotNull() & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
     # An extreme scale is taken out first, so that lengths neither overflow nor vanish.
-    rows = written(vectors.select(F.col("vec_id").cast("long"), F.monotonically_increasing_id().alias("uid"), F.when(sound, F.col("label").cast("long")).alias("label"), F.when(sound, v).alias("vector")), "vectors")
+    rows = written(vectors.select(F.col("vec_id").cast("long"), F.monotonically_increasing_id().alias("uid"), F.when(sound, F.col("label").cast("string")).alias("label"), F.when(sound, v).alias("vector")), "vectors")
     good = rows.filter("label is not null")
     classes = written(good.groupBy("label", "vector").agg(F.min("uid").alias("uid"), F.count("*").alias("n")), "classes")
     scaled = classes.withColumn("vector", F.transform("vector", lambda x: x / F.array_max(F.transform("vector", F.abs))))
@@ -206,4 +241,4 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, target_recall: f
 
 
 def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "embeddings"))
+    return near_duplicates(read(spark, sf_dir, "embeddings"), COSINE, TARGET_RECALL)

@@ -149,6 +149,42 @@ def test_vectors(spark, monkeypatch, block):
     assert neardup_vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_vectors_recall_of_the_query(spark):
+    """op8 on a whole table against brute force: no link below the cosine, hardly any above it missed."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    x = np.array([np.zeros(64) if v is None or len(v) != 64 else v for v in rows.embedding], float)
+    length = np.linalg.norm(x, axis=1)
+    x = x / np.where(length > 0, length, 1)[:, None]
+    label = rows.label.to_numpy(float)
+    linked = (x @ x.T >= 0.98) & (label[:, None] == label[None])
+    np.fill_diagonal(linked, False)
+    ids = rows.vec_id.to_numpy()
+    want = dict(zip(ids.tolist(), linked.sum(1).tolist(), strict=True))
+    got = {r["vec_id"]: r for r in neardup_vectors.op8_vectors(spark, "/root/testdata/sf0.1").collect()}
+    assert got.keys() == want.keys() and all(got[i]["n_links"] <= n for i, n in want.items())
+    assert sum(r["n_links"] for r in got.values()) >= 0.99 * sum(want.values())
+
+
+def test_vectors_of_many_sizes(spark, monkeypatch):
+    """Labels that are text and grids of several sizes, at recall 1."""
+    monkeypatch.setattr(neardup_vectors, "PER_CELL", 4)
+    rng = np.random.default_rng(14)
+    rows, label = [], []
+    for name, n in (("a", 3), ("b", 60), ("c", 500), ("", 12)):
+        base = rng.normal(size=(max(n // 3, 1), 9))
+        own = np.concatenate([base[rng.integers(0, len(base), n)] + rng.normal(scale=0.06, size=(n, 9))])
+        rows += [r.tolist() for r in own]
+        label += [name] * n
+    x = np.array(rows)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    linked = (x @ x.T >= 0.98) & (np.array(label)[:, None] == np.array(label)[None])
+    np.fill_diagonal(linked, False)
+    want = roots(range(len(rows)), np.argwhere(linked).tolist())
+    df = spark.createDataFrame([(i, v, name) for i, (v, name) in enumerate(zip(rows, label, strict=True))], "vec_id long, embedding array<double>, label string")
+    got = {r["vec_id"]: r for r in neardup_vectors.near_duplicates(df).collect()}
+    assert [got[i]["n_links"] for i in range(len(rows))] == linked.sum(1).tolist() and {i: r["component_id"] for i, r in got.items()} == want
+
+
 def test_multi_sequence_is_in_order_and_complete():
     rng = np.random.default_rng(5)
     a, b = rng.random(7), rng.random(9)
