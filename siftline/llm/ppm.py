@@ -7,13 +7,14 @@ lower-cased, and an end symbol. `Adaptive` learns within one text; `score` uses
 
 The corpus's trie grows with the corpus and is never in one place. Blocks of documents send their distinct grams
 (context and symbol) and words with training counts; counts are summed by gram; the trie is evaluated where grams with
-the same last two context bytes meet, with the two shortest orders, at most 65,536 counts, given to every task; each
-gram's log-probability goes back to the blocks that asked for it, and a block scores its documents by table look-up.
+the same last three context bytes meet, sorted by these and taken some contexts at a time, with the counts of orders 0
+to 2, of which there are 2^24 at most, given to every task; each gram's log-probability goes back to the blocks that
+asked for it, and a block scores its documents by table look-up.
 The unigram base score comes from the words' counts in the same way.
 
 Grams are exact; words are told apart by 64-bit hashes.
 
-Defined results: null text is empty, its one token is the end; without training documents all counts are zero and
+Defined results: null text is empty, its one token is the end; a very long text is a block's with others; without training documents all counts are zero and
 every byte costs log10(256); repeated rows are scored each and counted each; an empty table gives no rows; other
 columns are not read.
 """
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +34,8 @@ from siftline.llm.jaccard import _LOW, word_hashes
 
 #: Bytes of context; symbols that no text has (not in UTF-8): what stands before a text, and its end; bytes of a block and of a step.
 ORDER, BEFORE, END, SYMBOLS, BLOCK_BYTES, STEP = 5, 0xFE, 0xFF, 256, 20 << 20, 1 << 19
-#: Keys that wait to be merged with a block's others.
-MERGE = 1 << 18
+#: Keys that wait to be merged with a block's others; grams that are evaluated together, if their contexts allow.
+MERGE, TOGETHER = 1 << 18, 1 << 18
 #: Words' hashes are marked as keys below zero; grams are not.
 MARK = np.int64(-1 << 63)
 
@@ -162,41 +164,53 @@ def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return u, where
 
 
-def evaluate(grams: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """log10 probabilities of grams, given all grams that share their last two context bytes, with training counts
-    (zero: only asked for), and pairs[a, s], the counts of symbol s behind byte a."""
-    symbol = grams & 255
-    singles = pairs.sum(0)
-    seen = []  # by order from the longest: count of the symbol, total and distinct symbols of the context, and what the longer context's symbols count here
+class ShortOrders:
+    """Training counts of the orders 0 to 2: of each (byte, byte, symbol) that was seen, and what follows from these."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.n = keys[order], n[order].astype(float)
+        context, last = self.keys >> 8, self.keys & 0xFFFF
+        self.pairs = np.bincount(last, self.n, 1 << 16)
+        self.singles = np.bincount(last & 255, self.n, 256)
+        two = lambda w: np.bincount(context, w, 1 << 16)
+        seen = self.pairs.reshape(256, 256)
+        # By order: total and number of the symbols behind each context, and what these symbols count in the next shorter one.
+        self.two = two(self.n), two(np.ones(len(self.keys))), two(self.pairs[last])
+        self.one = seen.sum(1), (seen > 0).sum(1), (seen > 0) @ self.singles
+        self.none = self.singles.sum(), (self.singles > 0).sum()
+
+    def count(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.n[at], 0.0)
+
+
+def evaluate(grams: np.ndarray, counts: np.ndarray, short: ShortOrders) -> np.ndarray:
+    """log10 probabilities of grams, given all grams that share their last three context bytes, with training counts
+    (zero: only asked for)."""
+    seen = []  # by order from the longest: count of the symbol, total and distinct symbols of the context, and what the context's symbols count in the next shorter one
     below = None
-    for k in range(ORDER, -1, -1):
-        if k >= 2:
-            own = grams & ((1 << 8 * (k + 1)) - 1)
-            gu, gw = _groups(own)
-            c = np.bincount(gw, counts, len(gu))
-            ctx, cw = _groups(gu >> 8)
-            total, distinct = np.bincount(cw, c, len(ctx)), np.bincount(cw, c > 0, len(ctx))
-            count, at, context_of = c[gw], cw[gw], gu >> 8
-            if below is not None:
-                # Symbols that the longer context has seen, counted in this one.
-                longer, longer_ctx_of, longer_c, longer_n = below
-                place = np.searchsorted(gu, longer & ((1 << 8 * (k + 1)) - 1))
-                taken = np.bincount(longer_ctx_of, np.where(longer_c > 0, c[place], 0), longer_n)
-            below = gu, cw, c, len(ctx)
-            seen.append([count, total[at], distinct[at], None])
-            if k < ORDER:
-                seen[-2][3] = taken[last_at]
-            last_at = at
-        else:
-            table = pairs if k else singles[None]
-            row = ((grams >> 8) & 255) if k else np.zeros(len(grams), np.int64)
-            if k:
-                longer, longer_ctx_of, longer_c, longer_n = below
-                taken = np.bincount(longer_ctx_of, np.where(longer_c > 0, table[(longer >> 8) & 255, longer & 255], 0), longer_n)
-                seen[-1][3] = taken[last_at]
-            else:
-                seen[-1][3] = ((pairs > 0) @ singles)[(grams >> 8) & 255]
-            seen.append([table[row, symbol], table.sum(1)[row], (table > 0).sum(1)[row], None])
+    for k in range(ORDER, 2, -1):
+        own = grams & ((1 << 8 * (k + 1)) - 1)
+        gu, gw = _groups(own)
+        c = np.bincount(gw, counts, len(gu))
+        ctx, cw = _groups(gu >> 8)
+        total, distinct = np.bincount(cw, c, len(ctx)), np.bincount(cw, c > 0, len(ctx))
+        if below is not None:
+            longer, longer_ctx, longer_c, n, last = below
+            place = np.searchsorted(gu, longer & ((1 << 8 * (k + 1)) - 1))
+            seen[-1][3] = np.bincount(longer_ctx, np.where(longer_c > 0, c[place], 0), n)[last]
+        at = cw[gw]
+        below = gu, cw, c, len(ctx), at
+        seen.append([c[gw], total[at], distinct[at], None])
+    longer, longer_ctx, longer_c, n, last = below
+    seen[-1][3] = np.bincount(longer_ctx, np.where(longer_c > 0, short.count(longer & 0xFFFFFF), 0), n)[last]
+    two, one, symbol = (grams >> 8) & 0xFFFF, (grams >> 8) & 255, grams & 255
+    seen.append([short.count(grams & 0xFFFFFF), *(x[two] for x in short.two)])
+    seen.append([short.pairs[grams & 0xFFFF], *(x[one] for x in short.one)])
+    seen.append([short.singles[symbol], *(np.full(len(grams), float(x)) for x in short.none), None])
     out, done, begun = np.zeros(len(grams)), np.zeros(len(grams), bool), np.zeros(len(grams), bool)
     excluded_count, excluded_kinds = np.zeros(len(grams)), np.zeros(len(grams))
     for count, total, distinct, next_taken in seen:
@@ -258,21 +272,35 @@ def score(docs: DataFrame) -> DataFrame:
     words = counts.filter("key < 0").select("key", F.col("n").cast("double").alias("value"))
     seen = words.agg(F.sum("value"), F.count_if(F.col("value") > 0)).first()
     all_tokens, kinds = int(seen[0] or 0) + ends, int(seen[1]) + int(ends > 0)
-    # The two shortest orders: 65,536 counts at most.
-    last = counts.filter("key >= 0").groupBy(F.col("key").bitwiseAND(0xFFFF).alias("pair")).agg(F.sum("n").alias("n")).collect()
-    pairs = np.zeros((256, 256))
-    for r in last:
-        pairs[r["pair"] >> 8, r["pair"] & 255] = r["n"]
+    grams = counts.filter("key >= 0").select("key", "n")
+    held = grams.groupBy(F.col("key").bitwiseAND(0xFFFFFF).alias("short")).agg(F.sum("n").alias("n"), F.count("*").alias("grams")).toArrow()
+    taught = held.filter(pc.greater(held.column("n"), 0))
+    short = ShortOrders(taught.column("short").to_numpy(), taught.column("n").to_numpy())
+    together = TOGETHER
+    places = max(n, -(-(pc.sum(held.column("grams")).as_py() or 0) // (4 * together)))
 
     def trie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [*batches]
-        if held:
-            t = pa.Table.from_batches(held)
-            keys = t.column("key").to_numpy()
-            value = evaluate(keys, t.column("n").to_numpy(), pairs)
-            yield from pa.table([pa.array(keys), pa.array(value)], names=["key", "value"]).to_batches(65_536)
-
-    grams = counts.filter("key >= 0").select("key", "n").repartition(n, F.expr("(key >> 8) & 65535")).mapInArrow(trie, "key long, value double")
+        """Grams by rising last three context bytes: as many contexts at a time as TOGETHER grams have, one at least."""
+
+        def done(keys: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+            yield from pa.table([pa.array(keys), pa.array(evaluate(keys, c, short))], names=["key", "value"]).to_batches(65_536)
+
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        enough = together
+        for b in batches:
+            waiting.append((b.column("key").to_numpy(), b.column("n").to_numpy()))
+            if sum(len(k) for k, _ in waiting) >= enough:
+                keys, c = (np.concatenate(x) for x in zip(*waiting, strict=True))
+                context = (keys >> 8) & 0xFFFFFF
+                end = int(np.searchsorted(context, context[-1]))  # the last context may go on
+                if end:
+                    yield from done(keys[:end], c[:end])
+                waiting, enough = [(keys[end:], c[end:])], together + 2 * (len(keys) - end)
+        if waiting:
+            yield from done(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
+
+    context = F.expr("(key >> 8) & 16777215")
+    grams = grams.repartition(places, context).sortWithinPartitions(context).mapInArrow(trie, "key long, value double")
     told = asked.select("block", "key").join(grams.unionByName(words), "key").select("block", "key", "value")
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return placed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda d, k: _score(d, k, all_tokens, kinds, ends) if d.num_rows else _none(), out)

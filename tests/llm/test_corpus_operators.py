@@ -211,7 +211,9 @@ def test_lower_target_recall_is_reached(spark):
     assert np.mean([cells[j] in visits[i] for i, j in pairs]) >= 0.9
 
 
-def test_ppm(spark):
+@pytest.mark.parametrize("together", [ppm.TOGETHER, 3])
+def test_ppm(spark, monkeypatch, together):
+    monkeypatch.setattr(ppm, "TOGETHER", together)
     docs = [(1, "the cat sat on the mat"), (2, "The cat ate the rat"), (3, None), (4, ""), (5, "zebra xylophone the"), (6, "ça va the été"), (7, "the cat sat on the mat"), (20, "unseen words qqq the cat"), (7, "the cat sat on the mat"), (8, "a" * 3000 + " \n b"), (None, "a null id")]
     taught = {1, 2, 4, 6, 7, 8}
     df = spark.createDataFrame([(i, t, i in taught, 1.0) for i, t in docs], "doc_id long, text string, train boolean, score double")
