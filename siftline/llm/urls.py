@@ -2,7 +2,8 @@
 
 A rule is a host and the beginning of a path, with a verdict. The canonical key of a host and a path is the host with
 its labels reversed, a separator, and the path, so what a rule covers on one host is an interval of keys: its own key
-and all that begin with it. A url asks once for its host and once for each parent domain. Keys and rules are dealt to
+and all that begin with it. A url asks once for each of its host and parent domains that has as many labels as some
+rule's host: that is few times, however long the host is. Keys and rules are dealt to
 ranges of keys, a rule to each range that its interval meets; each range is swept in order, with a stack of the rules
 whose intervals are open. Intervals are nested or apart, so the top of the stack is the longest rule on that host, and
 the longest over a url's domains wins; of rules equally long, the one on the longer host, then the blocking one.
@@ -13,7 +14,7 @@ batch and the stack.
 
 Defined results: a null url, and one without `://`, has an empty host and path, and no rule; rules that are null in
 host or path, or have an empty host, are ignored, of equal rules the blocking one stays; without rules every url gets the default verdict;
-equal rows get equal rows; an empty table gives no rows; columns besides the id and the url are not read.
+a very long url is judged in full; equal rows get equal rows; an empty table gives no rows; columns besides the id and the url are not read.
 """
 
 from __future__ import annotations
@@ -46,10 +47,11 @@ def path_of(url: Column) -> Column:
     return F.when(url.isNull() | (at == 0), F.lit("")).otherwise(F.regexp_extract(F.substring(url, at + 3, F.length(url)), r"^[^/?#]*([^?#]*)", 1))
 
 
-def keys_of(host: Column, path: Column) -> Column:
-    """The canonical keys of a host and all its parent domains, with their path."""
+def keys_of(host: Column, path: Column, depths: list[int]) -> Column:
+    """The canonical keys of those of a host and its parent domains that have so many labels, with their path."""
     labels = F.reverse(F.split(host, r"\.", -1))
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.concat(F.array_join(F.slice(labels, 1, k), DOT), F.lit(SLASH), path))
+    own = F.filter(F.lit(depths).cast("array<int>"), lambda k: k <= F.size(labels))
+    return F.transform(own, lambda k: F.concat(F.array_join(F.slice(labels, 1, k), DOT), F.lit(SLASH), path))
 
 
 def key_of(host: str, path: str) -> str:
@@ -76,10 +78,11 @@ def match(urls: DataFrame, rules: DataFrame, n_ranges: int | None = None) -> Dat
     spark = urls.sparkSession
     n = n_ranges or partitions(spark)
     salt = F.xxhash64("id")
-    asked = urls.filter("host <> '' or path <> ''").select("id", F.explode(keys_of(F.col("host"), F.col("path"))).alias("key")).withColumn("salt", salt)
     labels = F.reverse(F.split("host", r"\.", -1))
     ruled = rules.filter("host <> '' and path is not null and verdict is not null").groupBy("host", "path").agg(F.max(F.col("verdict") == "block").alias("b"))
+    depths = sorted(r[0] for r in ruled.select(F.size(labels)).distinct().collect())
     ruled = ruled.select(F.concat(F.array_join(labels, DOT), F.lit(SLASH), "path").alias("key"), F.when(F.col("b"), "block").otherwise("allow").alias("verdict"), F.concat("host", "path").alias("rule"), F.length("host").alias("host_length"))
+    asked = urls.filter("host <> '' or path <> ''").select("id", F.explode(keys_of(F.col("host"), F.col("path"), depths)).alias("key")).withColumn("salt", salt)
     # Cuts of the ranges: a bounded sample of (key, salt), as many for each range whatever the size.
     total = asked.count()
     part = min(1.0, n * SAMPLE_PER_RANGE / max(total, 1))
@@ -123,7 +126,7 @@ def match(urls: DataFrame, rules: DataFrame, n_ranges: int | None = None) -> Dat
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*zip(*found, strict=True)] or [()] * 4, schema, strict=True)], schema=schema)
 
     names = [c.split()[0] for c in _ROW.split(", ")]
-    joined = left.select(*names).unionByName(right.select(*names)).repartition(n, "part").sortWithinPartitions("part", "key", "kind").mapInArrow(swept, "id long, verdict string, rule string, host_length int")
+    joined = left.select(*names).unionByName(right.select(*names)).repartitionById(n, F.col("part")).sortWithinPartitions("part", "key", "kind").mapInArrow(swept, "id long, verdict string, rule string, host_length int")
     best = F.struct(F.length("rule").alias("n"), F.col("host_length").alias("h"), (F.col("verdict") == "block").alias("b"), F.col("rule").alias("rule"), F.col("verdict").alias("verdict"))
     return joined.groupBy("id").agg(F.max(best).alias("best")).select("id", "best.rule", "best.verdict")
 

@@ -124,6 +124,8 @@ def test_urls(spark):
         best = max(fits, default=None)
         want.append((i, h, p, best[3] if best else None, best[4] if best else "allow"))
     assert Counter(map(tuple, got)) == Counter(want)
+    long = spark.createDataFrame([(1, "http://" + "a." * 20_000 + "example.com/en/x"), (2, "http://a.com/" + "en/" * 20_000), (3, "://" + "." * 30_000)], "page_id long, url string")
+    assert [r["rule"] for r in urls.judge(long, urls.rules_frame(spark)).orderBy("page_id").collect()] == ["example.com/en/", "com/", None]
     assert urls.judge(pages.limit(0), urls.rules_frame(spark)).count() == 0
     assert urls.judge(pages, urls.rules_frame(spark).limit(0)).filter("verdict = 'allow' and rule is null").count() == len(rows)
 
