@@ -93,6 +93,22 @@ def drop(*tables: DataFrame) -> None:
             remove(t.sparkSession, path)
 
 
+#: Bytes of a table for each core below which its rows are dealt anew: a small file has few row groups, so few tasks.
+SMALL = 8 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table's rows over all cores. Larger tables have row groups for every core and are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SMALL * cores else df
+
+
+def blocks_of(spark: SparkSession, total: int, size: int) -> int:
+    """Blocks for so many bytes: of a size at most, and of a small table as many as there are cores."""
+    return max(1, -(-total // size), min(spark.sparkContext.defaultParallelism, total >> 20))
+
+
 def unit(*parts: object) -> float:
     """A number in [0, 1) that depends on the parts alone."""
     key = "|".join(map(str, parts)).encode()

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.common import read, written
+from siftline.llm.common import read, spread, written
 from siftline.llm.components import connected_components
 from siftline.llm.urls import host_of
 
@@ -431,7 +431,7 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
             columns = [b.column("host"), b.column("page"), pa.array(content, pa.int64()), *(pa.array(x, longs) for x in (counted, met, slots, bands))]
             yield pa.RecordBatch.from_arrays(columns, names=["host", "page", "content", "counted", "met", "slots", "bands"])
 
-    found = pages.select("host", "page", "html").mapInArrow(run, "host string, page long, content long, counted array<long>, met array<long>, slots array<long>, bands array<long>")
+    found = spread(pages.select("host", "page", "html")).mapInArrow(run, "host string, page long, content long, counted array<long>, met array<long>, slots array<long>, bands array<long>")
     found = written(found.withColumn("content", F.xxhash64("host", "content")), "subtrees")
     on = ["host", "hash"]
     met = found.select("host", "page", F.explode("met").alias("hash"))
@@ -471,7 +471,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts.append((page.measure() if template or rare else page).text(template, rare))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    joined = with_host.join(known, "page", "left").select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html", "template", "rare")
+    joined = spread(with_host).join(known, "page", "left").select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html", "template", "rare")
     return joined.mapInArrow(run, "page_id long, url string, text string")
 
 

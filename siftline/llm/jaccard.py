@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.common import lower_ascii, partitions, read, written
+from siftline.llm.common import blocks_of, lower_ascii, read, written
 from siftline.llm.components import connected_components
 
 #: Words of a shingle, least similarity in percent, bytes of text in a block and of shingles in a range.
@@ -224,9 +224,9 @@ def similarity_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     ids = written(own.select("doc_id", key.alias("key"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes")), "ids")
     alike = written(ids.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("bytes").alias("bytes")).withColumn("rid", F.monotonically_increasing_id()), "alike")
     total = alike.agg(F.sum("bytes")).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_BYTES))
+    blocks = blocks_of(spark, total, BLOCK_BYTES)
     bits = min(64, max(24, math.ceil(math.log2(max(total / 6, 2))) + 10))
-    ranges = max(1, -(-total // RANGE_BYTES))
+    ranges = blocks_of(spark, total, RANGE_BYTES)
     block = F.pmod(F.xxhash64("least", "key", F.lit(5)), F.lit(blocks))
     reps = alike.select("rid", "least", block.alias("block"), "key")
     keyed = own.withColumnRenamed("doc_id", "least").withColumn("key", key).withColumn("block", block)
@@ -237,7 +237,6 @@ def similarity_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         rid = pa.array([chosen.pop(x, None) for x in zip(t.column("least").to_pylist(), t.column("key").to_pylist(), strict=True)], pa.int64())
         return t.append_column("rid", rid).filter(rid.is_valid())
 
-    n = max(partitions(spark), 1)
     sent = keyed.groupBy("block").cogroup(reps.groupBy("block")).applyInArrow(lambda t, r: _offer(of_reps(t, r), ranges, bits) if len(t) and len(r) else _offer_none(), "range int, block long, hashes binary, counts binary")
     answers = written(sent.groupBy("range").applyInArrow(_answer, "block long, hashes binary, counts binary"), "answers")
     none = F.lit(None)
@@ -249,7 +248,7 @@ def similarity_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     found = written(keyed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(prefixes, _PREFIX), "prefixes")
     sets = found.filter("shingles is not null").select("rid", "shingles")
-    tokens = written(found.filter("shingles is not null").select("rid", "n", F.col("prefix")[0]["p"].alias("first"), F.explode("prefix").alias("x")).select("rid", "n", "x.h", "x.p", (1000 * F.col("first") / F.col("n")).cast("int").alias("alone")).repartition(n, "h"), "tokens")
+    tokens = written(found.filter("shingles is not null").select("rid", "n", F.col("prefix")[0]["p"].alias("first"), F.explode("prefix").alias("x")).select("rid", "n", "x.h", "x.p", (1000 * F.col("first") / F.col("n")).cast("int").alias("alone")), "tokens")
 
     # Hub rounds: each document against the one hub, of another component, with which it shares most of its prefix.
     # The hub of a shingle is its document with the fewest shingles of its own: what near copies were copied from.
@@ -259,7 +258,7 @@ def similarity_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         best = placed.groupBy("h", "c").agg(F.min(F.struct("alone", "n", "rid", "p")).alias("best"))
         hubs = best.groupBy("h").agg(F.min(F.struct("best", "c")).alias("one"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("h", "one")
         other = best.join(hubs, "h").filter("c <> one.c").groupBy("h").agg(F.min(F.struct("best", "c")).alias("two"))
-        both = hubs.join(other, "h")
+        both = written(hubs.join(other, "h"), "hubs")  # as a table of its own, so that a join with it can be split where a shingle is hot
         hub = F.when(F.col("c") == F.col("one.c"), F.col("two")).otherwise(F.col("one"))["best"]
         near = placed.join(both, "h").select("rid", hub.alias("hub"), "n", "p").select("rid", F.col("hub.rid").alias("hub"), *_bounds(F.col("n"), F.col("hub.n"), F.col("p"), F.col("hub.p"), percent)).filter("possible")
         chosen = near.groupBy("rid", "hub").agg(F.count("*").alias("shared")).groupBy("rid").agg(F.max(F.struct("shared", (-F.col("hub")).alias("m"))).alias("best"))
@@ -272,7 +271,7 @@ def similarity_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     rep = alike.select("rid", "key").join(found.select("rid", "n"), "rid").join(joined.withColumnRenamed("id", "rid"), "rid", "left").select(F.col("key").alias("k"), "n", F.coalesce("component", "rid").alias("c"))
     rows = written(ids.join(rep, F.col("key") == F.col("k")).select("doc_id", "n", "c"), "rows")
-    least = rows.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    least = written(rows.groupBy("c").agg(F.min("doc_id").alias("component_id")), "least")
     return rows.join(least, "c").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
@@ -291,7 +290,7 @@ def candidates(placed: DataFrame, percent: int = PERCENT) -> DataFrame:
     does not meet itself; the group is dealt to places of GROUP documents, and those outside of that component go to each.
     """
     by = placed.groupBy("h", "c").agg(F.count("*").alias("k")).groupBy("h").agg(F.max(F.struct("k", "c"))["c"].alias("major"), F.sum("k").alias("total"), F.count("*").alias("parts"))
-    by = by.filter("parts > 1").select("h", "major", F.ceil(F.col("total") / GROUP).cast("int").alias("places"))
+    by = written(by.filter("parts > 1").select("h", "major", F.ceil(F.col("total") / GROUP).cast("int").alias("places")), "groups")
     # Of sets of which one is similar to the other, the lengths differ by less than a class's width.
     size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(100.5 / percent)).cast("int")
     t = placed.join(by, "h").withColumn("class", size_class)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.common import fold, read
+from siftline.llm.common import fold, read, spread
 
 GRAMS, HASHES, MIN_SHARE, RATIO, MAX_DOCS, UNKNOWN = (3, 4), 3, 1 / 30_000, 8.0, 20_000, "und"
 #: Bytes and texts taken at once, and the least score of a document that the pipeline keeps.
@@ -199,7 +199,7 @@ def learn(docs: DataFrame, max_docs: int = MAX_DOCS) -> LanguageFilter:
             columns = [pa.array([lang] * len(c.keys), pa.string()), pa.array([size] * len(c.keys), pa.int32()), pa.array(c.keys.astype(np.int64)), pa.array(c.n)]
             yield pa.RecordBatch.from_arrays(columns, names=["lang", "size", "gram", "n"])
 
-    counts = docs.select("text", "lang").mapInArrow(count, "lang string, size int, gram long, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
+    counts = spread(docs.select("text", "lang")).mapInArrow(count, "lang string, size int, gram long, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("lang", "size").agg(F.sum("n").alias("total"))
     shares = counts.join(totals, ["lang", "size"]).select("lang", "gram", (F.col("n") / F.col("total")).alias("share"))
     by_gram = shares.filter(F.col("share") >= MIN_SHARE / RATIO).groupBy("gram").agg(F.max("share").alias("most"), F.collect_list(F.struct("lang", "share")).alias("all"))
@@ -239,11 +239,11 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held = fold(F.col("doc_id"), 4) == 2
     model = learn(docs.filter(~held))
-    return predict(docs.select("doc_id", "text", held.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
+    return predict(spread(docs.select("doc_id", "text", held.alias("held_out"))), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The documents whose language is found and explains enough of them, with all their columns, whatever their names."""
     model = learn(docs.filter(fold(F.col("doc_id"), 4) != 2))
     # `und` has score 0, so one condition is enough.
-    return docs.filter(predicted(F.col("text"), model)["score"] >= MIN_SCORE)
+    return spread(docs).filter(predicted(F.col("text"), model)["score"] >= MIN_SCORE)

@@ -4,19 +4,22 @@ A document's ids, with an end id, are cut into pieces. Whole windows of the long
 left of a document goes to the shortest tier that holds it. Each tier is packed on its own: an item opens a window of
 its tier, and the gap behind it is filled from the shorter tiers, the largest fitting item first, the last one cut to
 fit. Every window is then full, so sequences have the length of a tier. What a task still holds at its end is drained
-into sequences whose lengths are powers of two, so nothing is padded at all. Sequences of one tier are dealt to step
-groups of equally many tokens.
+into sequences whose lengths are powers of two, so nothing is padded at all.
 
-Packing is local to a scan task: no shuffle, memory bounded by a batch of documents and a bounded buffer of pieces,
+Sequences of one tier are dealt to step groups, GROUPS at a time. Groups have equally many sequences (at a task's end one
+more or less), and the work of attention in them, the sum of the squares of the pieces' lengths, is balanced: in each
+round the costliest sequence left goes to the group that has least so far.
+
+Packing is local to a scan task: no shuffle (but of a small table), memory bounded by a batch of documents and a bounded buffer of pieces,
 and a task that is run again on another executor gives the same sequences.
 
-Defined results: null or empty text is the end id alone; repeated rows are packed each; an empty table gives no pieces;
+Defined results: null or empty text is the end id alone; a very long text fills windows of its own; a null id stays null;
+equally costly sequences go in their order; repeated rows are packed each; an empty table gives no pieces;
 other columns of the input are not read.
 """
 
 from __future__ import annotations
 
-import base64
 import json
 from collections import deque
 from collections.abc import Iterator
@@ -28,9 +31,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.common import read
+from siftline.llm.common import read, spread
 
-TIERS, END, STEP_TOKENS, BUFFER = (128, 256, 512, 1024), 0, 8192, 4096
+TIERS, END, STEP_TOKENS, GROUPS, BUFFER = (128, 256, 512, 1024), 0, 8192, 8, 4096
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, tier int, step_group long, ids binary"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("tier", pa.int32()), ("step_group", pa.int64()), ("ids", pa.binary())])
 
@@ -74,7 +77,7 @@ class Packer:
         self.tiers, self.top, self.step_tokens = tuple(sorted(tiers)), max(tiers), step_tokens
         self.waiting: dict[int, deque] = {t: deque() for t in self.tiers}
         self.held, self.base, self.sequences, self.groups = 0, base, 0, 0
-        self.step: dict[int, tuple[int, int]] = {}
+        self.ready: dict[int, list[list[tuple]]] = {}
         self.rows: list[tuple] = []
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
@@ -138,18 +141,42 @@ class Packer:
                 if not room:
                     self.emit(window)
                     window = []
+        for total in [t for t in self.ready if t in self.waiting]:
+            self.deal(total, self.ready.pop(total))
+        # Of the last lengths, each shorter than a tier, there is one sequence each: they are one group.
+        for windows in self.ready.values():
+            self.number(windows, self.groups)
+        self.groups += bool(self.ready)
+        self.ready = {}
 
     def emit(self, window: list[tuple]) -> None:
+        """A full sequence, which waits for others of its length to be dealt to step groups."""
         total = sum(len(x[2]) for x in window)
-        group, used = self.step.get(total, (self.groups, self.step_tokens))
-        if used + total > self.step_tokens:
-            group, used, self.groups = self.groups, 0, self.groups + 1
-        self.step[total] = (group, used + total)
-        offset, sequence = 0, self.base + self.sequences
-        for d, at, ids, n in window:
-            self.rows.append((d, at, len(ids), n, sequence, offset, total, self.base + group, ids.tobytes()))
-            offset += len(ids)
-        self.sequences += 1
+        ready = self.ready.setdefault(total, [])
+        ready.append(window)
+        if total in self.waiting and len(ready) >= GROUPS * max(1, self.step_tokens // total):
+            self.deal(total, self.ready.pop(total))
+
+    def deal(self, total: int, windows: list[list[tuple]]) -> None:
+        n = -(-len(windows) // max(1, self.step_tokens // total))
+        cost = [sum(len(x[2]) ** 2 for x in w) for w in windows]
+        order = sorted(range(len(windows)), key=lambda k: -cost[k])
+        load, groups = [0] * n, [[] for _ in range(n)]
+        for at in range(0, len(order), n):
+            for k, g in zip(order[at : at + n], sorted(range(n), key=load.__getitem__), strict=False):
+                load[g] += cost[k]
+                groups[g].append(windows[k])
+        for g in groups:
+            self.number(g, self.groups)
+            self.groups += 1
+
+    def number(self, windows: list[list[tuple]], group: int) -> None:
+        for window in windows:
+            total, offset, sequence = sum(len(x[2]) for x in window), 0, self.base + self.sequences
+            for d, at, ids, n in window:
+                self.rows.append((d, at, len(ids), n, sequence, offset, total, self.base + group, ids.tobytes()))
+                offset += len(ids)
+            self.sequences += 1
 
     def take(self) -> list[tuple]:
         rows, self.rows = self.rows, []
@@ -176,7 +203,7 @@ def pack(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...] = TIERS, s
         packer.drain()
         yield from out()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return spread(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, SCHEMA)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

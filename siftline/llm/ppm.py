@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.common import fold, partitions, read, written
+from siftline.llm.common import blocks_of, fold, partitions, read, written
 from siftline.llm.jaccard import _LOW, word_hashes
 
 #: Bytes of context; symbols that no text has (not in UTF-8): what stands before a text, and its end; bytes of a block and of a step.
@@ -264,7 +264,7 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     sums = docs.agg(F.sum(F.octet_length("text").cast("long")), F.count_if("train")).first()
     total, ends = sums[0] or 0, sums[1]
-    blocks = max(1, -(-total // BLOCK_BYTES))
+    blocks = blocks_of(spark, total, BLOCK_BYTES)
     placed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "train", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
     asked = written(placed.groupBy("block").applyInArrow(_ask, "block long, key long, n long"), "asked")
     n = partitions(spark)

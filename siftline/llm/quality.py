@@ -19,7 +19,7 @@ from itertools import pairwise
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.common import read, words, written
+from siftline.llm.common import read, spread, words, written
 
 #: Labelled rows to learn from at most (taken by a hash of the id), thresholds of a statistic, conditions of a rule,
 #: rules, and what a rule must reach on the rows kept for pruning.
@@ -176,7 +176,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Decis
     n = y.count()
     if n > max_rows:
         y = y.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * 0.95 * max_rows / n))
-    sample = docs.select("doc_id", "text").join(F.broadcast(y.limit(max_rows)), "doc_id").select("doc_id", "y", statistics(F.col("text")).alias("s"))
+    sample = spread(docs.select("doc_id", "text")).join(F.broadcast(y.limit(max_rows)), "doc_id").select("doc_id", "y", statistics(F.col("text")).alias("s"))
     # The filter stands behind the written table: before it, Spark would push it, with the statistics, below the join.
     sample = written(sample.select("y", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) == 0).alias("prune"), base_failed(F.col("s")).alias("failed"), *(c.alias(f) for f, c in features(F.col("s")).items())), "labelled").filter("not failed")
     at = [k / BINS for k in range(1, BINS)]
@@ -204,7 +204,7 @@ def verdict(text: Column, rules: DecisionList) -> Column:
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """A row per document: doc_id and the verdict's fields."""
     rules = learn(docs, labels)
-    return docs.select("doc_id", verdict(F.col("text"), rules).alias("v")).select("doc_id", "v.*")
+    return spread(docs.select("doc_id", "text")).select("doc_id", verdict(F.col("text"), rules).alias("v")).select("doc_id", "v.*")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,4 +214,4 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that neither the base rules nor the learned ones reject, with all their columns."""
-    return docs.filter(verdict(F.col("text"), learn(docs, labels))["kept"])
+    return spread(docs).filter(verdict(F.col("text"), learn(docs, labels))["kept"])

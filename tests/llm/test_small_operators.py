@@ -242,6 +242,25 @@ def test_packer_keeps_every_id(lengths):
         assert (np.concatenate([back[i][k] for k in sorted(back[i])]) == np.arange(n)).all()
 
 
+def test_step_groups_are_balanced():
+    rng = random.Random(13)
+    p = packing.Packer()
+    for i in range(3000):
+        p.add(i, np.arange(rng.choice([5, 40, 200, 900, 3000]), dtype="<u4"))
+    p.drain()
+    pieces, tokens, tier = Counter(), Counter(), {}
+    for _, _, n, _, seq, _, total, group, _ in p.take():
+        pieces[group] += n * n
+        tokens[group] += n
+        tier.setdefault(group, Counter())[total, seq] += n
+    assert all(sum(c.values()) <= packing.STEP_TOKENS for c in tier.values())
+    full = [g for g in tokens if {t for t, _ in tier[g]} == {1024} and tokens[g] == packing.STEP_TOKENS]
+    assert len(full) > 50
+    # Within those dealt together the work differs little; dealt as they come it differs by a lot.
+    spread = [max(x) / min(x) for k in range(0, len(full) - 7, 8) if (x := [pieces[g] for g in sorted(full)[k : k + 8]])]
+    assert np.median(spread) < 1.25, spread
+
+
 # --- mixing
 
 
