@@ -42,10 +42,10 @@ def duplicates(df: DataFrame, column: str, limit: int = 30) -> DataFrame:
     return counts.filter("count > 1").orderBy(F.desc("count"), "key").limit(limit)
 
 
-def frequency(df: DataFrame, column: str) -> DataFrame:
-    """Every value with its count and share, the most frequent first."""
+def frequency(df: DataFrame, column: str, raw: str | None = None) -> DataFrame:
+    """Every value with its count and share, the most frequent first; with a name for it, the value without a label too."""
     counts, total = _counted(df, [_c(column).alias("raw")])
-    return counts.crossJoin(F.broadcast(total)).select(F.coalesce("raw", F.lit(NULL_OR_EMPTY)).alias("value"), "count", percent(F.col("count"), F.col("total")).alias("percentage")).orderBy(F.desc("count"), "value")
+    return counts.crossJoin(F.broadcast(total)).select(F.coalesce("raw", F.lit(NULL_OR_EMPTY)).alias("value"), "count", percent(F.col("count"), F.col("total")).alias("percentage"), *([F.col("raw").alias(raw)] if raw else [])).orderBy(F.desc("count"), "value")
 
 
 def unique_count(df: DataFrame, column: str) -> DataFrame:

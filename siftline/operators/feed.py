@@ -26,8 +26,16 @@ class Page:
 
 @dataclass(frozen=True)
 class FeedFrame:
+    """kept: what a reader holds in memory and on disk for this feed."""
+
     df: DataFrame
     names: ColumnMap
+    kept: DataFrame | None = None
+
+    def release(self) -> None:
+        """Gives back what is held for the feed; it can still be used, and is then read again."""
+        if self.kept is not None:
+            self.kept.unpersist()
 
     @staticmethod
     def from_table(df: DataFrame) -> FeedFrame:

@@ -8,9 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 COMPLETE, CRITICAL, BANDS = 99.9, 10.0, (10, 50, 90)
-#: Names that a company column goes by.
+#: Names that a company column goes by, parts of names that rule one out, parts of names of columns that are
+#: suggested, and the names of the column that an export begins with.
 COMPANY_NAMES = ("source.name", "source_name", "company", "company_name", "employer", "employer_name", "brand_name", "brand", "name")
 NOT_COMPANY = ("user", "file", "first", "last")
+COMPANY_PARTS = ("name", "company", "brand", "employer", "source")
+EXPORT_NAMES = ("source.name", "source_name", "company", "name", "brand_name")
+#: Fixed values of completions: columns that are offered before anything is typed, names of yes-or-no and of pay columns
+#: with what is offered for them, and operators.
+FIRST_COLUMNS = ("source_name", "locations_location_city", "remote", "work_model", "salary", "title")
+YES_NO_PARTS, YES_NO = ("remote", "is_"), ("true", "false")
+PAY_PARTS, PAY = ("salary", "pay", "wage", "rate"), (">50k", ">80k", ">100k", "50k..100k", "80k..150k")
+OPERATORS = ("AND", "OR", "NOT", "missing:", "populated:")
 
 
 def tier(fill: Column) -> Column:
@@ -101,23 +110,32 @@ def company_column(columns: Sequence[str]) -> str | None:
 
 
 def company_columns(columns: Sequence[str], k: int = 6) -> list[str]:
-    return [c for c in columns if any(x in c.lower() for x in ("company", "employer", "organization", "brand", "source"))][:k]
+    return [c for c in columns if any(x in c.lower() for x in COMPANY_PARTS)][:k]
 
 
-def complete_query(text: str, profile: Sequence, k: int = 8) -> list[str]:
-    """Suggestions for the last word of a filter text: columns, then operators and values of a column that is named."""
-    word = text.rsplit(" ", 1)[-1]
+def export_columns(columns: Sequence[str]) -> list[str]:
+    """The column that an export begins with: the first of a usual name, else the first of all."""
+    return [c for c in columns if c.lower() in EXPORT_NAMES][:1] or [*columns[:1]]
+
+
+def complete_query(text: str, profile: Sequence, k: int = 8, columns: int = 6) -> list[str]:
+    """Suggestions for the last word of a filter text.
+
+    Behind a column's name and a colon: shortcuts of its kind, its samples that hold what is typed, and whether it is filled.
+    Else columns, by name or original name, and operators that begin so; before anything is typed, usual columns.
+    """
+    word = text[max(text.rfind(" "), text.rfind("(")) + 1 :]
     name, colon, begun = word.partition(":")
+    low = name.strip().lower()
     if not colon:
-        low = word.lstrip("-!").lower()
-        hits = [f"{r['column_name']}:" for r in profile if low in r["column_name"].lower()]
-        hits.sort(key=lambda c: not c.lower().startswith(low))
-        return [*hits, *(x for x in ("AND", "OR", "NOT", "missing:", "populated:") if low and x.lower().startswith(low))][:k]
-    row = next((r for r in profile if r["column_name"].lower() == name.lower()), None)
-    if name.lower() in ("missing", "populated"):
-        return [f"{name}:{r['column_name']}" for r in profile if begun.lower() in r["column_name"].lower()][:k]
-    if row is None:
-        return []
-    out = {"Boolean": [f"{name}:true", f"{name}:false"], "Numeric": [f"{name}:>50k", f"{name}:<100k", f"{name}:50k..100k"], "Date": [f"{name}:>2026-01-01"]}.get(row["inferred_type"], [])
-    out += [f'{name}:"{v}"' if " " in v else f"{name}:{v}" for v in row["sample_values"] if begun.lower().strip('"') in v.lower()]
-    return out[:k]
+        named = lambda r: (r["column_name"].lower(), r["original_name"].lower())
+        hits = [r for r in profile if (any(low in n for n in named(r)) if low else any(p in named(r)[0] for p in FIRST_COLUMNS))]
+        found = [f"{r['original_name'] or r['column_name']}:" for r in hits[:columns]]
+        return [*found, *(o for o in OPERATORS if low and o.lower().startswith(low))][:k]
+    start = begun.lower()
+    out = [v for parts, values in ((YES_NO_PARTS, YES_NO), (PAY_PARTS, PAY)) if any(p in low for p in parts) for v in values if v.startswith(start)]
+    row = next((r for r in profile if low in (r["column_name"].lower(), r["original_name"].lower())), None)
+    samples = [s.strip() for s in row["sample_values"]] if row is not None else []
+    out += [f'"{s}"' if " " in s else s for s in samples if s and start in s.lower()]
+    more = [f"missing:{low}", f"populated:{low}"] if not begun else []
+    return [*(f"{low}:{v}" for v in out[:k]), *more][:k]

@@ -3,15 +3,8 @@
 from __future__ import annotations
 
 import bz2
-import gzip
-import io
-import os
 import re
-import tarfile
-import tempfile
-import urllib.error
-import urllib.request
-import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,92 +14,25 @@ from pyspark.sql import functions as F
 
 from siftline.functions.names import ColumnMap
 from siftline.operators.feed import FeedFrame
-from siftline.sources import objects, sniff
+from siftline.sources import objects, sniff, streams
 from siftline.sources.markup import records
+from siftline.sources.streams import FeedError
 
 #: extreme and fast leave descriptions out, full keeps them.
 MODES = {"extreme": True, "fast": True, "full": False}
-MEMBERS = (".xml", ".json", ".jsonl", ".ndjson")
-AGENT = "Mozilla/5.0 (X11; Linux x86_64) siftline"
+#: Columns that a feed may have at most: more are keys that are data, which make no table.
+MAX_COLUMNS = 10_000
 _FIELDS = "fields map<string,string>"
 
 
-class FeedError(Exception):
-    pass
-
-
-def _stream(path: str, codec: str | None) -> io.BufferedIOBase:
-    """The decompressed bytes of a local feed. Of an archive: zip the largest feed in it, tar the first."""
-    if codec == "gzip":
-        return gzip.open(path, "rb")
-    if codec == "bzip2":
-        return bz2.open(path, "rb")
-    if codec == "zip":
-        z = zipfile.ZipFile(path)
-        feeds = [m for m in z.infolist() if m.filename.lower().endswith(MEMBERS)] or z.infolist()[:1]
-        if not feeds:
-            raise FeedError("the archive is empty")
-        return z.open(max(feeds, key=lambda m: m.file_size))
-    if codec == "tar":
-        t = tarfile.open(path, "r|gz")
-        for m in t:
-            if m.isfile() and m.name.lower().endswith(MEMBERS):
-                return t.extractfile(m)
-        raise FeedError("the archive holds no XML or JSON feed")
-    return open(path, "rb")
-
-
 def _head(spark: SparkSession, path: str, codec: str | None, size: int) -> bytes:
-    """The first decompressed bytes, read through Spark's file systems."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    raw = p.getFileSystem(conf).open(p)
-    try:
-        data = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(raw, size)))
-    finally:
-        raw.close()
+    """The first decompressed bytes."""
+    data = streams.head(spark, path, size)
     if codec == "gzip" or data[:2] == b"\x1f\x8b":
-        import zlib
-
         return zlib.decompressobj(31).decompress(data, size)
     return bz2.BZ2Decompressor().decompress(data, size) if codec == "bzip2" else data
 
 
-def download(url: str, folder: str | None = None) -> str:
-    """A remote feed as a local file, uncompressed if it came gzipped."""
-    request = urllib.request.Request(url, headers={"User-Agent": AGENT, "Accept-Encoding": "gzip"})
-    try:
-        with urllib.request.urlopen(request, timeout=60) as response:
-            name = re.sub(r"[^\w.-]", "_", os.path.basename(url.split("?")[0]) or "feed")
-            target = os.path.join(folder or tempfile.mkdtemp(prefix="feed-"), re.sub(r"\.(gz|gzip)$", "", name, flags=re.IGNORECASE))
-            lead = response.read(2)
-            body = _Joined(lead, response)
-            with open(target, "wb") as out:
-                source = gzip.GzipFile(fileobj=body) if lead == b"\x1f\x8b" else body
-                while block := source.read(1 << 17):
-                    out.write(block)
-            return target
-    except urllib.error.HTTPError as e:
-        what = {404: "the feed was not found", 403: "access is forbidden", 401: "authentication is needed"}.get(e.code, "the server refused")
-        raise FeedError(f"HTTP {e.code}: {what} ({url})") from e
-    except (urllib.error.URLError, OSError) as e:
-        raise FeedError(f"the server could not be reached ({url}): {e}") from e
-
-
-class _Joined(io.RawIOBase):
-    def __init__(self, lead: bytes, rest):
-        self.lead, self.rest = lead, rest
-
-    def readable(self) -> bool:
-        return True
-
-    def read(self, n: int = -1) -> bytes:
-        if self.lead:
-            out, self.lead = self.lead, b""
-            return out
-        return self.rest.read(n) if n >= 0 else self.rest.read()
-
-
 def _rows(found: Iterator[dict[str, str]]) -> Iterator[pa.RecordBatch]:
     """Batches of records as maps, a bounded number of rows at a time."""
     kind, rows = pa.map_(pa.string(), pa.string()), []
@@ -135,23 +61,35 @@ def ndjson_fields(lines: DataFrame, tag: str | None, skip: bool) -> DataFrame:
     return lines.mapInArrow(lambda batches: _rows(f for t in _texts(batches) for f in found(t)), _FIELDS)
 
 
-def array_fields(lines: DataFrame, before: int, tag: str | None, skip: bool) -> DataFrame:
-    """Records of one array over many lines, read in order by one task that holds one record at a time."""
+def array_fields(pieces: DataFrame, before: int, tag: str | None, skip: bool) -> DataFrame:
+    """Records of one array, on one line or many, from its pieces that end at closing braces.
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[str]:
+    One task finds where records end, in order, and holds one record at a time; the records are parsed by all.
+    """
+
+    def text(batches: Iterator[pa.RecordBatch]) -> Iterator[str]:
         left = before
         for t in _texts(batches):
-            t += "\n"
+            t += "}"
             if left >= len(t):
                 left -= len(t)
             else:
                 yield t[left:]
                 left = 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _rows(f for o in objects.objects(pieces(batches), True) if (f := objects.record_of(o, tag, skip)) is not None)
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[str] = []
+        size = 0
+        for o in objects.objects(text(batches), True):
+            held.append(o)
+            size += len(o)
+            if len(held) >= 2000 or size > 4 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], names=["value"])
+                held, size = [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], names=["value"])
 
-    return lines.coalesce(1).mapInArrow(run, _FIELDS)
+    whole = pieces.coalesce(1).mapInArrow(found, "value string")
+    return ndjson_fields(whole.repartition(pieces.sparkSession.sparkContext.defaultParallelism), tag, skip)
 
 
 def closing_tag(head: str, tag: str) -> str:
@@ -160,18 +98,39 @@ def closing_tag(head: str, tag: str) -> str:
     return m[0] if m else f"</{tag}>"
 
 
-def wide(fields: DataFrame, collision: str = "first", keep: bool = True) -> FeedFrame:
+def wide(fields: DataFrame, collision: str = "first", keep: bool = True, max_columns: int = MAX_COLUMNS) -> FeedFrame:
     """Records as a table: a column for each key of any record, in the order of the keys, null where a record lacks it.
 
-    Keys are collected over the whole feed: their number is that of the columns. keep: parsed records stay in memory and
-    on disk for the pass that makes the columns; else they are parsed again.
+    The keys come to the driver: they are the columns, and more than max_columns are an error. keep: parsed records stay in
+    memory and on disk, until the frame's release(), for the pass that makes the columns; else they are parsed again.
     """
     if keep:
         fields = fields.persist(StorageLevel.MEMORY_AND_DISK)
-    keys = sorted(r[0] for r in fields.select(F.explode(F.map_keys("fields")).alias("k")).distinct().collect())
+    keys = sorted(r[0] for r in fields.select(F.explode(F.map_keys("fields")).alias("k")).distinct().limit(max_columns + 1).collect())
+    if len(keys) > max_columns:
+        fields.unpersist()
+        raise FeedError(f"the records have more than {max_columns} different keys")
     names = ColumnMap.of(keys, collision) if keys else ColumnMap({"id": ("id",)})
     cols = [F.coalesce(*(F.try_element_at("fields", F.lit(o)) for o in originals)).alias(c, metadata={"original": originals[0]}) for c, originals in names.originals.items()]
-    return FeedFrame(fields.select(*cols), names)
+    return FeedFrame(fields.select(*cols), names, fields if keep else None)
+
+
+def located(spark: SparkSession, path: str) -> tuple[str, str | None]:
+    """A path that Spark splits, and its codec: remote feeds and archives are copied to the shared folder first."""
+    if path.startswith(("http://", "https://")):
+        path = streams.download(spark, path)
+    codec = sniff.codec_of(path)
+    if codec in ("zip", "tar"):
+        return (streams.unzip if codec == "zip" else streams.untar)(spark, path), None
+    return path, codec
+
+
+def record_tag_of(spark: SparkSession, path: str, codec: str | None, head: bytes) -> str:
+    """The records' tag by the feed's beginning, by a wider one if that has none, else the usual one."""
+    tag = sniff.detect_record_tag(head.decode("utf-8", "replace"))
+    if tag is None and len(head) >= sniff.HEAD // 2:
+        tag = sniff.detect_record_tag(_head(spark, path, codec, sniff.WIDE_HEAD).decode("utf-8", "replace"))
+    return tag or sniff.DEFAULT_TAG
 
 
 def read_fields(spark: SparkSession, path: str, mode: str = "full", record_tag: str | None = None, split: bool = True) -> DataFrame:
@@ -180,30 +139,20 @@ def read_fields(spark: SparkSession, path: str, mode: str = "full", record_tag:
     split=False reads XML in one task, for feeds that quote their record's closing tag within CDATA.
     """
     skip = MODES[mode]
-    if path.startswith(("http://", "https://")):
-        path = download(path)
-    codec = sniff.codec_of(path)
-    if codec in ("zip", "tar"):
-        # Archives are unpacked as a stream beside the input's name; Spark reads the member.
-        source = _stream(path.removeprefix("file://"), codec)
-        folder = tempfile.mkdtemp(prefix="feed-")
-        path, codec = os.path.join(folder, "member"), None
-        with open(path, "wb") as out:
-            while block := source.read(1 << 20):
-                out.write(block)
+    path, codec = located(spark, path)
     head = _head(spark, path, codec, sniff.HEAD)
     if sniff.sniff_format(head, path) == "xml":
-        tag = record_tag or sniff.detect_record_tag(head.decode("utf-8", "replace"))
+        tag = record_tag or record_tag_of(spark, path, codec, head)
         if not split:
             return xml_fields(spark.read.text(path, wholetext=True), tag, skip)
         lines = spark.read.text(path, lineSep=closing_tag(head.decode("utf-8", "replace"), tag))
         return xml_fields(lines, tag, skip)
-    text = head.decode("utf-8-sig", "replace").replace("\r\n", "\n").replace("\r", "\n")
-    before = sniff.record_array(text, record_tag)
-    lines = spark.read.text(path)
-    return ndjson_fields(lines, record_tag, skip) if before is None else array_fields(lines, before, record_tag, skip)
+    before = sniff.record_array(head.decode("utf-8-sig", "replace"), record_tag)
+    if before is None:
+        return ndjson_fields(spark.read.text(path), record_tag, skip)
+    return array_fields(spark.read.text(path, lineSep="}"), before, record_tag, skip)
 
 
-def read_feed(spark: SparkSession, path: str, mode: str = "full", record_tag: str | None = None, collision: str = "first", split: bool = True, keep: bool = True) -> FeedFrame:
+def read_feed(spark: SparkSession, path: str, mode: str = "full", record_tag: str | None = None, collision: str = "first", split: bool = True, keep: bool = True, max_columns: int = MAX_COLUMNS) -> FeedFrame:
     """A feed, XML or JSON, perhaps compressed, local, remote or on any file system of Spark's, as a table of text columns."""
-    return wide(read_fields(spark, path, mode, record_tag or None, split), collision, keep)
+    return wide(read_fields(spark, path, mode, record_tag or None, split), collision, keep, max_columns)

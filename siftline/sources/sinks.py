@@ -1,13 +1,21 @@
-"""Exports: CSV and JSON files of rows and results."""
+"""Exports: CSV and JSON files of rows and results, on any file system of Spark's. Each runs its query once."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from siftline.functions.layout import fresh_path, hadoop_path, remove
+from siftline.operators.analytics import frequency
 from siftline.operators.feed import FeedFrame
 
 
+def _counted(df: DataFrame, what: str = "*") -> tuple[DataFrame, Observation]:
+    """The same rows, and the number of them (or of a column's values) once they are written."""
+    seen = Observation()
+    return df.observe(seen, F.count(what).alias("n")), seen
+
+
 def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
     """CSV with a header; quotes within values are doubled."""
     out = df.coalesce(1) if single else df
@@ -15,47 +23,61 @@ def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
 
 
 def write_json(df: DataFrame, path: str, as_array: bool = True) -> None:
-    """Rows as objects, one a line; as_array joins them to one JSON array in one local file, a row at a time."""
+    """Rows as objects, one a line; as_array joins them, inside the JVM, to one JSON array in one file."""
     rows = df.select(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)), {"ignoreNullFields": "false"}).alias("value"))
     if not as_array:
         rows.write.mode("overwrite").text(path)
         return
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("[")
-        for k, r in enumerate(rows.toLocalIterator()):
-            f.write(("," if k else "") + "\n\t" + r["value"])
-        f.write("\n]\n")
+    spark, between = df.sparkSession, ",\n\t"
+    jvm, parts = spark._jvm, fresh_path(spark, "json")
+    rows.write.option("lineSep", between).text(parts)
+    p, fs = hadoop_path(spark, parts)
+    files = sorted((f for f in fs.listStatus(p) if f.getPath().getName().startswith("part-") and f.getLen()), key=lambda f: f.getPath().getName())
+    target, target_fs = hadoop_path(spark, path)
+    out = target_fs.create(target, True)
+    try:
+        out.write(bytearray(b"[\n\t" if files else b"["))
+        for k, f in enumerate(files):
+            source = fs.open(f.getPath())
+            # Each part ends with what stands between rows; behind the last one nothing follows.
+            kept = f.getLen() - len(between) * (k == len(files) - 1)
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(jvm.org.apache.commons.io.input.BoundedInputStream(source, kept), out, 1 << 17, False)
+            source.close()
+        out.write(bytearray(b"\n]\n"))
+    finally:
+        out.close()
+        remove(spark, parts)
 
 
 def export_records(feed: FeedFrame, path: str, as_json: bool = False, text: str | None = None) -> int:
-    chosen = feed.filter(text).df
-    (write_json if as_json else write_csv)(chosen, path)
-    return chosen.count()
+    rows, seen = _counted(feed.filter(text).df)
+    (write_json if as_json else write_csv)(rows, path)
+    return seen.get["n"]
 
 
 def export_frequency(feed: FeedFrame, column: str, path: str, text: str | None = None) -> int:
     """Writes the frequencies of a column; gives its number of different values."""
-    f = feed.frequency(column, text).withColumnRenamed("value", column)
-    write_csv(f, path)
-    return feed.filter(text).df.select(feed.column(column)).na.drop().distinct().count()
+    f, seen = _counted(frequency(feed.filter(text).df, feed.column(column), raw="raw"), "raw")
+    write_csv(f.drop("raw").withColumnRenamed("value", column), path)
+    return seen.get["n"]
 
 
 def export_cross_tab(feed: FeedFrame, primary: str, secondary: str, path: str, text: str | None = None) -> int:
-    t = feed.cross_tab(primary, secondary, None, text).withColumnRenamed("primary_value", primary).withColumnRenamed("total", "Total")
-    write_csv(t, path)
-    return t.count()
+    t, seen = _counted(feed.cross_tab(primary, secondary, None, text))
+    write_csv(t.withColumnRenamed("primary_value", primary).withColumnRenamed("total", "Total"), path)
+    return seen.get["n"]
 
 
 def export_pairs(feed: FeedFrame, primary: str, secondary: str, path: str, text: str | None = None) -> int:
-    p = feed.pairs(primary, secondary, text)
+    p, seen = _counted(feed.pairs(primary, secondary, text))
     write_csv(p, path)
-    return p.count()
+    return seen.get["n"]
 
 
 def export_custom(feed: FeedFrame, columns: list[str], path: str, deduplicate: bool = False, include_counts: bool = False, text: str | None = None) -> int:
-    c = feed.custom(columns, deduplicate, include_counts, text)
+    c, seen = _counted(feed.custom(columns, deduplicate, include_counts, text))
     write_csv(c, path)
-    return c.count()
+    return seen.get["n"]
 
 
 def export_companies(feed: FeedFrame, path: str, text: str | None = None) -> int:
@@ -76,5 +98,6 @@ def profile_matrix(profile: DataFrame) -> DataFrame:
 
 
 def export_profile(profile: DataFrame, path: str) -> int:
-    write_csv(profile_matrix(profile), path, single=True)
-    return profile.count()
+    rows, seen = _counted(profile_matrix(profile))
+    write_csv(rows, path, single=True)
+    return seen.get["n"]

@@ -48,9 +48,9 @@ def keyword_score(tag: str) -> int:
     return KEYWORDS.get(tag, 0)
 
 
-def detect_record_tag(text: str) -> str:
+def detect_record_tag(text: str) -> str | None:
     """The name of the element that records are, as first written: of all that may be one the best by name, parents,
-    depth, number of different children and of occurrences; of equally good ones the first by name."""
+    depth, number of different children and of occurrences; of equally good ones the first by name. None if none may be."""
     spelled: dict[str, str] = {}
     begun, ended, depth = Counter(), Counter(), {}
     parents, children = defaultdict(set), defaultdict(set)
@@ -80,7 +80,7 @@ def detect_record_tag(text: str) -> str:
         return keyword_score(tag) + by_parent + DEPTH_SCORE.get(depth[tag], -80) + min(5 * len(children[tag]), 50) + 5 * math.log2(max(begun[tag], ended[tag]) + 1)
 
     fit = [t for t in spelled if t not in HTML_TAGS and depth[t] > 0 and (children[t] or keyword_score(t) > 0)]
-    return spelled[min(fit, key=lambda t: (-score(t), t))] if fit else DEFAULT_TAG
+    return spelled[min(fit, key=lambda t: (-score(t), t))] if fit else None
 
 
 def _array_behind(text: str, key: str) -> int | None:

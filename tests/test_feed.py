@@ -6,8 +6,10 @@ import pytest
 
 from siftline.functions.inference import infer_type, is_candidate_key
 from siftline.operators import health
+from siftline.operators.analytics import page_after
 from siftline.operators.feed import FeedFrame
-from siftline.streaming.ingest import ProgressListener, Tracker, ingest_available, stream_fields
+from siftline.sources.catalog import Catalog
+from siftline.streaming.ingest import ProgressListener, Tracker, ingest, ingest_available, stream_fields
 
 
 @pytest.fixture(scope="module")
@@ -104,3 +106,79 @@ def test_command_line(spark, tmp_path, capsys):
     main([str(p), "--duplicates", "city", "--cross", "city", "id", "--page", "1", "--csv", str(tmp_path / "csv"), "--filter", "id:2"])
     out = capsys.readouterr().out
     assert "Rome" in out and "1 rows written" in out
+
+
+def test_ingest_is_watched_kept_and_profiled(spark, tmp_path):
+    p = tmp_path / "a.ndjson"
+    p.write_text("".join(f'{{"id":{i},"city":"c{i % 7}"}}\n' for i in range(20_000)))
+    catalog, told = Catalog(str(tmp_path / "catalog")), []
+    done = ingest(spark, str(p), catalog=catalog, feed_id="f", tell=told.append)
+    assert done.progress == told[-1] and done.progress.status == "ready" and done.progress.percentage == 100.0
+    assert done.progress.records_ingested == 20_000 and done.progress.bytes_read == p.stat().st_size
+    assert [t.status for t in told[:-1]] == ["ingesting"] * (len(told) - 1) and sorted(t.bytes_read for t in told) == [t.bytes_read for t in told]
+    assert done.profile.count() == 2 and done.entry.total_records == 20_000 and catalog.load(spark, "f").df.count() == 20_000
+    tracker = Tracker()
+    tracker.cancel()
+    stopped = ingest(spark, str(p), catalog=catalog, feed_id="g", tracker=tracker)
+    assert stopped.progress.status == "cancelled" and stopped.profile is None and [e.id for e in catalog.entries()] == ["f"]
+    told.clear()
+    with pytest.raises(Exception, match="(?i)exist"):
+        ingest(spark, str(tmp_path / "none.json"), tell=told.append)
+    assert told[-1].status == "error" and told[-1].error_message
+
+
+def test_cancelled_stream_keeps_what_came(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(4):
+        (tmp_path / "in" / f"{k}.ndjson").write_text(f'{{"a":{k}}}\n')
+    tracker = Tracker(sum(f.stat().st_size for f in (tmp_path / "in").iterdir()))
+    add = tracker.add
+
+    def cancelling(n_bytes=0, n_records=0):
+        add(n_bytes, n_records)
+        if tracker.records == 2:
+            tracker.cancel()
+
+    tracker.add = cancelling
+    fields = stream_fields(spark, str(tmp_path / "in"), files_at_once=1)
+    q = ingest_available(fields, str(tmp_path / "out"), str(tmp_path / "ck"), tracker)
+    q.awaitTermination(120)
+    kept = spark.read.parquet(str(tmp_path / "out")).count()
+    assert 2 <= kept < 4 and tracker.snapshot().status == "cancelled"
+    # Begun again, it goes on behind what was committed, and no file counts twice.
+    rest = ingest_available(fields, str(tmp_path / "out"), str(tmp_path / "ck"), more := Tracker())
+    rest.awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 4 and more.snapshot().status == "ingesting"
+    for _ in range(100):  # reports come when they come
+        if more.bytes == 8 * more.records:
+            break
+        time.sleep(0.1)
+    assert more.bytes == 8 * more.records
+
+
+def test_samples_and_long_values(spark):
+    long = [("x" * 5000 + str(i % 3), "m" if i % 2 else None, f"{i:05}") for i in range(5000)]
+    f = FeedFrame.from_table(spark.createDataFrame(long, "long string, few string, many string"))
+    p = {r["column_name"]: r for r in f.profile().collect()}
+    assert (p["long"]["unique_count"], p["long"]["max_length"], len(p["long"]["sample_values"])) == (3, 5001, 3)
+    assert p["few"]["sample_values"] == ["m"] and p["few"]["unique_count"] == 1 and p["few"]["non_null_count"] == 2500
+    assert p["many"]["sample_values"] == [f"{i:05}" for i in range(10)] and p["many"]["is_candidate_key"]
+
+
+def test_page_after(feed):
+    everything = [tuple(r) for r in feed.page(1, 9, "city", True).rows.collect()]
+    rows, after = [], None
+    while got := [tuple(r) for r in page_after(feed.df, after, 1, "city", True).collect()]:
+        rows += got
+        after = got[-1]
+    assert rows == everything
+
+
+def test_completions(feed):
+    rows = [{"column_name": "source_name", "original_name": "source.name", "sample_values": ["Big Co", "Ink"], "fill_rate": 1.0}, {"column_name": "is_remote", "original_name": "is_remote", "sample_values": [], "fill_rate": 1.0}, {"column_name": "pay", "original_name": "pay", "sample_values": ["7"], "fill_rate": 1.0}]
+    assert health.complete_query("", rows) == ["source.name:", "is_remote:"] and health.complete_query("x (so", rows) == ["source.name:"]
+    assert health.complete_query("source.name:", rows) == ['source.name:"Big Co"', "source.name:Ink", "missing:source.name", "populated:source.name"]
+    assert health.complete_query("a is_remote:t", rows) == ["is_remote:true"] and health.complete_query("pay:>", rows) == ["pay:>50k", "pay:>80k", "pay:>100k"]
+    assert health.complete_query("nope:", rows) == ["missing:nope", "populated:nope"] and health.complete_query("po", rows) == ["populated:"]
+    assert health.company_columns(["Name", "x", "brand", "data_source"]) == ["Name", "brand", "data_source"]
+    assert health.export_columns(["x", "Name"]) == ["Name"] and health.export_columns(["x", "y"]) == ["x"] and health.export_columns([]) == []

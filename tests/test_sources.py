@@ -5,15 +5,16 @@ import gzip
 import io
 import json
 import tarfile
+import threading
 import zipfile
-from urllib.error import HTTPError
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 
-from siftline.sources import objects, reader, sinks, sniff
+from siftline.sources import objects, sinks, sniff
 from siftline.sources.catalog import Catalog, Entry
 from siftline.sources.markup import records
-from siftline.sources.reader import FeedError, download, read_feed
+from siftline.sources.reader import FeedError, read_feed
 
 JOBS = """
 <?xml version="1.0"?><source><lastBuildDate>x</lastBuildDate><publisher>p</publisher>
@@ -132,13 +133,68 @@ def test_late_columns_and_empty(spark, tmp_path):
     assert read_feed(spark, str(empty)).columns == ["id"]
 
 
-def test_http_error(monkeypatch):
-    def fail(*_, **__):
-        raise HTTPError("http://x", 404, "no", {}, None)
+@pytest.fixture
+def server():
+    """Feeds by name, gzipped or not; anything else is not found."""
+    found = {"/jobs.xml": JOBS.encode(), "/jobs.xml.gz": gzip.compress(JOBS.encode()), "/a%20b/jobs": gzip.compress(JOBS.encode())}
 
-    monkeypatch.setattr(reader.urllib.request, "urlopen", fail)
-    with pytest.raises(FeedError, match="HTTP 404"):
-        download("http://x/feed.xml")
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            body = found.get(self.path.split("?")[0])
+            self.send_response(200 if body else 403 if "secret" in self.path else 404)
+            self.end_headers()
+            self.wfile.write(body or b"")
+
+        def log_message(self, *_):
+            pass
+
+    s = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{s.server_address[1]}"
+    s.shutdown()
+
+
+@pytest.mark.parametrize("name", ["jobs.xml", "jobs.xml.gz?x=1", "a%20b/jobs"])
+def test_http(spark, server, name):
+    assert values(read_feed(spark, f"{server}/{name}"), "id", "title") == [("1", "Cook"), ("2", "Clerk")]
+
+
+def test_http_error(spark, server):
+    with pytest.raises(FeedError, match="HTTP 404: the feed was not found"):
+        read_feed(spark, f"{server}/none.xml")
+    with pytest.raises(FeedError, match="HTTP 403"):
+        read_feed(spark, f"{server}/secret.xml")
+    with pytest.raises(FeedError, match="could not be reached"):
+        read_feed(spark, "http://127.0.0.1:9/x.xml")
+
+
+def test_one_line_array(spark, tmp_path):
+    """Records of an array on one line, nested, with braces in strings, over many pieces."""
+    rows = [{"id": i, "note": "} ] {" if i % 3 else "\\\"}", "at": {"city": f"c{i}", "tags": ["x", "y"]}} for i in range(5000)]
+    p = tmp_path / "one.json"
+    p.write_text("\ufeff" + json.dumps({"meta": {"n": 1}, "jobs": rows, "after": [{"id": "no"}]}))
+    feed = read_feed(spark, str(p))
+    got = feed.df.collect()
+    assert len(got) == 5000 and {(r["id"], r["note"], r["at_city"], r["at_tags"]) for r in got} == {(str(r["id"]), r["note"], r["at"]["city"], "x, y") for r in rows}
+    assert feed.kept.is_cached and (feed.release() or not feed.kept.is_cached)
+    plain = tmp_path / "plain.json"
+    plain.write_text(json.dumps([{"a": 1}, {"b": [{"c": 2}]}], separators=(",", ":")))
+    assert read_feed(spark, str(plain)).columns == ["a", "b_0_c"]
+
+
+def test_tag_beyond_the_beginning(spark, tmp_path):
+    """A feed whose records begin behind what is looked at first."""
+    p = tmp_path / "late.xml"
+    p.write_text("<source><!--" + "x" * (600 << 10) + "--><posting><t>a</t></posting><posting><t>b</t></posting></source>")
+    assert values(read_feed(spark, str(p)), "t") == [("a",), ("b",)]
+    assert sniff.detect_record_tag("<a>") is None
+
+
+def test_too_many_keys(spark, tmp_path):
+    p = tmp_path / "keys.ndjson"
+    p.write_text("\n".join(json.dumps({f"k{i}": 1}) for i in range(50)))
+    with pytest.raises(FeedError, match="more than 40 different keys"):
+        read_feed(spark, str(p), max_columns=40)
 
 
 def test_catalog_and_exports(spark, tmp_path):
