@@ -138,6 +138,11 @@ def forest(linked: np.ndarray, own: np.ndarray, other: np.ndarray) -> list[tuple
         of_row, of_col = r, c
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows with their largest component at 1: an extreme scale is taken out first, so that lengths neither overflow nor vanish."""
+    return x / np.abs(x).max(axis=1, initial=1e-300)[:, None]
+
+
 _ROW = "label string, k int, dim int, cell long, visiting boolean, uid long, n long, vector binary"
 _ARROW = pa.schema([("label", pa.string()), ("k", pa.int32()), ("dim", pa.int32()), ("cell", pa.int64()), ("visiting", pa.bool_()), ("uid", pa.int64()), ("n", pa.int64()), ("vector", pa.binary())])
 _FOUND = "uid long, n_links long, other long"
@@ -174,7 +179,7 @@ def links(classes: DataFrame, cosine: float = COSINE, target_recall: float = 1.0
     drawn = classes.filter(F.pmod(F.xxhash64("uid", F.lit(8)), F.lit(1 << 30)) < int(part * (1 << 30))).limit(2 * MAX_SAMPLE).select("uid", "vector").toArrow().sort_by("uid")
     lengths = np.array([len(v) for v in drawn.column("vector")], int)
     dims = classes.agg(F.collect_set(F.size("vector"))).first()[0]
-    samples = {d: np.array(drawn.column("vector").filter(pa.array(lengths == d)).combine_chunks().flatten(), float).reshape(-1, d) for d in dims}
+    samples = {d: scaled(np.array(drawn.column("vector").filter(pa.array(lengths == d)).combine_chunks().flatten(), float).reshape(-1, d)) for d in dims}
     indexes = {(d, c): MultiIndex(samples[d], c, cosine, target_recall) for d in dims for c in ks}
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +188,7 @@ def links(classes: DataFrame, cosine: float = COSINE, target_recall: float = 1.0
             dim, kinds = np.array([len(v) for v in b.column("vector")], int), b.column("k").to_numpy()
             for d, c in sorted({*zip(dim.tolist(), kinds.tolist(), strict=True)}):
                 rows = b.filter(pa.array((dim == d) & (kinds == c)))
-                x, index = rows.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, d), indexes[d, c]
+                x, index = scaled(rows.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)), indexes[d, c]
                 for at in range(0, len(x), 512):
                     y = x[at : at + 512]
                     unit = y / np.linalg.norm(y, axis=1)[:, None]
@@ -223,12 +228,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, target_recall: f
     """(vec_id, embedding, label) -> a row per row: vec_id, n_links, component_id, kept."""
     v = F.col("embedding").cast("array<double>")
     sound = F.col("label").isNotNull() & v.isNotNull() & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
-    # An extreme scale is taken out first, so that lengths neither overflow nor vanish.
     rows = written(vectors.select(F.col("vec_id").cast("long"), F.monotonically_increasing_id().alias("uid"), F.when(sound, F.col("label").cast("string")).alias("label"), F.when(sound, v).alias("vector")), "vectors")
     good = rows.filter("label is not null")
     classes = written(good.groupBy("label", "vector").agg(F.min("uid").alias("uid"), F.count("*").alias("n")), "classes")
-    scaled = classes.withColumn("vector", F.transform("vector", lambda x: x / F.array_max(F.transform("vector", F.abs))))
-    found = written(links(scaled, cosine, target_recall), "links")
+    found = written(links(classes, cosine, target_recall), "links")
     counts = found.filter("n_links is not null").groupBy("uid").agg(F.sum("n_links").alias("n_links"))
     parts = connected_components(found.filter("other is not null").select(F.col("uid").alias("u"), F.col("other").alias("v")))
     c = classes.join(counts, "uid", "left").join(parts.withColumnRenamed("id", "uid"), "uid", "left")
