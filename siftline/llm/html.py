@@ -22,8 +22,9 @@ hashes, as connected components, among the pages that hold a recurring subtree.
 template.
 
 Hashes are counted and joined by (host, hash), so a host that holds a third of the pages is no hot group and its template
-has no bound; the rows of a hash that very many pages hold are dealt to several places. A page gets the verdicts on the
-hashes that its own text meets, and no others.
+has no bound; the rows of a hash that very many pages hold are dealt to several places. Pages are parsed once: what may be
+deleted and all text is kept as a reduced tree. Verdicts on a bounded number of hashes go to every task; more are joined
+to the pages whose text meets them, and then compressed trees are all that the shuffle carries.
 
 Defined results: null and empty html give an empty text; markup without text too; a page without a host counts under
 the empty host; repeated rows are pages of their own; very long and very deep pages are read in full; an empty table
@@ -34,6 +35,7 @@ from __future__ import annotations
 
 import bisect
 import html
+import marshal
 import re
 import zlib
 from collections.abc import Iterator
@@ -41,6 +43,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,8 +53,8 @@ from siftline.llm.urls import host_of
 
 #: A subtree is template from so many different pages of its host on, however many pages the host has.
 MIN_PAGES = 3
-#: Places to which the rows of one key are dealt in joins.
-SALTS = 256
+#: Places to which the rows of one key are dealt in joins; verdicts that are sent to every task instead, some 10 MB.
+SALTS, FEW_VERDICTS = 256, 100_000
 #: Pages are near copies if all least hashes of a band are equal: at a Jaccard index of 0.7 by seven in ten, of 0.8 nearly always.
 BANDS, BAND_ROWS = 20, 8
 #: Words from which on a sentence is cut.
@@ -93,9 +96,10 @@ _INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORE
 
 
 class Element:
-    """held: an article, main element or body is within. total, linked: lengths of the text, and of that in links."""
+    """held: an article, main element or body is within. total, linked: lengths of the text, and of that in links. at, end:
+    where it and what lies in it stand in the list of elements."""
 
-    __slots__ = ("children", "exact", "held", "inside", "linked", "name", "parent", "place", "rest", "shape", "total")
+    __slots__ = ("at", "children", "end", "exact", "held", "inside", "linked", "name", "parent", "place", "rest", "shape", "total")
 
     def __init__(self, name: str, rest: str, parent: Element | None):
         self.name, self.rest, self.children, self.parent = name, rest, [], parent
@@ -209,12 +213,23 @@ def _tops(root: Element, name: str) -> list[Element]:
     return out
 
 
-#: Where the walk is: around the articles, in one, elsewhere.
+class Node:
+    """A piece of a page that may be deleted, an article or a link. Children are nodes, strings, and None where a block begins or ends."""
+
+    __slots__ = ("box", "children", "exact", "flags", "slot")
+
+    def __init__(self, flags: int = 0, slot: int | None = None, exact: int | None = None, box: int | None = None):
+        self.flags, self.slot, self.exact, self.box, self.children = flags, slot, exact, box, []
+
+
+#: What a node is: beside the articles, furniture by its kind, mostly links, an article, a link. Where a walk is: around
+#: the articles, in one, elsewhere.
+BESIDE, OWN, LINKED, ARTICLE, LINK = 1, 2, 4, 8, 16
 AROUND, INSIDE, FREE = range(3)
 
 
 class Page:
-    """A parsed page. measure() gives the elements their hashes; text() walks."""
+    """A parsed page. reduced() gives the tree of what may be deleted, with the hashes."""
 
     def __init__(self, source: str):
         self.elements = parse(source)
@@ -227,149 +242,223 @@ class Page:
                 self.around.add(id(e))
                 e = e.parent
         self.articles = {id(t) for t in self.tops}
-        self.measured = False
-
-    def measure(self, exact: bool = True) -> Page:
-        """Children stand behind their parents in the list: one pass down for places, one up for hashes."""
+        self._measure()
+
+    def _measure(self) -> None:
+        """Lengths of texts, and exact hashes where they count: of containers outside of articles, within them of what is
+        mostly links and of boxes. Children stand behind their parents in the list."""
+        for k in range(len(self.elements) - 1, -1, -1):
+            e = self.elements[k]
+            total = linked = 0
+            end, held = k + 1, False
+            for c in e.children:
+                if isinstance(c, str):
+                    total += len(c.strip())
+                else:
+                    total, linked, end = total + c.total, linked + c.linked, c.end
+                    held = held or c.held or c.name in ("article", "main", "body")
+            e.total, e.linked, e.held, e.at, e.end = total, total if e.name == "a" else linked, held, k, end
+            e.shape = e.exact = e.place = None
+        needed = 0  # up to here elements lie in one whose hash is needed
+        marked = []
         for e in self.elements:
             up = e.parent
-            words = kind_words(e.rest)
             e.inside = e.name in ("article", "main") or up is not None and up.inside
-            e.place = _hash(up.place, e.name.encode(), words) if up is not None else b""
-            e.shape, e.exact, e.total, e.linked, e.held = words, None, 0, 0, False
-        for e in reversed(self.elements):
-            shapes, parts, full = [e.name.encode(), e.shape], [e.name.encode()], False
+            if e.at < needed:
+                marked.append(e)
+            elif not e.held and (e.name in COUNTED and (not e.inside or 2 * e.linked > e.total) or e.inside and e.name in BOXES):
+                marked.append(e)
+                needed = e.end
+        for e in reversed(marked):
+            parts = [e.name.encode()]
             for c in e.children:
                 if isinstance(c, str):
                     if w := " ".join(c.split()):
-                        full = True
-                        e.total += len(w)
-                        if exact:
-                            parts.append(b"t" + w.encode("utf-8", "replace"))
+                        parts.append(b"t" + w.encode("utf-8", "replace"))
                 else:
-                    full = True
-                    e.total += c.total
-                    e.linked += c.linked
-                    e.held = e.held or c.held or c.name in ("article", "main", "body")
-                    if c.shape != shapes[-1]:
-                        shapes.append(c.shape)
-                    if exact:
-                        parts.append(b"e" + c.exact)
-            if e.name == "a":
-                e.linked = e.total
-            e.shape = _hash(*shapes)
-            if exact:
-                e.exact = _hash(*parts) if full else b""
-        self.measured = True
-        return self
-
-    @staticmethod
-    def slot(e: Element) -> int:
-        return _number(_hash(b"slot", e.place, e.shape))
+                    parts.append(b"e" + c.exact)
+            e.exact = _hash(*parts) if len(parts) > 1 else b""
+
+    def _shape(self, e: Element) -> bytes:
+        """The hash of names, classes, ids and roles; equal neighbours count once."""
+        if e.shape is None:
+            for x in reversed(self.elements[e.at : e.end]):
+                if x.shape is None:
+                    parts = [x.name.encode(), kind_words(x.rest)]
+                    for c in x.children:
+                        if not isinstance(c, str) and c.shape != parts[-1]:
+                            parts.append(c.shape)
+                    x.shape = _hash(*parts)
+        return e.shape
+
+    def _place(self, e: Element) -> bytes:
+        path = []
+        while e.place is None and e.parent is not None:
+            path.append(e)
+            e = e.parent
+        place = e.place or b""
+        for x in reversed(path):
+            x.place = place = _hash(place, x.name.encode(), kind_words(x.rest))
+        return place
+
+    def slot(self, e: Element) -> int:
+        return _number(_hash(b"slot", self._place(e), self._shape(e)))
 
     @staticmethod
     def exact_key(e: Element) -> int | None:
         """The exact hash of a subtree that is counted: within articles of one that is mostly links."""
-        if e.name in COUNTED and e.exact and not e.held and (not e.inside or 2 * e.linked > e.total):
+        if e.exact and e.name in COUNTED and not e.held and (not e.inside or 2 * e.linked > e.total):
             return _number(e.exact)
         return None
 
     @staticmethod
     def box_key(e: Element) -> int | None:
-        return _number(e.exact) if e.inside and e.name in BOXES and e.exact and not e.held else None
+        return _number(e.exact) if e.exact and e.inside and e.name in BOXES and not e.held else None
 
     def counted(self) -> set[int]:
         return {h for e in self.elements if (h := self.exact_key(e)) is not None}
 
-    def edges(self, top: Element, template: set[int], met: set[int] | None) -> set[int]:
-        """The ids of the template boxes that an article begins or ends with, also within a box around its text. With
-        met, that gets the keys of all boxes that could be such."""
-        gone: set[int] = set()
-        for place, order in ((FIRST, iter), (LAST, reversed)):
-            todo = [top]
-            while todo:
-                for c in order(todo.pop().children):
-                    if isinstance(c, str):
-                        if c.strip():
-                            break
-                        continue
-                    if not c.children or id(c) in gone or c.name in NEVER or furniture(c, True):
-                        continue
-                    if (h := self.box_key(c)) is None:
-                        break
-                    if met is not None:
-                        met.add(h ^ place)
-                        todo.append(c)
-                    elif h ^ place in template:
-                        gone.add(id(c))
-                    else:
-                        todo.append(c)
-                        break
-        return gone
-
-    def text(self, template: set[int] = frozenset(), rare: set[int] = frozenset(), *, core: bool = False, met: set[int] | None = None, slots: set[int] | None = None, skipped: str = "") -> str:
-        """The page's text without what template and rare delete. core: without all that could be deleted for its slot
-        by either set. The exact hashes and the slots on the way are added to met and slots; elements of the skipped
-        name are left out too."""
-        blocks: list[str] = []
-        run: list[str] = []
-
-        def flush() -> None:
-            if run:
-                if s := " ".join("".join(run).split()):
-                    blocks.append(s)
-                run.clear()
-
-        def goes(c: Element, mode: int) -> bool:
-            beside, own = mode == AROUND, furniture(c, mode == INSIDE)
-            linked = mode == FREE and not self.tops and c.name in COUNTED and self.measured and c.total and 2 * c.linked > c.total and not c.held
-            if (beside or own or linked) and (core or self.measured):
-                h = self.slot(c) if self.measured else None
-                if slots is not None:
-                    slots.add(h)
-                if (beside or own) and (core or h in rare) or h in template:
-                    return True
-            if self.measured and (h := self.exact_key(c)) is not None:
-                if met is not None:
-                    met.add(h)
-                return h in template
-            return False
-
+    def reduced(self) -> Node:
+        """The page's tree without what never is text; what no step can delete is in its parent's place."""
+        root = Node()
         # Explicit stack: pages may nest deeper than Python recurses.
-        stack = [(iter(self.root.children), self.root.name, AROUND if self.tops else FREE)]
-        gone: set[int] = set()
+        stack = [(iter(self.root.children), self.root.name, AROUND if self.tops else FREE, root)]
         while stack:
-            children, name, mode = stack[-1]
+            children, name, mode, node = stack[-1]
             c = next(children, None)
             if c is None:
                 stack.pop()
                 if name in BLOCK:
-                    flush()
+                    node.children.append(None)
             elif isinstance(c, str):
                 if mode != AROUND:
-                    run.append(c)
-            elif c.name in ("br", "wbr"):
-                run.append(" " if c.name == "br" else "")
+                    node.children.append(c)
+            elif c.name == "br":
+                node.children.append(" ")
             elif c.name == "hr":
-                flush()
+                node.children.append(None)
             else:
                 if c.name in BLOCK:
-                    flush()
-                if c.name in NEVER or c.name == skipped:
+                    node.children.append(None)
+                if c.name in NEVER or c.name == "wbr":
                     continue
+                under = node
                 if id(c) in self.around:
-                    mode = AROUND
+                    pass
                 elif id(c) in self.articles:
-                    mode = INSIDE
-                    if self.measured and c.exact is not None:
-                        gone |= self.edges(c, template, met)
-                elif id(c) in gone or goes(c, mode):
+                    mode, under = INSIDE, Node(ARTICLE)
+                else:
+                    flags = BESIDE * (mode == AROUND) | OWN * furniture(c, mode == INSIDE)
+                    if not flags and mode == FREE and not self.tops and c.name in COUNTED and not c.held and 2 * c.linked > c.total:
+                        flags = LINKED
+                    slot, exact, box = self.slot(c) if flags else None, self.exact_key(c), self.box_key(c)
+                    mode = FREE if mode == AROUND else mode
+                    if flags or exact is not None or box is not None or c.name == "a":
+                        under = Node(flags | LINK * (c.name == "a"), slot, exact, box)
+                if under is not node:
+                    node.children.append(under)
+                stack.append((iter(c.children), c.name, mode, under))
+        return root
+
+
+def packed(root: Node) -> bytes:
+    """A reduced tree as bytes, however deep it is."""
+    flat: list = []
+    stack = [iter(root.children)]
+    while stack:
+        c = next(stack[-1], stack)
+        if c is stack:
+            stack.pop()
+            flat.append(0)
+        elif isinstance(c, Node):
+            flat.append((c.flags, c.slot, c.exact, c.box))
+            stack.append(iter(c.children))
+        else:
+            flat.append(c)
+    return zstandard.ZstdCompressor(level=1).compress(marshal.dumps(flat, 2))
+
+
+def unpacked(data: bytes) -> Node:
+    root = Node()
+    stack = [root]
+    for x in marshal.loads(zstandard.ZstdDecompressor().decompress(data)):
+        if x == 0:
+            stack.pop()
+        elif isinstance(x, tuple):
+            c = Node(*x)
+            stack[-1].children.append(c)
+            stack.append(c)
+        else:
+            stack[-1].children.append(x)
+    return root
+
+
+def edges(top: Node, template: set[int], met: set[int] | None) -> set[int]:
+    """The ids of the template boxes that an article begins or ends with, also within a box around its text. With met,
+    that gets the keys of all boxes that could be such."""
+    gone: set[int] = set()
+    for place, order in ((FIRST, iter), (LAST, reversed)):
+        todo = [top]
+        while todo:
+            for c in order(todo.pop().children):
+                if not isinstance(c, Node):
+                    if c and c.strip():
+                        break
                     continue
-                elif mode == AROUND:
-                    mode = FREE
-                stack.append((iter(c.children), c.name, mode))
-        flush()
-        return "\n".join(blocks)
+                if not c.children or id(c) in gone or c.flags & OWN:
+                    continue
+                if c.box is None:
+                    break
+                if met is not None:
+                    met.add(c.box ^ place)
+                    todo.append(c)
+                elif c.box ^ place in template:
+                    gone.add(id(c))
+                else:
+                    todo.append(c)
+                    break
+    return gone
+
+
+def main_text(root: Node, template: set[int] = frozenset(), rare: set[int] = frozenset(), *, core: bool = False, linked: bool = True, met: set[int] | None = None, slots: set[int] | None = None) -> str:
+    """The text of a reduced tree without what template and rare delete. core: without all that could be deleted for its
+    slot by either set; linked: with the text of links. The exact hashes and the slots on the way are added to met and slots."""
+    blocks: list[str] = []
+    run: list[str] = []
+    gone: set[int] = set()
+
+    def goes(c: Node) -> bool:
+        if c.slot is not None:
+            if slots is not None:
+                slots.add(c.slot)
+            if c.flags & (BESIDE | OWN) and (core or c.slot in rare) or c.slot in template:
+                return True
+        if c.exact is not None and met is not None:
+            met.add(c.exact)
+        return c.exact in template or id(c) in gone
+
+    def flush() -> None:
+        if run:
+            if s := " ".join("".join(run).split()):
+                blocks.append(s)
+            run.clear()
+
+    stack = [iter(root.children)]
+    while stack:
+        c = next(stack[-1], stack)
+        if c is stack:
+            stack.pop()
+        elif c is None:
+            flush()
+        elif isinstance(c, str):
+            run.append(c)
+        elif c.flags & ARTICLE:
+            gone |= edges(c, template, met)
+            stack.append(iter(c.children))
+        elif not goes(c) and (linked or not c.flags & LINK):
+            stack.append(iter(c.children))
+    flush()
+    return "\n".join(blocks)
 
 
 def _minima(text: str) -> np.ndarray | None:
@@ -412,27 +501,35 @@ def holding(rows: DataFrame, keys: DataFrame, on: list[str], by: str) -> DataFra
     return salted.join(places, [*on, "_salt"]).drop("_salt")
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, page, html) -> (page, template, rare): of the hashes in each page's text those of template, and the slots that
-    are on too few pages of the host to tell."""
+_PARSED = "page_id long, url string, host string, page long, content long, counted array<long>, met array<long>, slots array<long>, tree binary"
+
+
+def parsed(pages: DataFrame) -> DataFrame:
+    """(page_id, url, host, page, html) -> the same without html, with the page's hashes and its reduced tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            content, counted, met, slots, bands = [], [], [], [], []
+            content, counted, met, slots, trees = [], [], [], [], []
             for source in b.column("html"):
-                page = Page(source.as_py() or "").measure()
-                text = page.text(core=True, met=(own := set()), slots=(places := set()))
+                page = Page(source.as_py() or "")
+                tree, own, places = page.reduced(), set(), set()
+                text = main_text(tree, core=True, met=own, slots=places)
                 content.append(_number(_hash(text.encode("utf-8", "replace"))))
                 counted.append([*own.union(page.counted())])
                 met.append([*own])
                 slots.append([*places])
-                bands.append(similarity_bands(text, page.text(core=True, skipped="a")))
+                trees.append(packed(tree))
             longs = pa.list_(pa.int64())
-            columns = [b.column("host"), b.column("page"), pa.array(content, pa.int64()), *(pa.array(x, longs) for x in (counted, met, slots, bands))]
-            yield pa.RecordBatch.from_arrays(columns, names=["host", "page", "content", "counted", "met", "slots", "bands"])
+            columns = [*(b.column(c) for c in ("page_id", "url", "host", "page")), pa.array(content, pa.int64()), *(pa.array(x, longs) for x in (counted, met, slots)), pa.array(trees, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _PARSED.split(", ")])
 
-    found = spread(pages.select("host", "page", "html")).mapInArrow(run, "host string, page long, content long, counted array<long>, met array<long>, slots array<long>, bands array<long>")
-    found = written(found.withColumn("content", F.xxhash64("host", "content")), "subtrees")
+    return spread(pages.select("page_id", "url", "host", "page", "html")).mapInArrow(run, _PARSED)
+
+
+def verdicts(found: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """parsed() pages -> (host, hash, often): of the hashes in pages' texts those of template, and false for the slots that
+    are on too few pages of the host to tell."""
+    found = found.withColumn("content", F.xxhash64("host", "content"))
     on = ["host", "hash"]
     met = found.select("host", "page", F.explode("met").alias("hash"))
     held = found.select("host", "content", F.explode("counted").alias("hash")).distinct()
@@ -440,7 +537,15 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     often = written(often.join(met.select(on).distinct(), on), "recurring")
     holders = written(holding(held, often, on, "content"), "holders")
     # Near copies count as one page: the similar ones among the pages that hold what recurs.
-    bands = found.join(holders.select("content").distinct(), "content", "left_semi").groupBy("host", "content").agg(F.min("bands").alias("bands"))
+
+    def bands_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            trees = [unpacked(t.as_py()) for t in b.column("tree")]
+            bands = [similarity_bands(main_text(t, core=True), main_text(t, core=True, linked=False)) for t in trees]
+            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("content"), pa.array(bands, pa.list_(pa.int64()))], names=["host", "content", "bands"])
+
+    copied = written(holders.select("content").distinct(), "copied")
+    bands = found.select("host", "content", "tree").join(copied, "content", "left_semi").select("host", "content", "tree").mapInArrow(bands_of, "host string, content long, bands array<long>").groupBy("host", "content").agg(F.min("bands").alias("bands"))
     bands = bands.select("host", "content", F.posexplode("bands").alias("band", "value"))
     at = ["host", "band", "value"]
     least = bands.groupBy(at).agg(F.min("content").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -451,28 +556,48 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     # Slots are told by place and shape; of pages of equal text one counts.
     slots = found.select("host", "page", "content", F.explode("slots").alias("hash"))
     places = slots.select("host", "content", "hash").distinct().groupBy(on).agg((F.count("*") >= min_pages).alias("often"))
-    verdicts = written(exact.unionByName(places), "verdicts")
-    asked = met.unionByName(slots.drop("content"))
-    return holding(asked, verdicts, on, "page").groupBy("page").agg(*(F.collect_set(F.when(F.col("often") == x, F.col("hash"))).alias(name) for name, x in (("template", True), ("rare", False))))
+    return exact.unionByName(places)
+
+
+def by_page(found: DataFrame, known: DataFrame) -> DataFrame:
+    """(page, template, rare): the verdicts on the hashes that each page's own text meets."""
+    on = ["host", "hash"]
+    asked = found.select("host", "page", F.explode(F.concat("met", "slots")).alias("hash")).distinct()
+    return holding(asked, known, on, "page").groupBy("page").agg(*(F.collect_set(F.when(F.col("often") == x, F.col("hash"))).alias(name) for name, x in (("template", True), ("rare", False))))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, html) -> the same ids and urls with their main text."""
     place = F.pmod(F.xxhash64("page_id"), F.lit(SALTS))  # so that copies of a page do not meet in one place
-    with_host = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    with_host = with_host.withColumn("page", F.xxhash64("host", "html", place))
-    known = written(templates(with_host), "templates")  # its size is known to the planner: it is broadcast only if small
+    with_host = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html", host_of(F.col("url")).alias("host"))
+    found = written(parsed(with_host.withColumn("page", F.xxhash64("host", "html", place))), "parsed")
+    known = written(verdicts(found), "verdicts")
+    schema = "page_id long, url string, text string"
+
+    def batch(b: pa.RecordBatch, sets: list[tuple[set[int], set[int]]]) -> pa.RecordBatch:
+        texts = [main_text(unpacked(tree.as_py()), *own) for tree, own in zip(b.column("tree"), sets, strict=True)]
+        return pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+    rows = known.limit(FEW_VERDICTS + 1).collect()
+    if len(rows) <= FEW_VERDICTS:
+        # So few go to every task; the pages stay where they are.
+        hosts: dict[str, tuple[set[int], set[int]]] = {}
+        for r in rows:
+            hosts.setdefault(r["host"], (set(), set()))[not r["often"]].add(r["hash"])
+        none = (set(), set())
+
+        def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield batch(b, [hosts.get(h, none) for h in b.column("host").to_pylist()])
+
+        return found.select("page_id", "url", "host", "tree").mapInArrow(told, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = []
-            for source, template, rare in zip(b.column("html"), b.column("template"), b.column("rare"), strict=True):
-                page, template, rare = Page(source.as_py() or ""), {*(template.as_py() or ())}, {*(rare.as_py() or ())}
-                texts.append((page.measure() if template or rare else page).text(template, rare))
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
-
-    joined = spread(with_host).join(known, "page", "left").select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html", "template", "rare")
-    return joined.mapInArrow(run, "page_id long, url string, text string")
+            yield batch(b, [({*(t or ())}, {*(r or ())}) for t, r in zip(b.column("template").to_pylist(), b.column("rare").to_pylist(), strict=True)])
+
+    told_pages = written(by_page(found, known), "templates")
+    return found.select("page_id", "url", "page", "tree").join(told_pages, "page", "left").select("page_id", "url", "tree", "template", "rare").mapInArrow(run, schema)
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:

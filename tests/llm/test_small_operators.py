@@ -419,7 +419,7 @@ def test_html_boxes_at_the_ends_of_articles(spark):
 
 
 def test_html_attributes_are_whole_names():
-    text = lambda body: html.Page(body).text(core=True)
+    text = lambda body: html.main_text(html.Page(body).reduced(), core=True)
     stay = ('href="/hidden/valley"', 'title="a hidden gem"', 'aria-hidden="false"', 'data-id="share"', "title='class=ad id=menu'", "data-x=hidden/", 'data-class = "ad"', 'data-hidden="no"', 'title="what is hidden here"', 'class="share-price"', 'class="related-work"', 'class="ad-hoc"')
     for rest in stay:
         assert text(f"<article><div {rest}>Stays</div></article>") == "Stays", rest
@@ -444,7 +444,9 @@ def site(rng):
     return rows
 
 
-def test_html_against_counts_by_hand(spark):
+@pytest.mark.parametrize("few", [html.FEW_VERDICTS, 0])
+def test_html_against_counts_by_hand(spark, monkeypatch, few):
+    monkeypatch.setattr(html, "FEW_VERDICTS", few)
     rows = site(random.Random(11))
     rows += [rows[5]] * 3 + [(rows[20][0], rows[20][1], rows[20][2])]
     pages = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(rows)], "page_id long, url string, html string")
@@ -452,12 +454,13 @@ def test_html_against_counts_by_hand(spark):
     assert got == {i: t for i, (*_, t) in enumerate(rows)}
     # The same sets by hand: hashes of a host that so many different texts have, and slots that fewer have.
     seen = {"exact": Counter(), "slot": Counter()}
-    parsed = [html.Page(h).measure() for _, h, _ in rows]
+    parsed = [html.Page(h) for _, h, _ in rows]
+    trees = [html.unpacked(html.packed(p.reduced())) for p in parsed]
     met = []
     known = set()
-    for (u, *_), p in zip(rows, parsed, strict=True):
+    for (u, *_), p, t in zip(rows, parsed, trees, strict=True):
         host, own, slots = u.split("/")[2], set(), set()
-        text = p.text(core=True, met=own, slots=slots)
+        text = html.main_text(t, core=True, met=own, slots=slots)
         met.append((host, own, slots))
         if (host, text) not in known:
             known.add((host, text))
@@ -468,12 +471,12 @@ def test_html_against_counts_by_hand(spark):
     for i, (host, own, slots) in enumerate(met):
         template = {h for h in own if often("exact", host, h)} | {h for h in slots if often("slot", host, h)}
         want[i] = template, {h for h in slots if not often("slot", host, h)}
-        assert parsed[i].text(*want[i]) == rows[i][2]
-    keyed = pages.select("page_id", F.split("url", "/")[2].alias("host"), F.col("page_id").alias("page"), "html")
-    assert {r["page"]: ({*r["template"]}, {*r["rare"]}) for r in html.templates(keyed).collect()} == want
+        assert html.main_text(trees[i], *want[i]) == rows[i][2]
+    keyed = html.parsed(pages.select("page_id", "url", F.split("url", "/")[2].alias("host"), F.col("page_id").alias("page"), "html"))
+    assert {r["page"]: ({*r["template"]}, {*r["rare"]}) for r in html.by_page(keyed, html.verdicts(keyed)).collect()} == want
     # It is the sets that delete: without them nearly all pages keep their menus, and where they are empty nothing goes.
-    assert sum(p.text() != t for p, (*_, t) in zip(parsed, rows, strict=True)) == len(rows)
-    assert all(want[i][0] for i in range(12, 52)) and sum(parsed[i].text(want[i][0]) == rows[i][2] for i in range(12, 52)) > 30
+    assert sum(html.main_text(p) != t for p, (*_, t) in zip(trees, rows, strict=True)) == len(rows)
+    assert all(want[i][0] for i in range(12, 52)) and sum(html.main_text(trees[i], want[i][0]) == rows[i][2] for i in range(12, 52)) > 30
 
 
 def test_html_is_linear():
@@ -481,7 +484,7 @@ def test_html_is_linear():
 
     for source in ("<div>" * 200_000 + "deep", "<article>" + "<div><p><span>" * 60_000 + "deep", "<ul><li>" * 60_000 + "deep", "<a " * 300_000 + ">deep", "<table><tr><td>" * 30_000 + "deep"):
         began = time.perf_counter()
-        assert html.Page(source).measure().text(core=True, met=set(), slots=set()) in ("deep", "")
+        assert html.main_text(html.unpacked(html.packed(html.Page(source).reduced())), core=True, met=set(), slots=set()) in ("deep", "")
         assert time.perf_counter() - began < 20
 
 
