@@ -84,3 +84,11 @@ def format_size(n: int) -> str:
         if n >= size:
             return f"{n / size:.{places}f} {unit}"
     return f"{n} B"
+
+
+def size_label(n: Column) -> Column:
+    """format_size() of a column."""
+    out = F.concat(n.cast("string"), F.lit(" B"))
+    for unit, size, places in (("KB", 1 << 10, 0), ("MB", 1 << 20, 1), ("GB", 1 << 30, 2)):
+        out = F.when(n >= size, F.format_string(f"%.{places}f {unit}", n / F.lit(float(size)))).otherwise(out)
+    return out

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from siftline.operators import analytics, health
 from siftline.operators.feed import FeedFrame
 from siftline.operators.profile import column_figures, row_health, value_counts
+from siftline.plans import feeds
+from siftline.plans.tables import COLUMNS, EVENTS, feed, profile_sql, sparse_events
 
 #: The filter texts that are queries, by name, over the sparse events.
 FILTERS = {
@@ -34,18 +36,6 @@ FILTERS = {
     "anywhere": "click",
     "wildcard": "event_type:c_i%k",
 }
-_SPARSE = "CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 11 = 0 THEN '  ' ELSE event_type END"
-_EVENTS = f"(SELECT CAST(event_id AS VARCHAR) event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') ts, CAST(user_id AS VARCHAR) user_id, {_SPARSE} event_type, CAST(value AS VARCHAR) AS value, props FROM events)"
-
-
-def feed(spark: SparkSession, sf_dir: str, table: str) -> FeedFrame:
-    return FeedFrame.from_table(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
-
-
-def sparse_events(spark: SparkSession, sf_dir: str) -> FeedFrame:
-    """The events as a feed in which every seventh type is null and every eleventh blank."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("event_type", F.expr(_SPARSE)).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
-    return FeedFrame.from_table(e)
 
 
 def _contains(c: str, v: str) -> str:
@@ -75,33 +65,13 @@ _FILTER_SQL = {
     "anywhere": " OR ".join(_contains(c, "click") for c in ("event_id", "ts", "user_id", "event_type", "value", "props")),
     "wildcard": _contains("event_type", "c_i%k"),
 }
-
-
-def _profile_sql(table: str, columns: list[tuple[str, str]]) -> str:
-    def one(name: str, text: str) -> str:
-        t = f"(SELECT {text} AS v FROM {table})"
-        return f"""SELECT '{name}' AS column_name, COUNT(*) AS total_records, COUNT(v) AS non_null_count, COUNT(*) - COUNT(CASE WHEN TRIM(v) <> '' THEN 1 END) AS empty_count,
- COUNT(CASE WHEN TRIM(v) <> '' THEN 1 END) AS valid_count, COUNT(CASE WHEN TRIM(v) <> '' THEN 1 END)::DOUBLE / COUNT(*) * 100.0 AS fill_rate, COUNT(DISTINCT v) AS unique_count,
- COALESCE(MIN(LENGTH(TRIM(v))), 0) AS min_length, COALESCE(MAX(LENGTH(TRIM(v))), 0) AS max_length, ROUND(COALESCE(SUM(LENGTH(TRIM(v)))::DOUBLE / COUNT(v), 0), 1) AS avg_length FROM {t}"""
-
-    return "\nUNION ALL\n".join(one(n, t) for n, t in columns)
-
-
-_TEXT = "CAST({} AS VARCHAR)".format
-#: Columns of the profiled tables and their text.
-_COLUMNS = {
-    "orders": [("o_orderkey", _TEXT("o_orderkey")), ("o_custkey", _TEXT("o_custkey")), ("o_orderstatus", "o_orderstatus"), ("o_totalprice", _TEXT("o_totalprice")), ("o_orderdate", _TEXT("o_orderdate")), ("o_orderpriority", "o_orderpriority")],
-    "customer": [("c_custkey", _TEXT("c_custkey")), ("c_name", "c_name"), ("c_nationkey", _TEXT("c_nationkey")), ("c_acctbal", _TEXT("c_acctbal")), ("c_mktsegment", "c_mktsegment")],
-    "part": [("p_partkey", _TEXT("p_partkey")), ("p_name", "p_name"), ("p_brand", "p_brand"), ("p_type", "p_type"), ("p_size", _TEXT("p_size")), ("p_retailprice", _TEXT("p_retailprice"))],
-    "events": [("event_id", "event_id"), ("ts", "ts"), ("user_id", "user_id"), ("event_type", "event_type"), ("props", "props")],
-}
 _FIGURES = ("column_name", "total_records", "non_null_count", "empty_count", "valid_count", "fill_rate", "unique_count", "min_length", "max_length", "avg_length")
 
 
 def _figures(table: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         f = sparse_events(spark, sf_dir) if table == "events" else feed(spark, sf_dir, table)
-        return column_figures(value_counts(f.df, [c for c, _ in _COLUMNS[table]])).select(*_FIGURES)
+        return column_figures(value_counts(f.df, [c for c, _ in COLUMNS[table]])).select(*_FIGURES)
 
     return run
 
@@ -116,9 +86,8 @@ def _table(table: str, build: Callable[[FeedFrame], DataFrame]) -> Callable[[Spa
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {f"filter_{name}": _filtered(text) for name, text in FILTERS.items()}
-    out |= {f"figures_{t}": _figures(t) for t in _COLUMNS}
+    out |= {f"figures_{t}": _figures(t) for t in COLUMNS}
     out |= {
-        "profile_orders": _table("orders", lambda f: f.profile()),
         "overview_lineitem": _table("lineitem", lambda f: f.overview().select("total_records", "column_count")),
         "distribution_type": _table("sparse", lambda f: f.distribution("event_type")),
         "distribution_brand": _table("part", lambda f: f.distribution("p_brand", 10)),
@@ -140,7 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "tiers_sparse": lambda spark, sf_dir: health.tier_counts(_figures("events")(spark, sf_dir)).select("complete", "warning", "critical", "empty", F.round("average_fill", 9).alias("average_fill")),
         "matching_name": _table("part", lambda f: health.matching(f.df, "p_name", "RED").select("p_partkey", "p_name")),
     }
-    return out
+    return out | feeds.queries()
 
 
 def long_cross_tab(table: DataFrame) -> DataFrame:
@@ -161,9 +130,9 @@ SELECT COALESCE(NULLIF(TRIM(p), ''), '[Unknown]') AS primary_value, total, s AS
 
 
 def oracle_sql() -> dict[str, str]:
-    e = _EVENTS
+    e = EVENTS
     out = {f"filter_{n}": f"SELECT * FROM {e} WHERE {c}" for n, c in _FILTER_SQL.items()}
-    out |= {f"figures_{t}": _profile_sql(e if t == "events" else t, cols) for t, cols in _COLUMNS.items()}
+    out |= {f"figures_{t}": profile_sql(e if t == "events" else t, cols) for t, cols in COLUMNS.items()}
     pct = "ROUND(COUNT(*) * 100.0 / (SELECT COUNT(*) FROM {}), 2)".format
     out |= {
         "overview_lineitem": "SELECT COUNT(*) AS total_records, 11::BIGINT AS column_count FROM lineitem",
@@ -182,9 +151,9 @@ def oracle_sql() -> dict[str, str]:
         "page_sorted": f"SELECT event_id, event_type, user_id FROM {e} ORDER BY event_type ASC NULLS LAST, event_id LIMIT 50 OFFSET 50",
         "page_descending": "SELECT CAST(c_custkey AS VARCHAR) c_custkey, c_name, CAST(c_nationkey AS VARCHAR) c_nationkey, CAST(c_acctbal AS VARCHAR) c_acctbal, c_mktsegment FROM customer ORDER BY c_name DESC NULLS LAST, CAST(c_custkey AS VARCHAR) LIMIT 25 OFFSET 50",
         "row_health": f"SELECT event_id, 5 + CASE WHEN event_type IS NOT NULL AND TRIM(event_type) <> '' THEN 1 ELSE 0 END::BIGINT AS filled FROM {e}",
-        "tiers_sparse": f"SELECT COUNT(*) FILTER (fill_rate >= 99.9) AS complete, COUNT(*) FILTER (fill_rate >= 10 AND fill_rate < 99.9) AS warning, COUNT(*) FILTER (fill_rate < 10) AS critical, COUNT(*) FILTER (fill_rate < 0.1) AS \"empty\", ROUND(AVG(fill_rate), 9) AS average_fill FROM ({_profile_sql(e, _COLUMNS['events'])})",
+        "tiers_sparse": f"SELECT COUNT(*) FILTER (fill_rate >= 99.9) AS complete, COUNT(*) FILTER (fill_rate >= 10 AND fill_rate < 99.9) AS warning, COUNT(*) FILTER (fill_rate < 10) AS critical, COUNT(*) FILTER (fill_rate < 0.1) AS \"empty\", ROUND(AVG(fill_rate), 9) AS average_fill FROM ({profile_sql(e, COLUMNS['events'])})",
         "matching_name": "SELECT CAST(p_partkey AS VARCHAR) p_partkey, p_name FROM part WHERE contains(lower(p_name), 'red')",
         "cross_tab_brand": _cross_sql("part", "p_type", "p_brand", 150),
         "cross_tab_sparse": _cross_sql(e, "user_id", "event_type", None),
     }
-    return out
+    return out | feeds.oracle_sql()

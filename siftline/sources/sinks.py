@@ -17,9 +17,10 @@ def _counted(df: DataFrame, what: str = "*") -> tuple[DataFrame, Observation]:
 
 
 def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
-    """CSV with a header; quotes within values are doubled."""
+    """CSV with a header; quotes within values are doubled, white space around them stays."""
     out = df.coalesce(1) if single else df
-    out.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    kept = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    out.write.mode("overwrite").options(**kept).csv(path)
 
 
 def write_json(df: DataFrame, path: str, as_array: bool = True) -> None:
@@ -28,22 +29,30 @@ def write_json(df: DataFrame, path: str, as_array: bool = True) -> None:
     if not as_array:
         rows.write.mode("overwrite").text(path)
         return
-    spark, between = df.sparkSession, ",\n\t"
-    jvm, parts = spark._jvm, fresh_path(spark, "json")
+    write_framed(rows, path, "[\n\t", ",\n\t", "\n]\n", "[\n]\n")
+
+
+def write_framed(rows: DataFrame, path: str, before: str, between: str, after: str, nothing: str | None = None) -> None:
+    """A column of texts as one file, with texts before, between and behind them. Parts are written by all tasks and joined
+    inside the JVM, in order."""
+    spark = rows.sparkSession
+    jvm, parts = spark._jvm, fresh_path(spark, "parts")
     rows.write.option("lineSep", between).text(parts)
     p, fs = hadoop_path(spark, parts)
     files = sorted((f for f in fs.listStatus(p) if f.getPath().getName().startswith("part-") and f.getLen()), key=lambda f: f.getPath().getName())
     target, target_fs = hadoop_path(spark, path)
     out = target_fs.create(target, True)
     try:
-        out.write(bytearray(b"[\n\t" if files else b"["))
+        if not files and nothing is not None:
+            before, after = nothing, ""
+        out.write(bytearray(before.encode()))
         for k, f in enumerate(files):
             source = fs.open(f.getPath())
             # Each part ends with what stands between rows; behind the last one nothing follows.
-            kept = f.getLen() - len(between) * (k == len(files) - 1)
+            kept = f.getLen() - len(between.encode()) * (k == len(files) - 1)
             jvm.org.apache.hadoop.io.IOUtils.copyBytes(jvm.org.apache.commons.io.input.BoundedInputStream(source, kept), out, 1 << 17, False)
             source.close()
-        out.write(bytearray(b"\n]\n"))
+        out.write(bytearray(after.encode()))
     finally:
         out.close()
         remove(spark, parts)

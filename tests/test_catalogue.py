@@ -21,7 +21,7 @@ def rows(frame):
 def duck():
     con = duckdb.connect()
     con.sql("SET TimeZone = 'UTC'")
-    for t in ("customer", "orders", "part", "lineitem", "events"):
+    for t in ("customer", "orders", "part", "lineitem", "events", "nation", "region", "documents", "pages"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 
@@ -34,5 +34,5 @@ def test_matches_sql(spark, duck, name):
     assert rows(ours) == rows(theirs)
 
 
-def test_every_query_has_rows(spark):
-    assert catalogue.queries()["profile_orders"](spark, SF).count() == 6
+def test_every_query_has_sql():
+    assert catalogue.queries().keys() == catalogue.oracle_sql().keys()
