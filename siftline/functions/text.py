@@ -87,8 +87,14 @@ def format_size(n: int) -> str:
 
 
 def size_label(n: Column) -> Column:
-    """format_size() of a column."""
+    """format_size() of a column: whole numbers, halves to the even digit."""
+    n = n.cast("long")
     out = F.concat(n.cast("string"), F.lit(" B"))
     for unit, size, places in (("KB", 1 << 10, 0), ("MB", 1 << 20, 1), ("GB", 1 << 30, 2)):
-        out = F.when(n >= size, F.format_string(f"%.{places}f {unit}", n / F.lit(float(size)))).otherwise(out)
+        scaled = n * F.lit(10**places)
+        whole = F.floor(scaled / F.lit(size)).cast("long")
+        rest = 2 * (scaled - whole * F.lit(size)) - F.lit(size)
+        digits = whole + F.when((rest > 0) | ((rest == 0) & (whole % 2 == 1)), 1).otherwise(0)
+        parts = [F.floor(digits / 10**places).cast("string")] + ([F.lit("."), F.lpad((digits % 10**places).cast("string"), places, "0")] if places else [])
+        out = F.when(n >= size, F.concat(*parts, F.lit(f" {unit}"))).otherwise(out)
     return out
