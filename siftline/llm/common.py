@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
+import threading
 import uuid
 import zlib
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.functions.layout import remove, shared_folder, spread
+
+__all__ = ["blocks_of", "drop", "fold", "lower_ascii", "n_words", "partitions", "read", "scope", "scoped", "spread", "unit", "words", "written"]
+
 #: A word is a run of characters outside ASCII white space. This is also what bytes.split() splits by.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
-_made: dict[str, str] = {}
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -39,53 +42,69 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder below the shared checkpoint folder; a temporary one only where the session names none."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="siftline-")
-        sc.setCheckpointDir(base)
-        base = sc.getCheckpointDir()
-    path = f"{base.rstrip('/')}/siftline-{sc.applicationId}"
-    if path not in _made:
-        _made[path] = path
-        atexit.register(_forget, spark, path)
-    return path
-
-
-def _forget(spark: SparkSession, path: str) -> None:
-    try:
-        remove(spark, path)
-    except Exception:  # the session may be gone already
-        pass
+#: Spark's own removal of the files of a write's shuffles when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+_here = threading.local()
+_cleaning = {"lock": threading.Lock(), "writers": 0, "before": "false"}
 
 
-#: Spark's own removal of the files of a write's shuffles when it has ended.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """While anyone writes, the setting is on; the last one out puts it back."""
+    with _cleaning["lock"]:
+        if not _cleaning["writers"]:
+            _cleaning["before"] = spark.conf.get(CLEANUP, "false")
+            spark.conf.set(CLEANUP, "true")
+        _cleaning["writers"] += 1
+    try:
+        yield
+    finally:
+        with _cleaning["lock"]:
+            _cleaning["writers"] -= 1
+            if not _cleaning["writers"]:
+                spark.conf.set(CLEANUP, _cleaning["before"])
 
 
-def written(df: DataFrame, name: str = "t") -> DataFrame:
+def written(df: DataFrame, name: str = "t", keep: bool = False) -> DataFrame:
     """The rows as a table in the shared folder: cuts the lineage, and survives lost executors. The shuffles that made
-    them leave no files behind."""
+    them leave no files behind. A scope deletes its tables at its end, but those that are kept: these are the outer scope's."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    scopes = getattr(_here, "scopes", [])
+    if len(scopes) > keep:
+        scopes[-1 - keep].append((spark, path))
+    with _shuffles_removed(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._siftline_path = path
     return out
 
 
+@contextmanager
+def scope() -> Iterator[None]:
+    """Tables that are written within, and not kept, are deleted at the end. What reads them must be over by then."""
+    _here.scopes = [*getattr(_here, "scopes", []), []]
+    try:
+        yield
+    finally:
+        *_here.scopes, own = _here.scopes
+        for spark, path in own:
+            remove(spark, path)
+
+
+def scoped(f: Callable) -> Callable:
+    """A function with a scope: what its result reads it must keep."""
+
+    @wraps(f)
+    def run(*args, **named):
+        with scope():
+            return f(*args, **named)
+
+    return run
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes tables made by written() that nothing reads any more."""
     for t in tables:
@@ -93,17 +112,6 @@ def drop(*tables: DataFrame) -> None:
             remove(t.sparkSession, path)
 
 
-#: Bytes of a table for each core below which its rows are dealt anew: a small file has few row groups, so few tasks.
-SMALL = 8 << 20
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """A small table's rows over all cores. Larger tables have row groups for every core and are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < SMALL * cores else df
-
-
 def blocks_of(spark: SparkSession, total: int, size: int) -> int:
     """Blocks for so many bytes: of a size at most, and of a small table as many as there are cores."""
     return max(1, -(-total // size), min(spark.sparkContext.defaultParallelism, total >> 20))

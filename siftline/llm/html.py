@@ -47,7 +47,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.common import read, spread, written
+from siftline.llm.common import read, scoped, spread, written
 from siftline.llm.components import connected_components
 from siftline.llm.urls import host_of
 
@@ -566,11 +566,12 @@ def by_page(found: DataFrame, known: DataFrame) -> DataFrame:
     return holding(asked, known, on, "page").groupBy("page").agg(*(F.collect_set(F.when(F.col("often") == x, F.col("hash"))).alias(name) for name, x in (("template", True), ("rare", False))))
 
 
+@scoped
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, html) -> the same ids and urls with their main text."""
     place = F.pmod(F.xxhash64("page_id"), F.lit(SALTS))  # so that copies of a page do not meet in one place
     with_host = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html", host_of(F.col("url")).alias("host"))
-    found = written(parsed(with_host.withColumn("page", F.xxhash64("host", "html", place))), "parsed")
+    found = written(parsed(with_host.withColumn("page", F.xxhash64("host", "html", place))), "parsed", keep=True)
     known = written(verdicts(found), "verdicts")
     schema = "page_id long, url string, text string"
 
@@ -596,7 +597,7 @@ def extract(pages: DataFrame) -> DataFrame:
         for b in batches:
             yield batch(b, [({*(t or ())}, {*(r or ())}) for t, r in zip(b.column("template").to_pylist(), b.column("rare").to_pylist(), strict=True)])
 
-    told_pages = written(by_page(found, known), "templates")
+    told_pages = written(by_page(found, known), "templates", keep=True)
     return found.select("page_id", "url", "page", "tree").join(told_pages, "page", "left").select("page_id", "url", "tree", "template", "rare").mapInArrow(run, schema)
 
 

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.common import blocks_of, lower_ascii, read, written
+from siftline.llm.common import blocks_of, lower_ascii, read, scoped, written
 from siftline.llm.components import connected_components
 
 #: Words of a shingle, least similarity in percent, bytes of text in a block and of shingles in a range.
@@ -215,6 +215,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
     return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+@scoped
 def similarity_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, text) -> a row per row: doc_id, n_shingles, component_id. Links are never expanded between copies."""
     spark = docs.sparkSession
@@ -270,8 +271,8 @@ def similarity_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     joined = connected_components(linked.unionByName(_verify(pairs, sets, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
     rep = alike.select("rid", "key").join(found.select("rid", "n"), "rid").join(joined.withColumnRenamed("id", "rid"), "rid", "left").select(F.col("key").alias("k"), "n", F.coalesce("component", "rid").alias("c"))
-    rows = written(ids.join(rep, F.col("key") == F.col("k")).select("doc_id", "n", "c"), "rows")
-    least = written(rows.groupBy("c").agg(F.min("doc_id").alias("component_id")), "least")
+    rows = written(ids.join(rep, F.col("key") == F.col("k")).select("doc_id", "n", "c"), "rows", keep=True)
+    least = written(rows.groupBy("c").agg(F.min("doc_id").alias("component_id")), "least", keep=True)
     return rows.join(least, "c").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftline.llm.common import n_words, partitions, read, unit, written
+from siftline.llm.common import n_words, partitions, read, scoped, unit, written
 
 #: Documents in a leaf, residuals under a node of the tree, the seed of the draws, and how many times a document of the
 #: size of its source is larger than one that is not large any more: there are at most so many large ones.
@@ -121,9 +121,10 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return by.withColumn("target", target.cast("double")).select("source", "source_size", "units", "target", F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0)).alias("ratio"))
 
 
+@scoped
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
     """Rows of documents -> doc_id, source, size, source_size, target, copies: one per row, copies whole."""
-    rows = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
+    rows = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes", keep=True)
     targets = written(source_targets(rows, weights, share, cap), "targets")
     most = targets.agg(F.max("units")).first()[0] or 0
     t = targets.select(F.col("source").alias("s"), "source_size", "units", "target", "ratio")
@@ -144,7 +145,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     small = small.withColumns({"fraction": F.when(F.col("fraction") > 0, F.coalesce("r", "fraction")).otherwise(none), "others": none, "rest": none}).drop("s", "r")
     idle = (F.col("mass") == 0) | F.col("fraction").isin(0.0, 1.0)
     leaves = small.filter(~idle).groupBy("source", "block").applyInPandas(lambda pdf: _pooled(pdf, seed), schema)
-    done = written(leaves.unionByName(small.filter(idle)).unionByName(head), "leaves")
+    done = written(leaves.unionByName(small.filter(idle)).unionByName(head), "leaves", keep=True)
 
     open_ = (F.col("fraction") > 0) & (F.col("fraction") < 1)
     parts, left, blocks = [done.filter(~open_)], done.filter(open_), -(-most // LEAF)

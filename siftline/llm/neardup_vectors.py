@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.common import partitions, read, written
+from siftline.llm.common import partitions, read, scoped, written
 from siftline.llm.components import connected_components
 
 #: Least cosine of a link, and the recall that the query asks of the index; sampled vectors at most; vectors of a cell on
@@ -224,11 +224,12 @@ def links(classes: DataFrame, cosine: float = COSINE, target_recall: float = 1.0
     return both.groupBy(*key, "block", "grp").applyInArrow(lambda t: verified(t, cosine), _FOUND)
 
 
+@scoped
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, target_recall: float = 1.0) -> DataFrame:
     """(vec_id, embedding, label) -> a row per row: vec_id, n_links, component_id, kept."""
     v = F.col("embedding").cast("array<double>")
     sound = F.col("label").isNotNull() & v.isNotNull() & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
-    rows = written(vectors.select(F.col("vec_id").cast("long"), F.monotonically_increasing_id().alias("uid"), F.when(sound, F.col("label").cast("string")).alias("label"), F.when(sound, v).alias("vector")), "vectors")
+    rows = written(vectors.select(F.col("vec_id").cast("long"), F.monotonically_increasing_id().alias("uid"), F.when(sound, F.col("label").cast("string")).alias("label"), F.when(sound, v).alias("vector")), "vectors", keep=True)
     good = rows.filter("label is not null")
     classes = written(good.groupBy("label", "vector").agg(F.min("uid").alias("uid"), F.count("*").alias("n")), "classes")
     found = written(links(classes, cosine, target_recall), "links")
@@ -236,7 +237,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, target_recall: f
     parts = connected_components(found.filter("other is not null").select(F.col("uid").alias("u"), F.col("other").alias("v")))
     c = classes.join(counts, "uid", "left").join(parts.withColumnRenamed("id", "uid"), "uid", "left")
     c = c.select(F.col("label").alias("l"), F.col("vector").alias("v"), (F.coalesce("n_links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "uid").alias("component"))
-    member = written(good.join(c, (F.col("label") == F.col("l")) & (F.col("vector") == F.col("v"))).select("uid", "vec_id", "n_links", "component"), "members")
+    member = written(good.join(c, (F.col("label") == F.col("l")) & (F.col("vector") == F.col("v"))).select("uid", "vec_id", "n_links", "component"), "members", keep=True)
     least = member.groupBy("component").agg(F.min("vec_id").alias("component_id"))
     joined = member.join(least, "component").select("vec_id", "n_links", "component_id")
     alone = rows.filter("label is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

@@ -19,7 +19,7 @@ from itertools import pairwise
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.common import read, spread, words, written
+from siftline.llm.common import read, scoped, spread, words, written
 
 #: Labelled rows to learn from at most (taken by a hash of the id), thresholds of a statistic, conditions of a rule,
 #: rules, and what a rule must reach on the rows kept for pruning.
@@ -170,6 +170,7 @@ def cover(grow: list, prune: list, n_bins: list[int], most: int = MAX_CONDITIONS
     return rules
 
 
+@scoped
 def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DecisionList:
     """A decision list from labels (doc_id, quality 0 or 1) of documents (doc_id, text) that pass the base rules."""
     y = labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("z")).filter("y = z").select("doc_id", "y")
