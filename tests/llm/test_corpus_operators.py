@@ -262,3 +262,40 @@ def test_pipeline(spark):
     empty = spark.createDataFrame([], docs.schema)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows, ties, and extra columns with names that stages use."""
+    extra = ["row", "id", "digest", "copies", "size", "lang_pred", "score", "chosen", "kept", "_d", "_k", "c0", "d_text", "words", "from", "v"]
+    base = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    long = " ".join(f"{w}{i % 97}" for i, w in enumerate(["the", "quick", "brown", "fox"] * 40_000))
+    odd = [(None, base[0][1], None, None, None), (9001, None, "en", "src0", None), (9002, "", "en", "src0", 0), (9003, long, "en", None, len(long)), (9004, long, None, "src1", len(long))]
+    odd += [base[1]] * 3 + [(9005, "1234 5678 " * 60, "en", "src0", 1), (9006, base[2][1], "en", "src0", 1), (9006, base[3][1], "en", "src0", 1)]
+    columns = ", ".join(["doc_id long, text string, lang string, source string, n_chars long", *(f"`{c}` int" for c in extra)])
+    docs = spark.createDataFrame([(*r, *([k] * len(extra))) for k, r in enumerate(base + odd)], columns)
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, spark.createDataFrame(stage(spark, docs, SF).collect(), docs.schema)
+        assert docs.columns == names, name
+        rows = {r["row"]: r for r in before.collect()}
+        assert all(r == rows[r["row"]] for r in docs.collect()), name  # each row is one that came, in all its columns
+        ids = [r["doc_id"] for r in docs.collect()]
+        if name == "quality rules":
+            assert not {9001, 9002, 9005} & {*ids}
+        if name == "near duplicates":
+            assert ids.count(base[1][0]) <= 1 and not {9003, 9004} <= {*ids}
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert pieces.agg({"length": "sum"}).first()[0] > 0
+    with pytest.raises(Exception, match="doc_id"):
+        corpus_pipeline.STAGES[0][1](spark, docs.drop("doc_id"), SF).collect()
+
+
+def test_pipeline_run_leaves_no_tables(spark):
+    import os
+
+    from siftline.functions.layout import shared_folder
+
+    folder = shared_folder(spark).removeprefix("file:")
+    before = {*os.listdir(folder)} if os.path.isdir(folder) else set()
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    assert len({*os.listdir(folder)} - before) == len(corpus_pipeline.STAGES) - 1
