@@ -40,6 +40,9 @@ MERGE, TOGETHER = 1 << 18, 1 << 18
 MARK = np.int64(-1 << 63)
 
 
+SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), *((c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")), *((c, pa.float64()) for c in ("base_score", "score", "base_per_token", "score_per_token", "bits_per_byte"))])
+
+
 class Adaptive:
     """The same model learning as it reads: code lengths of one text, from nothing or from a trained start."""
 
@@ -255,12 +258,16 @@ def _score(docs: pa.Table, known: pa.Table, total: int, distinct: int, ends: int
         tokens[i:j] += np.bincount(wo, minlength=j - i)
         hits[i:j] += np.bincount(wo, c > 0, j - i).astype(np.int64)
     unigram += base(float(ends))
+    symbols = np.array([len(t) + 1 for t in texts], float)
     pa.default_memory_pool().release_unused()
-    return pa.table([docs.column("doc_id"), pa.array(~np.array(docs.column("train").to_pylist(), bool)), pa.array(tokens), pa.array(hits), pa.array(np.full(n, total, np.int64)), pa.array(unigram), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+    columns = [docs.column("doc_id"), pa.array(~np.array(docs.column("train").to_pylist(), bool)), pa.array(tokens), pa.array(hits), pa.array(np.full(n, total, np.int64)), pa.array(unigram), pa.array(score)]
+    columns += [pa.array(x) for x in (unigram / tokens, score / tokens, -score * np.log2(10) / symbols)]
+    return pa.table(columns, names=SCHEMA.names)
 
 
 def score(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, train boolean) -> a row per row: tokens, known tokens, the unigram base score, and the model's score of the text."""
+    """(doc_id, text, train boolean) -> a row per row: tokens, known tokens, the unigram base score, the model's score of the
+    text, both by token, and the model's bits for each byte and the end, which tells junk of any length."""
     spark = docs.sparkSession
     sums = docs.agg(F.sum(F.octet_length("text").cast("long")), F.count_if("train")).first()
     total, ends = sums[0] or 0, sums[1]
@@ -302,13 +309,8 @@ def score(docs: DataFrame) -> DataFrame:
     context = F.expr("(key >> 8) & 16777215")
     grams = grams.repartition(places, context).sortWithinPartitions(context).mapInArrow(trie, "key long, value double")
     told = asked.select("block", "key").join(grams.unionByName(words), "key").select("block", "key", "value")
-    out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return placed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda d, k: _score(d, k, all_tokens, kinds, ends) if d.num_rows else _none(), out)
-
-
-def _none() -> pa.Table:
-    kinds = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
-    return pa.table([pa.array([], t) for t in kinds.values()], names=list(kinds))
+    out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, base_per_token double, score_per_token double, bits_per_byte double"
+    return placed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda d, k: _score(d, k, all_tokens, kinds, ends) if d.num_rows else SCHEMA.empty_table(), out)
 
 
 def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -227,6 +227,9 @@ def test_ppm(spark, monkeypatch, together):
     n, v = counts.total(), len(counts)
     want = Counter((i, len(tokens(t)), sum(counts[w] > 0 for w in tokens(t)), n, round(sum(np.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens(t)), 6), round(model.log10(t or "", False), 6)) for i, t in docs)
     assert got == want
+    for r in ppm.score(df).collect():
+        assert r["score_per_token"] == pytest.approx(r["score"] / r["n_tokens"]) and r["base_per_token"] == pytest.approx(r["base_score"] / r["n_tokens"])
+        assert r["bits_per_byte"] == pytest.approx(-r["score"] * np.log2(10) / (len((dict(docs)[r["doc_id"]] or "").encode()) + 1))
     assert ppm.score(df.limit(0)).count() == 0
     untaught = {r["doc_id"]: r for r in ppm.score(df.withColumn("train", df["train"] & False)).collect()}
     assert untaught[3]["score"] == pytest.approx(-np.log10(256)) and untaught[1]["n_known"] == 0

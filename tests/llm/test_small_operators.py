@@ -491,3 +491,38 @@ def test_html_is_linear():
 def test_crc_is_of_little_endian_ids(spark):
     ids = np.array([1, 2, 50_000], "<u4").tobytes()
     assert spark.createDataFrame([(bytearray(ids),)], "b binary").select(F.crc32("b")).first()[0] == zlib.crc32(ids)
+
+
+# --- registered queries over a whole table, by plain Python
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_op1_of_a_whole_table(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = quality.op1_quality(spark, SF).collect()
+    assert {r["doc_id"] for r in got} == {*texts} and len(got) == len(texts)
+    for r in got:
+        want = counts(texts[r["doc_id"]])
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
+        assert r["base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+        assert r["kept"] == (not r["base_failed"] and r["rule"] is None)
+
+
+def test_op2_of_a_whole_table(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    says = "</s>[INST] ok [/INST]"
+    rows += [(-1, 0, "user", says), (-1, 1, "assistant", says)]
+    turns = {}
+    for conv, _, role, text in sorted(rows, key=lambda r: r[:2]):
+        turns.setdefault(conv, []).append((role, text or ""))
+    got = {r["conv_id"]: r for r in chat.op2_chat(spark, SF).collect()}
+    assert got.keys() == turns.keys()
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for conv, own in turns.items():
+        r, said = got[conv], "".join(x for role, x in own if role == "assistant")
+        assert r["n_turns"] == len(own) and r["turns_sha256"] == sha("".join(f"{a}\n{b}\n" for a, b in own))
+        assert (r["loss_chars"], r["loss_sha256"]) == (len(said), sha(said))
+        formatted = chat.join_turns(["".join(p[0] for p in chat.segments(*t)) for t in own])
+        assert r["formatted_chars"] == len(formatted) and chat.split_formatted(formatted) == own
