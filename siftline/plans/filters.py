@@ -21,7 +21,7 @@ from siftline.functions.text import date_of, feed_trim, holds, is_iso_date, is_m
 
 _LEX = re.compile(r'(?P<bracket>[()])|(?P<quoted>"[^"]*"?)|(?P<word>(?:[^\s()"]|"[^"]*(?:"|$))+)')
 _KEYWORDS = {"AND": "AND", "&&": "AND", "OR": "OR", "||": "OR", "NOT": "NOT"}
-#: The comparison signs in the order in which a term is split by them.
+#: The comparison signs in the order in which a term is split by them, and the texts of yes and no.
 _SIGNS = {"!=": "!=", "<>": "!=", ":!=": "!=", ":>=": ">=", ":<=": "<=", ":>": ">", ":<": "<", ">=": ">=", "<=": "<=", ">": ">", "<": "<", "=": "=", ":": "="}
 _ORDER = {">": gt, ">=": ge, "<": lt, "<=": le}
 _TRUE, _FALSE = ["true", "1", "yes"], ["false", "0", "no"]
