@@ -182,4 +182,21 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     rows = read(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long"), "role", "text").unionByName(own.coalesce(1))
-    return digests(format_turns(rows, path), path)
+    return digests(format_turns(rows, path), path).drop("n_ids")
+
+
+def oracle() -> str:
+    """The digests of the turns as they are, and the formatted length by the template's rules."""
+    quoted = ", ".join(f"'{m}'" for m in MARKS)
+    escaped = f"(length({{0}}) + length({{0}}) - length(replace({{0}}, chr(92), '')) + list_sum(list_transform([{quoted}], lambda m: (length({{0}}) - length(replace({{0}}, m, ''))) // length(m))))".format
+    opened = " ".join(f"WHEN role = '{r}' THEN {sum(map(len, OPEN[r]))}" for r in OPEN)
+    other = sum(map(len, (ROLE, ROLE_END, TURN_END)))
+    says = "</s>[INST] ok [/INST]"
+    return f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{says}' UNION ALL SELECT -1, 1, 'assistant', '{says}')
+SELECT conv_id, COUNT(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(SUM(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  ({len(BOS)} + SUM({escaped("text")} + CASE {opened} ELSE {other} + {escaped("role")} END))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id"""

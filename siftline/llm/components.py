@@ -77,3 +77,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60, one_task: int =
     else:
         raise RuntimeError("the components did not settle")
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def components_sql(nodes: str, edges: str) -> str:
+    """DuckDB SQL for (r, least): the least id that each row r of nodes (r, id) reaches by edges (a, b) both ways."""
+    return f"""reach(a, b) AS (SELECT r, r FROM {nodes} UNION SELECT reach.a, e.b FROM reach JOIN (SELECT a, b FROM {edges} UNION SELECT b, a FROM {edges}) e ON reach.b = e.a),
+least AS (SELECT reach.a AS r, MIN(n.id) AS least FROM reach JOIN {nodes} n ON n.r = reach.b GROUP BY reach.a)"""

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm.common import blocks_of, lower_ascii, read, scoped, written
-from siftline.llm.components import connected_components
+from siftline.llm.components import components_sql, connected_components
 
 #: Words of a shingle, least similarity in percent, bytes of text in a block and of shingles in a range.
 WORDS, PERCENT, BLOCK_BYTES, RANGE_BYTES = 5, 75, 8 << 20, 16 << 20
@@ -323,6 +323,18 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_components(read(spark, sf_dir, "documents"))
 
 
+def oracle() -> str:
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id AS id, regexp_extract_all({low}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) < {WORDS} THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - {WORDS - 2}), lambda i: array_to_string(w[i:i + {WORDS - 1}], ' '))) END AS s FROM w),
+x AS (SELECT r, len(s) AS n, unnest(s) AS shingle FROM s),
+edges AS (SELECT p.r AS a, q.r AS b FROM x p JOIN x q ON p.shingle = q.shingle AND p.r < q.r GROUP BY p.r, q.r, p.n, q.n HAVING 100 * COUNT(*) >= {PERCENT} * (p.n + q.n - COUNT(*))),
+{components_sql("s", "edges")}
+SELECT id AS doc_id, len(s)::BIGINT AS n_shingles, least AS component_id FROM s JOIN least USING (r)"""
+
+
 def kept_documents(docs: DataFrame) -> DataFrame:
     """One document of each component, that of the least id, with all columns, whatever their names; of repeated rows one."""
     c = similarity_components(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("chosen")).distinct()

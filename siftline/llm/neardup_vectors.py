@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm.common import partitions, read, scoped, written
-from siftline.llm.components import connected_components
+from siftline.llm.components import components_sql, connected_components
 
 #: Least cosine of a link, and the recall that the query asks of the index; sampled vectors at most; vectors of a cell on
 #: average; centres of a codebook at most; of a block and a group of visitors.
@@ -246,3 +246,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, target_recall: f
 
 def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "embeddings"), COSINE, TARGET_RECALL)
+
+
+def oracle() -> str:
+    return f"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+sound AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+edges AS (SELECT p.r AS a, q.r AS b FROM sound p JOIN sound q ON p.label = q.label AND p.r < q.r WHERE CASE WHEN len(p.e) = len(q.e) THEN list_cosine_similarity(p.e, q.e) >= {COSINE} ELSE false END),
+{components_sql("v", "edges")},
+counts AS (SELECT r, COUNT(*) AS n FROM (SELECT a AS r FROM edges UNION ALL SELECT b FROM edges) GROUP BY r)
+SELECT id AS vec_id, coalesce(n, 0)::BIGINT AS n_links, least AS component_id, id = least AS kept FROM v JOIN least USING (r) LEFT JOIN counts USING (r)"""

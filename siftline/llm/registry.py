@@ -27,7 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op3_urls": urls.oracle()}
+    sql = {"op2_chat": chat.oracle(), "op3_urls": urls.oracle(), "op5_jaccard": jaccard.oracle(), "op8_vectors": neardup_vectors.oracle()}
     if corpus_pipeline.ORACLE_SQL:
         sql["pipeline"] = corpus_pipeline.ORACLE_SQL
     return sql
