@@ -21,6 +21,7 @@ from siftline.functions.names import sanitize
 from siftline.functions.text import size_label
 from siftline.operators import analytics, health
 from siftline.operators.feed import FeedFrame
+from siftline.plans.filters import search_words
 from siftline.plans.tables import COLUMNS, EVENTS, feed, profile_sql, sparse_events
 from siftline.sources import sinks, sniff
 from siftline.sources.catalog import Catalog
@@ -259,6 +260,18 @@ def sanitized_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "part").selectExpr("p_partkey", f"{name} AS name").mapInArrow(run, "p_partkey long, name string")
 
 
+@_query("SELECT p_partkey, p_name || '|x' || p_brand || ' y' AS words FROM part")
+def search_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and quoted phrases of searches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(["|".join(search_words(x)) for x in b.column(1).to_pylist()], pa.string())], names=["p_partkey", "words"])
+
+    text = """concat(' "', p_name, '"  x"', p_brand, ' y" ""')"""
+    return _table(spark, sf_dir, "part").selectExpr("p_partkey", f"{text} AS text").mapInArrow(run, "p_partkey long, words string")
+
+
 _BIG = "n_chars * n_chars * n_chars % 5000000000"
 
 

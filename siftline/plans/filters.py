@@ -182,3 +182,11 @@ def compile_filter(text: str | None, columns: Sequence[str]) -> Column:
     tree = parse(tokenize(text or ""))
     found = condition(tree, columns) if tree is not None else None
     return F.lit(True) if found is None else found
+
+
+_PHRASE = re.compile(r'(?:[^\s"]|"[^"]*(?:"|$))+')
+
+
+def search_words(text: str) -> list[str]:
+    """The words of a search, quoted phrases whole and without their quotes; empty ones left out."""
+    return [w for m in _PHRASE.findall(text) if (w := m.replace('"', ""))]

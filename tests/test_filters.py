@@ -7,7 +7,7 @@ import pytest
 
 from siftline.functions.names import ColumnMap, resolve, sanitize
 from siftline.functions.text import format_size, is_iso_date, literal_number
-from siftline.plans.filters import And, Not, Or, Term, compile_filter, parse, tokenize
+from siftline.plans.filters import And, Not, Or, Term, compile_filter, parse, search_words, tokenize
 
 
 def kinds(text):
@@ -31,6 +31,10 @@ def test_trees():
     assert parse([]) is None
 
 
+def test_search_words():
+    assert search_words(' a "b c"  d"e f"g "" "open end') == ["a", "b c", "de fg", "open end"] and search_words("") == []
+
+
 def test_literals():
     for text, value in (("80000", 80000), ("$80,000", 80000), ("80k", 80000), ("120.5k", 120500), ("1.5m", 1500000), ("inf", None), ("", None), ("x", None)):
         assert literal_number(text) == value
