@@ -12,6 +12,11 @@ meet in one task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,26 +25,33 @@ from siftline.functions.layout import spread
 from siftline.functions.names import ColumnMap
 from siftline.functions.text import feed_trim, is_blank, text_length
 
-#: Samples of a column, rows that bound them, and the length from which on a value goes by its digest.
-SAMPLES, BOUNDING_ROWS, SHORT = 10, 2000, 40
+#: Samples of a column, rows that bound them, the length from which on a value goes by its digest, and columns that are
+#: turned to rows at once: of a wider table each scan reads so many.
+SAMPLES, BOUNDING_ROWS, SHORT, WIDE = 10, 2000, 40, 100
 SCHEMA = (
     "column_name string, original_name string, total_records long, non_null_count long, empty_count long, valid_count long, fill_rate double, unique_count long,"
     " sample_values array<string>, min_length long, max_length long, avg_length double, inferred_type string, is_candidate_key boolean, has_collision_risk boolean"
 )
 
 
-def _long_form(df: DataFrame, columns: list[str], value) -> DataFrame:
-    return df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column_name"), value(F.col(f"`{c}`").cast("string"))) for c in columns))))
+def _long_form(df: DataFrame, columns: list[str], values: Callable[[str], Column], keep: Callable[[Column], Column] = lambda pairs: pairs) -> DataFrame:
+    """(column_name, and the fields of values(column)) rows of those pairs that are kept."""
+    parts = []
+    for k in range(0, max(len(columns), 1), WIDE):
+        pairs = F.array(*(F.struct(F.lit(c).alias("column_name"), values(c)) for c in columns[k : k + WIDE]))
+        parts.append(df.select(F.inline(keep(pairs))))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column_name, key, length, filled, n): how often each value, null included, is in each column. A short value is its
+    """(column_name, key, n, length, filled): how often each value, null included, is in each column. A short value is its
     own key; filled is null for null, and whether the value is more than blanks."""
     df = spread(df.select(*(F.col(f"`{c}`") for c in columns or df.columns)))
     # No short value has the form of a digest with its length: that is longer.
     key = lambda v: F.when(F.char_length(v) <= SHORT, v).otherwise(F.concat(F.md5(v.cast("binary")), F.lit("#"), F.char_length(v), F.lit(" " * SHORT)))
-    pairs = _long_form(df, df.columns, lambda v: F.struct(key(v).alias("key"), text_length(v).alias("length"), (~is_blank(v)).alias("filled")).alias("v"))
-    return pairs.groupBy("column_name", "v.key", "v.length", "v.filled").agg(F.count("*").alias("n"))
+    entry = lambda v: F.struct(key(v).alias("key"), text_length(v).alias("length"), (~is_blank(v)).alias("filled")).alias("v")
+    pairs = _long_form(df, df.columns, lambda c: entry(F.col(f"`{c}`").cast("string")))
+    return pairs.groupBy("column_name", "v.key").agg(F.count("*").alias("n"), F.max("v.length").alias("length"), F.max("v.filled").alias("filled"))
 
 
 def column_figures(counts: DataFrame) -> DataFrame:
@@ -84,19 +96,20 @@ def _filled(df: DataFrame, columns: list[str], most: dict[str, str] | None = Non
     def value(c: str) -> Column:
         v = F.col(f"`{c}`").cast("string")
         ok = ~is_blank(v)
-        return F.when(ok & (v <= F.lit(most[c])) if most and c in most else ok, v)
+        return F.when(ok & (v <= F.lit(most[c])) if most and c in most else ok, v).alias("value")
 
-    pairs = F.array(*(F.struct(F.lit(c).alias("column_name"), value(c).alias("value")) for c in columns))
-    return df.select(F.inline(F.filter(pairs, lambda x: x["value"].isNotNull())))
+    return _long_form(df, columns, value, lambda pairs: F.filter(pairs, lambda x: x["value"].isNotNull()))
 
 
 def profile(df: DataFrame, names: ColumnMap | None = None) -> DataFrame:
     """The completeness matrix, the fullest columns first, in table order where equally full. Labels are given to one row per column."""
     names = names or ColumnMap({c: (c,) for c in df.columns})
     place = {c: k for k, c in enumerate(df.columns)}
+    with ThreadPoolExecutor(1) as beside:  # the samples' jobs run beside that of the figures
+        found = beside.submit(inheritable_thread_target(df.sparkSession)(lambda: sample_values(df)))
+        figures = column_figures(value_counts(df)).collect()
+        samples = found.result()
     rows = []
-    figures = column_figures(value_counts(df)).collect()
-    samples = sample_values(df)
     for r in figures:
         original, own = names.original(r["column_name"]), samples[r["column_name"]]
         kind = infer_type(original, own)

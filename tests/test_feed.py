@@ -165,6 +165,13 @@ def test_samples_and_long_values(spark):
     assert p["many"]["sample_values"] == [f"{i:05}" for i in range(10)] and p["many"]["is_candidate_key"]
 
 
+def test_profile_of_a_wide_table(spark):
+    f = FeedFrame.from_table(spark.createDataFrame([[f"v{k % 7}" if i % 2 else None for k in range(250)] for i in range(6)], [f"c{k}" for k in range(250)]))
+    p = f.profile().collect()
+    assert [r["column_name"] for r in p] == f.columns
+    assert all((r["valid_count"], r["unique_count"], r["sample_values"]) == (3, 1, [f"v{k % 7}"]) for k, r in enumerate(p))
+
+
 def test_page_after(feed):
     everything = [tuple(r) for r in feed.page(1, 9, "city", True).rows.collect()]
     rows, after = [], None
