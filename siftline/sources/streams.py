@@ -7,6 +7,7 @@ system that Spark reads.
 from __future__ import annotations
 
 import re
+from urllib.parse import urljoin
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
@@ -19,7 +20,8 @@ MEMBERS = (".xml", ".json", ".jsonl", ".ndjson")
 AGENT = "Mozilla/5.0 (X11; Linux x86_64) siftline"
 CONNECT, READ = 20, 60
 ANSWERS = {404: "the feed was not found", 403: "access is forbidden", 401: "authentication is needed"}
-_BUFFER = 1 << 17
+#: How often a server may send on; bytes that are copied at once.
+HOPS, _BUFFER = 6, 1 << 17
 
 
 class FeedError(Exception):
@@ -97,9 +99,9 @@ def _named(name: str) -> str:
     return re.sub(r"\W", "_", name.rsplit("/", 1)[-1]) or "feed"
 
 
-def download(spark: SparkSession, url: str) -> str:
-    """A remote feed as a file in the shared folder, uncompressed if it came gzipped."""
-    try:
+def _connected(spark: SparkSession, url: str):
+    """An open connection that answers with a body; also where the server sends on to another protocol."""
+    for _ in range(HOPS):
         connection = spark._jvm.java.net.URI(url).toURL().openConnection()
         connection.setConnectTimeout(CONNECT * 1000)
         connection.setReadTimeout(READ * 1000)
@@ -108,7 +110,16 @@ def download(spark: SparkSession, url: str) -> str:
         code = connection.getResponseCode()
         if code >= 400:
             raise FeedError(f"HTTP {code}: {ANSWERS.get(code, 'the server refused')} ({url})")
-        body = spark._jvm.java.io.BufferedInputStream(connection.getInputStream(), _BUFFER)
+        if code < 300 or not (place := connection.getHeaderField("Location")):
+            return connection
+        url = urljoin(url, place)
+    raise FeedError(f"the server sends on and on ({url})")
+
+
+def download(spark: SparkSession, url: str) -> str:
+    """A remote feed as a file in the shared folder, uncompressed if it came gzipped."""
+    try:
+        body = spark._jvm.java.io.BufferedInputStream(_connected(spark, url).getInputStream(), _BUFFER)
         body.mark(2)
         magic = (body.read(), body.read())
         body.reset()

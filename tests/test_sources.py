@@ -140,6 +140,11 @@ def server():
 
     class Handler(BaseHTTPRequestHandler):
         def do_GET(self):
+            if self.path == "/moved":
+                self.send_response(302)
+                self.send_header("Location", "jobs.xml")
+                self.end_headers()
+                return
             body = found.get(self.path.split("?")[0])
             self.send_response(200 if body else 403 if "secret" in self.path else 404)
             self.end_headers()
@@ -154,7 +159,7 @@ def server():
     s.shutdown()
 
 
-@pytest.mark.parametrize("name", ["jobs.xml", "jobs.xml.gz?x=1", "a%20b/jobs"])
+@pytest.mark.parametrize("name", ["jobs.xml", "jobs.xml.gz?x=1", "a%20b/jobs", "moved"])
 def test_http(spark, server, name):
     assert values(read_feed(spark, f"{server}/{name}"), "id", "title") == [("1", "Cook"), ("2", "Clerk")]
 
