@@ -1,12 +1,19 @@
 """python -m siftline FEED: reads a feed and shows what it holds."""
 
 import argparse
+import sys
 
 from pyspark.sql import SparkSession
 
 from siftline.operators import health
 from siftline.sources import sinks
+from siftline.sources.catalog import Catalog
 from siftline.sources.reader import MODES, read_feed
+from siftline.streaming.ingest import Progress, ingest
+
+
+def _tell(p: Progress) -> None:
+    print(f"{p.status}, {p.current_phase}: {p.percentage:.0f} %, {p.records_ingested} records, {p.elapsed_secs:.1f} s", file=sys.stderr)
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -22,9 +29,13 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--sort", metavar="COLUMN")
     p.add_argument("--csv", metavar="FOLDER", help="write the rows as CSV")
     p.add_argument("--json", metavar="FILE", help="write the rows as a JSON array")
+    p.add_argument("--catalog", metavar="FOLDER", help="read under watch and keep the feed in this catalog")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("siftline").getOrCreate()
-    feed = read_feed(spark, a.feed, a.mode, a.tag)
+    if a.catalog:
+        feed = ingest(spark, a.feed, a.mode, a.tag, Catalog(a.catalog, spark), tell=_tell).feed
+    else:
+        feed = read_feed(spark, a.feed, a.mode, a.tag)
     chosen = feed.filter(a.filter)
     asked = False
     for flag, show in ((a.distribution, chosen.distribution), (a.duplicates, chosen.duplicates)):

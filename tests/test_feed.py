@@ -106,6 +106,8 @@ def test_command_line(spark, tmp_path, capsys):
     main([str(p), "--duplicates", "city", "--cross", "city", "id", "--page", "1", "--csv", str(tmp_path / "csv"), "--filter", "id:2"])
     out = capsys.readouterr().out
     assert "Rome" in out and "1 rows written" in out
+    main([str(p), "--catalog", str(tmp_path / "catalog"), "--distribution", "city"])
+    assert "ready, profiling: 100 %, 2 records" in capsys.readouterr().err and Catalog(str(tmp_path / "catalog"), spark).entries()[0].total_records == 2
 
 
 def test_ingest_is_watched_kept_and_profiled(spark, tmp_path):
