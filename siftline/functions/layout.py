@@ -8,8 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes of a table for each core below which its rows are dealt anew: a small file has few row groups, so few tasks.
-SMALL = 8 << 20
+#: Bytes of a table for each core, as the planner estimates them, below which its rows are dealt anew: a small file has
+#: few row groups, so few tasks.
+SMALL = 2 << 20
 
 _made: dict[str, str] = {}
 
@@ -18,7 +19,7 @@ def spread(df: DataFrame) -> DataFrame:
     """A small table's rows over all cores. Larger tables have row groups for every core and are left as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if SMALL // 256 < size < SMALL * cores else df
+    return df.repartition(cores) if SMALL // 64 < size < SMALL * cores else df
 
 
 def shared_folder(spark: SparkSession) -> str:
