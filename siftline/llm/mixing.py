@@ -20,7 +20,7 @@ cannot clash.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -71,30 +71,36 @@ def chain(fractions: list[float], masses: list[float], draw: list[float]) -> lis
     return out
 
 
-def _ordered(pdf: pd.DataFrame, seed: int) -> tuple[pd.DataFrame, list[float]]:
-    pdf = pdf.assign(_d=[unit(seed, *r) for r in zip(pdf["source"], pdf["doc_id"], pdf["size"], strict=True)])
-    pdf = pdf.sort_values(["mass", "_d", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-    return pdf.drop(columns="_d"), pdf["_d"].tolist()
+def _ordered(t: pa.Table, seed: int) -> tuple[pa.Table, list[float]]:
+    """Units by falling mass, of equal ones by their draws and ids; and the draws."""
+    source, ids, size, mass = (t.column(c).to_pylist() for c in ("source", "doc_id", "size", "mass"))
+    draw = [unit(seed, *r) for r in zip(source, ids, size, strict=True)]
+    order = sorted(range(len(draw)), key=lambda k: (-mass[k], draw[k], str(ids[k])))
+    return t.take(pa.array(order, pa.int64())), [draw[k] for k in order]
 
 
-def _pooled(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
+def _with(t: pa.Table, **columns: list[float]) -> pa.Table:
+    for name, values in columns.items():
+        t = t.set_column(t.schema.get_field_index(name), name, pa.array(values, pa.float64()))
+    return t
+
+
+def _pooled(t: pa.Table, seed: int) -> pa.Table:
     """A group of units of one fraction; `others` is the mass of those it stands before, which get the fraction `rest`."""
-    pdf, draw = _ordered(pdf, seed)
-    pdf["fraction"], pdf["rest"] = leaf(float(pdf["fraction"].iloc[0]), pdf["mass"].tolist(), draw, float(pdf["others"].iloc[0]))
-    return pdf
+    t, draw = _ordered(t, seed)
+    out, rest = leaf(t.column("fraction")[0].as_py(), t.column("mass").to_pylist(), draw, t.column("others")[0].as_py())
+    return _with(t, fraction=out, rest=[rest] * len(out))
 
 
-def _node(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
-    pdf, draw = _ordered(pdf, seed + 1)
-    pdf["fraction"] = chain(pdf["fraction"].tolist(), pdf["mass"].tolist(), draw)
-    return pdf
+def _node(t: pa.Table, seed: int) -> pa.Table:
+    t, draw = _ordered(t, seed + 1)
+    return _with(t, fraction=chain(t.column("fraction").to_pylist(), t.column("mass").to_pylist(), draw))
 
 
-def _last(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
+def _last(t: pa.Table, seed: int) -> pa.Table:
     """What is left of a source: a unit, drawn."""
-    pdf, draw = _ordered(pdf, seed + 2)
-    pdf["fraction"] = [float(u < f) for u, f in zip(draw, pdf["fraction"], strict=True)]
-    return pdf
+    t, draw = _ordered(t, seed + 2)
+    return _with(t, fraction=[float(u < f) for u, f in zip(draw, t.column("fraction").to_pylist(), strict=True)])
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -139,23 +145,23 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     large = u.filter(F.col("large") & (F.col("fraction") > 0)).drop("large")
     whole = large.groupBy("source").agg(F.sum("mass").alias("m")).select(F.col("source").alias("s"), "m")
     large = large.join(whole, large["source"].eqNullSafe(whole["s"])).withColumns({"others": F.col("source_size") - F.col("m"), "rest": none}).drop("s", "m")
-    head = written(large.groupBy("source").applyInPandas(lambda pdf: _pooled(pdf, seed), schema), "head")
+    head = written(large.groupBy("source").applyInArrow(lambda t: _pooled(t, seed), schema), "head")
     left = head.groupBy("source").agg(F.first("rest").alias("r")).select(F.col("source").alias("s"), "r")
     small = u.filter(~F.col("large") | (F.col("fraction") == 0)).drop("large").join(left, u["source"].eqNullSafe(left["s"]), "left")
     small = small.withColumns({"fraction": F.when(F.col("fraction") > 0, F.coalesce("r", "fraction")).otherwise(none), "others": none, "rest": none}).drop("s", "r")
     idle = (F.col("mass") == 0) | F.col("fraction").isin(0.0, 1.0)
-    leaves = small.filter(~idle).groupBy("source", "block").applyInPandas(lambda pdf: _pooled(pdf, seed), schema)
+    leaves = small.filter(~idle).groupBy("source", "block").applyInArrow(lambda t: _pooled(t, seed), schema)
     done = written(leaves.unionByName(small.filter(idle)).unionByName(head), "leaves", keep=True)
 
     open_ = (F.col("fraction") > 0) & (F.col("fraction") < 1)
     parts, left, blocks = [done.filter(~open_)], done.filter(open_), -(-most // LEAF)
     while True:
         blocks = -(-blocks // FAN_IN)
-        level = left.withColumn("block", F.floor(F.col("block") / FAN_IN)).groupBy("source", "block").applyInPandas(lambda pdf: _node(pdf, seed), schema)
+        level = left.withColumn("block", F.floor(F.col("block") / FAN_IN)).groupBy("source", "block").applyInArrow(lambda t: _node(t, seed), schema)
         parts, left = [*parts, level.filter(~open_)], level.filter(open_)
         if blocks <= 1:
             break
-    parts.append(left.groupBy("source").applyInPandas(lambda pdf: _last(pdf, seed), schema))
+    parts.append(left.groupBy("source").applyInArrow(lambda t: _last(t, seed), schema))
     chosen = parts[0]
     for p in parts[1:]:
         chosen = chosen.unionByName(p)
