@@ -49,7 +49,10 @@ def tokenizer(path: str):
     import tiktoken
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(path)
+    @cache  # hardly any text needs it, and it takes some memory
+    def slow() -> Tokenizer:
+        return Tokenizer.from_file(path)
+
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     special = [t["content"] for t in spec.get("added_tokens", [])]
@@ -65,7 +68,7 @@ def tokenizer(path: str):
             except BaseException as e:  # the library's own panics derive from BaseException
                 if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
                     raise
-        return np.array(slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return np.array(slow().encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     return encode
 
