@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions.layout import remove, shared_folder, spread
 
-__all__ = ["blocks_of", "drop", "fold", "lower_ascii", "n_words", "partitions", "read", "scope", "scoped", "spread", "unit", "words", "written"]
+__all__ = ["blocks_of", "drop", "fold", "lower_ascii", "n_words", "partitions", "read", "scope", "scoped", "small_batches", "spread", "unit", "words", "written"]
 
 #: A word is a run of characters outside ASCII white space. This is also what bytes.split() splits by.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -42,29 +42,33 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-#: Spark's own removal of the files of a write's shuffles when it has ended.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings that hold while tables are written: Spark's own removal of the files of a write's shuffles when it has ended,
+#: and rows that go to Python at once, of which each may be a long text.
+CLEANUP, ROWS = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch"
+WRITING = {CLEANUP: "true", ROWS: "2000"}
 
 
 _here = threading.local()
-_cleaning = {"lock": threading.Lock(), "writers": 0, "before": "false"}
+_writers = {"lock": threading.Lock(), "number": 0, "before": {}}
 
 
 @contextmanager
-def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """While anyone writes, the setting is on; the last one out puts it back."""
-    with _cleaning["lock"]:
-        if not _cleaning["writers"]:
-            _cleaning["before"] = spark.conf.get(CLEANUP, "false")
-            spark.conf.set(CLEANUP, "true")
-        _cleaning["writers"] += 1
+def _writing(spark: SparkSession) -> Iterator[None]:
+    """While anyone writes, the settings hold; the last one out puts back what was before."""
+    with _writers["lock"]:
+        if not _writers["number"]:
+            _writers["before"] = {k: spark.conf.get(k, None) for k in WRITING}
+            for k, v in WRITING.items():
+                spark.conf.set(k, v)
+        _writers["number"] += 1
     try:
         yield
     finally:
-        with _cleaning["lock"]:
-            _cleaning["writers"] -= 1
-            if not _cleaning["writers"]:
-                spark.conf.set(CLEANUP, _cleaning["before"])
+        with _writers["lock"]:
+            _writers["number"] -= 1
+            if not _writers["number"]:
+                for k, v in _writers["before"].items():
+                    spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def written(df: DataFrame, name: str = "t", keep: bool = False) -> DataFrame:
@@ -75,13 +79,19 @@ def written(df: DataFrame, name: str = "t", keep: bool = False) -> DataFrame:
     scopes = getattr(_here, "scopes", [])
     if len(scopes) > keep:
         scopes[-1 - keep].append((spark, path))
-    with _shuffles_removed(spark):
+    with _writing(spark):
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._siftline_path = path
     return out
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on no more rows go to Python at once than while tables are written, as each may be a long text."""
+    if not 0 < int(spark.conf.get(ROWS)) <= int(WRITING[ROWS]):
+        spark.conf.set(ROWS, WRITING[ROWS])
+
+
 @contextmanager
 def scope() -> Iterator[None]:
     """Tables that are written within, and not kept, are deleted at the end. What reads them must be over by then."""

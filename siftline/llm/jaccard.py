@@ -37,7 +37,7 @@ from siftline.llm.common import blocks_of, lower_ascii, read, scoped, written
 from siftline.llm.components import components_sql, connected_components
 
 #: Words of a shingle, least similarity in percent, bytes of text in a block and of shingles in a range.
-WORDS, PERCENT, BLOCK_BYTES, RANGE_BYTES = 5, 75, 8 << 20, 16 << 20
+WORDS, PERCENT, BLOCK_BYTES, RANGE_BYTES = 5, 75, 8 << 20, 8 << 20
 #: Rounds of hubs; documents of a shingle's group that one task joins with others at most.
 HUB_ROUNDS, GROUP = 2, 4096
 
@@ -181,24 +181,27 @@ def _prefixes(docs: pa.Table, known: pa.Table, bits: int, percent: int = PERCENT
     h, c = (np.concatenate(h), np.concatenate(c)) if h else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
     order = np.argsort(h, kind="stable")
     h, c = h[order], c[order]
-    rids, sizes, prefixes, sets = [], [], [], []
+    rids, sizes, hashes, places, ends, sets = [], [], [h[:0]], [np.zeros(0, np.int32)], [0], []
     for rid, s in _sets(docs):
         short = s >> np.uint64(64 - bits)
         at = np.minimum(np.searchsorted(h, short), max(len(h) - 1, 0))
         df = np.where(h[at] == short, c[at], 1) if len(h) else np.ones(len(s), np.uint32)
         p = prefix_length(len(s), percent)
         alone = int((df == 1).sum())
-        held = []
+        held = 0
         if alone < p:
             shared = np.flatnonzero(df > 1)
             best = shared[np.lexsort((s[shared], df[shared]))][: p - alone]
-            held = [{"h": int(x), "p": alone + k} for k, x in enumerate(s[best].view(np.int64))]
+            held = len(best)
+            hashes.append(s[best])
+            places.append(np.arange(alone, alone + held, dtype=np.int32))
         rids.append(rid)
         sizes.append(len(s))
-        prefixes.append(held)
+        ends.append(ends[-1] + held)
         sets.append(s.tobytes() if held else None)
-    kind = pa.list_(pa.struct([("h", pa.int64()), ("p", pa.int32())]))
-    return pa.table([pa.array(rids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, kind), pa.array(sets, pa.binary())], names=["rid", "n", "prefix", "shingles"])
+    tokens = pa.StructArray.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(places))], names=["h", "p"])
+    prefixes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens)
+    return pa.table([pa.array(rids, pa.int64()), pa.array(sizes, pa.int64()), prefixes, pa.array(sets, pa.binary())], names=["rid", "n", "prefix", "shingles"])
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
