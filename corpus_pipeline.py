@@ -13,33 +13,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from siftline.llm import jaccard, language, mixing, packing, quality
-from siftline.llm.common import read, scope, written
+from siftline.llm.common import read, scope, small_batches, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the learned decision list accept; null and wordless texts are not."""
+    small_batches(spark)
     return quality.kept_documents(docs, read(spark, sf_dir, "labels"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found with enough of their n-grams; texts without a letter go. Of languages that explain
     equally much the first by code point counts, which changes nothing here."""
+    small_batches(spark)
     return language.kept_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that of the least id, null ids last. Of repeated rows one stays, and
     so does each empty text."""
+    small_batches(spark)
     return jaccard.kept_documents(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: empty ones as often as their source's whole copies, repeated rows alike."""
+    small_batches(spark)
     return mixing.mixed_documents(docs)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences; an empty text is its end id alone."""
+    small_batches(spark)
     return packing.packed(docs)
 
 
