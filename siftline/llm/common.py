@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import threading
 import uuid
 import zlib
@@ -9,12 +10,13 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions.layout import remove, shared_folder, spread
 
-__all__ = ["blocks_of", "drop", "fold", "lower_ascii", "n_words", "partitions", "read", "scope", "scoped", "small_batches", "spread", "unit", "words", "written"]
+__all__ = ["blocks_of", "drop", "fold", "lower_ascii", "n_words", "partitions", "read", "scope", "scoped", "small_batches", "spread", "trim", "unit", "words", "written"]
 
 #: A word is a run of characters outside ASCII white space. This is also what bytes.split() splits by.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,6 +50,8 @@ CLEANUP, ROWS = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spar
 WRITING = {CLEANUP: "true", ROWS: "2000"}
 
 
+#: Only glibc has it.
+_malloc_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _here = threading.local()
 _writers = {"lock": threading.Lock(), "number": 0, "before": {}}
 
@@ -92,6 +96,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(ROWS, WRITING[ROWS])
 
 
+def trim() -> None:
+    """Gives memory that is free back to the system: a Python worker waits for its next task beside others."""
+    pa.default_memory_pool().release_unused()
+    if _malloc_trim is not None:
+        _malloc_trim(0)
+
+
 @contextmanager
 def scope() -> Iterator[None]:
     """Tables that are written within, and not kept, are deleted at the end. What reads them must be over by then."""

@@ -47,7 +47,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.common import read, scoped, spread, written
+from siftline.llm.common import read, scoped, spread, trim, written
 from siftline.llm.components import connected_components
 from siftline.llm.urls import host_of
 
@@ -522,6 +522,7 @@ def parsed(pages: DataFrame) -> DataFrame:
             longs = pa.list_(pa.int64())
             columns = [*(b.column(c) for c in ("page_id", "url", "host", "page")), pa.array(content, pa.int64()), *(pa.array(x, longs) for x in (counted, met, slots)), pa.array(trees, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _PARSED.split(", ")])
+        trim()
 
     return spread(pages.select("page_id", "url", "host", "page", "html")).mapInArrow(run, _PARSED)
 

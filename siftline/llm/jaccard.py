@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.common import blocks_of, lower_ascii, read, scoped, written
+from siftline.llm.common import blocks_of, lower_ascii, read, scoped, trim, written
 from siftline.llm.components import components_sql, connected_components
 
 #: Words of a shingle, least similarity in percent, bytes of text in a block and of shingles in a range.
@@ -146,6 +146,8 @@ def _offer(t: pa.Table, ranges: int, bits: int) -> pa.Table:
     block = t.column("block")[0].as_py()
     rows = [(k, block, pack_hashes(h[i:j]), np.minimum(n[i:j], 1 << 31).astype("<u4").tobytes()) for k, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i]
     types = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+    del parts, h, n
+    trim()
     return pa.table([pa.array(c, k) for c, k in zip([*zip(*rows, strict=True)] or [()] * 4, types, strict=True)], names=["range", "block", "hashes", "counts"])
 
 
@@ -168,6 +170,8 @@ def _answer(t: pa.Table) -> pa.Table:
         if hit.any():
             rows.append((block, pack_hashes(own[hit]), np.minimum(df[at[hit]], (1 << 32) - 1).astype("<u4").tobytes()))
     types = [pa.int64(), pa.binary(), pa.binary()]
+    del everything, order, ordered, first, total, often, hashes, counts
+    trim()
     return pa.table([pa.array(c, k) for c, k in zip([*zip(*rows, strict=True)] or [()] * 3, types, strict=True)], names=["block", "hashes", "counts"])
 
 
@@ -214,6 +218,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
             x, y = ([np.frombuffer(v.as_buffer(), "<u8") for v in t.column(c)] for c in ("x", "y"))
             keep = pa.array([similar(p, q, percent) for p, q in zip(x, y, strict=True)], pa.bool_())
             yield t.select(["a", "b"]).filter(keep)
+        trim()
 
     return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.common import fold, read, spread
+from siftline.llm.common import fold, read, spread, trim
 
 GRAMS, HASHES, MIN_SHARE, RATIO, MAX_DOCS, UNKNOWN = (3, 4), 3, 1 / 30_000, 8.0, 20_000, "und"
 #: Bytes and texts taken at once, and the least score of a document that the pipeline keeps.
@@ -198,6 +198,8 @@ def learn(docs: DataFrame, max_docs: int = MAX_DOCS) -> LanguageFilter:
             c.merge()
             columns = [pa.array([lang] * len(c.keys), pa.string()), pa.array([size] * len(c.keys), pa.int32()), pa.array(c.keys.astype(np.int64)), pa.array(c.n)]
             yield pa.RecordBatch.from_arrays(columns, names=["lang", "size", "gram", "n"])
+        sums.clear()
+        trim()
 
     counts = spread(docs.select("text", "lang")).mapInArrow(count, "lang string, size int, gram long, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("lang", "size").agg(F.sum("n").alias("total"))
@@ -223,6 +225,7 @@ def predicted(text: Column, model: LanguageFilter) -> Column:
                 lang += got[0]
                 score += got[1]
             yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["lang_pred", "score"])
+        trim()
 
     # Texts without a letter go in as null: nothing of them is sent.
     return found(F.when(text.rlike(r"\p{L}"), text))

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.common import read, spread
+from siftline.llm.common import read, spread, trim
 
 TIERS, END, STEP_TOKENS, GROUPS, BUFFER = (128, 256, 512, 1024), 0, 8192, 8, 4096
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, tier int, step_group long, ids binary"
@@ -205,6 +205,8 @@ def pack(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...] = TIERS, s
                     yield from out()
         packer.drain()
         yield from out()
+        del packer
+        trim()
 
     return spread(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, SCHEMA)
 

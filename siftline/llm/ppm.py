@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.common import blocks_of, fold, partitions, read, written
+from siftline.llm.common import blocks_of, fold, partitions, read, trim, written
 from siftline.llm.jaccard import _LOW, word_hashes
 
 #: Bytes of context; symbols that no text has (not in UTF-8): what stands before a text, and its end; bytes of a block and of a step.
@@ -158,7 +158,7 @@ def _ask(t: pa.Table) -> pa.Table:
         if sum(len(p[0]) for p in parts[1:]) >= max(MERGE, len(parts[0][0]) // 2):
             parts = [_summed(parts)]
     u, n = _summed(parts)
-    pa.default_memory_pool().release_unused()
+    trim()
     return pa.table([pa.array(np.full(len(u), t.column("block")[0].as_py())), pa.array(u), pa.array(n)], names=["block", "key", "n"])
 
 
@@ -259,7 +259,7 @@ def _score(docs: pa.Table, known: pa.Table, total: int, distinct: int, ends: int
         hits[i:j] += np.bincount(wo, c > 0, j - i).astype(np.int64)
     unigram += base(float(ends))
     symbols = np.array([len(t) + 1 for t in texts], float)
-    pa.default_memory_pool().release_unused()
+    trim()
     columns = [docs.column("doc_id"), pa.array(~np.array(docs.column("train").to_pylist(), bool)), pa.array(tokens), pa.array(hits), pa.array(np.full(n, total, np.int64)), pa.array(unigram), pa.array(score)]
     columns += [pa.array(x) for x in (unigram / tokens, score / tokens, -score * np.log2(10) / symbols)]
     return pa.table(columns, names=SCHEMA.names)
